@@ -46,7 +46,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def partitions(df: DataFrame, mb: int = 32) -> int:
     """Shuffle partitions for all of a table's bytes: as the session says, or more if a part would exceed ``mb``."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 200_000))
 
 
