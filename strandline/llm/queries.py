@@ -23,8 +23,14 @@ def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op5_record_files)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op5_record_files, op10_secret_ownership)}
 
 
 def oracle_sql() -> dict[str, str]:
