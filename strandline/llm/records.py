@@ -4,7 +4,8 @@ A file is a run of frames.  A frame is, little-endian:
 
     u64  payload length
     u32  masked crc32 of these 8 bytes
-    ...  payload: u8 1 if the id is null, i64 id, then the token ids as u32
+    ...  payload: u8 bytes of a token id (2 or 4), plus 1 if the
+               document's id is null; i64 that id; then the token ids
     u32  masked crc32 of the payload
     u8   0x0A
 
@@ -45,13 +46,14 @@ def masked(data: bytes | memoryview) -> int:
 
 
 def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
-    payload = KEY.pack(doc_id is None, doc_id or 0) + ids.astype("<u4", copy=False).tobytes()
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    payload = KEY.pack(width + (doc_id is None), doc_id or 0) + ids.astype(f"<u{width}", copy=False).tobytes()
     length = struct.pack("<Q", len(payload))
     return length + FOOT.pack(masked(length)) + payload + FOOT.pack(masked(payload)) + b"\n"
 
 
-def frames(data: bytes, verify: bool = True) -> Iterator[tuple[int, int, int | None, memoryview]]:
-    """(offset, size, id, bytes of the token ids) of each record of a file."""
+def frames(data: bytes, verify: bool = True) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+    """(offset, size, document's id, token ids) of each record of a file."""
     view, at = memoryview(data), 0
     while at < len(view):
         if at + HEAD.size > len(view):
@@ -62,8 +64,8 @@ def frames(data: bytes, verify: bool = True) -> Iterator[tuple[int, int, int | N
         payload = view[at + HEAD.size : at + HEAD.size + n]
         if verify and (FOOT.unpack_from(view, at + HEAD.size + n)[0] != masked(payload) or view[at + n + AROUND - 1] != 10):
             raise CorruptRecord(f"bad payload at byte {at}")
-        null, key = KEY.unpack_from(payload)
-        yield at, n + AROUND, None if null else key, payload[KEY.size :]
+        kind, key = KEY.unpack_from(payload)
+        yield at, n + AROUND, None if kind & 1 else key, np.frombuffer(payload[KEY.size :], f"<u{kind & 6}")
         at += n + AROUND
 
 
@@ -112,7 +114,7 @@ def index_records(spark: SparkSession, path: str) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [(at, size, key, len(ids) // 4) for at, size, key, ids in frames(data.as_buffer(), verify=False)]
+                found = [(at, size, key, len(ids)) for at, size, key, ids in frames(data.as_buffer(), verify=False)]
                 at, size, key, n = zip(*found, strict=True) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), *(pa.array(x, pa.int64()) for x in (at, size, key, n))], names=["file", "at", "size", "doc_id", "n_tokens"])
 
@@ -134,9 +136,8 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = False) -> Data
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found, within = [], 0
                 for _, _, key, ids in frames(data.as_buffer()):
-                    n = len(ids) // 4
-                    found.append((name, key, within, n, zlib.crc32(ids), np.frombuffer(ids, "<u4").astype(np.int64) if with_ids else None))
-                    within += n
+                    found.append((name, key, within, len(ids), zlib.crc32(ids.astype("<u4")), ids.astype(np.int64) if with_ids else None))
+                    within += len(ids)
                 columns = list(zip(*found, strict=True)) or [()] * 6
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["file", "doc_id", "within", "n_tokens", "ids_crc32", "ids"])
@@ -157,7 +158,7 @@ def read_picked(spark: SparkSession, path: str, picks: DataFrame) -> DataFrame:
         for batch in batches:
             for data, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 view = memoryview(data.as_buffer())
-                found = [(w["rank"], key, np.frombuffer(ids, "<u4").astype(np.int64)) for w in wanted for _, _, key, ids in frames(view[w["at"] : w["at"] + w["size"]])]
+                found = [(w["rank"], key, ids.astype(np.int64)) for w in wanted for _, _, key, ids in frames(view[w["at"] : w["at"] + w["size"]])]
                 columns = list(zip(*found, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["rank", "doc_id", "ids"])
 

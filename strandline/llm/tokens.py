@@ -10,9 +10,11 @@ whole.  Both ways give the library's own ids; ``tests/llm`` compares them.
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterable
 
 import numpy as np
+from tokenizers import Tokenizer
 
 #: Distinct pieces kept by a worker; the cache starts afresh beyond it.
 CACHE_PIECES = 400_000
@@ -43,19 +45,26 @@ class Encoder:
 
     def __init__(self, path: str, mode: str | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.mode = mode
-        self.between, self.ends, self.opens = -1, {}, np.zeros(0, bool)
+        self.between, self.opens = -1, np.zeros(0, bool)
         if mode:
-            self.ends = {c: self._library([c])[0][0] for c in ".,"}
+            self.simple = self._single_words(Tokenizer.from_file(path))
             self.between = self._library(["\x02"])[0][0]
             vocab = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocab.values()) + 1, bool)
             self.opens[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True  # how byte-level files spell space and line feed
         self._reset()
 
+    def _single_words(self, tokenizer: Tokenizer) -> Tokenizer:
+        """The same vocabulary and merges without the steps that do nothing to simple words."""
+        from tokenizers import normalizers, pre_tokenizers
+
+        tokenizer.normalizer = normalizers.Sequence([])
+        cut = pre_tokenizers.Split(" ", "merged_with_next") if self.mode == "byte" else pre_tokenizers.WhitespaceSplit()
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return tokenizer
+
     def _reset(self) -> None:
         self.index = _Index()
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -79,10 +88,10 @@ class Encoder:
         if len(pieces):
             self._store(pieces, flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])], ends - lengths)
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str], tokenizer: Tokenizer | None = None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _joined(self, pieces: list[str], tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of all pieces, from one library call, and where each piece's begin.
 
         Byte level: a piece begins with its only space or line feed, and so does its first
@@ -90,10 +99,10 @@ class Encoder:
         parts don't add up.
         """
         if self.mode == "byte":
-            ids = np.asarray(self._library(["".join([self._spelled(p) for p in pieces])])[0], np.uint32)
+            ids = np.asarray(self._library(["".join([self._spelled(p) for p in pieces])], tokenizer)[0], np.uint32)
             at = np.flatnonzero(self.opens[ids])
             return (ids, at) if len(at) == len(pieces) and at[0] == 0 else None
-        ids = np.asarray(self._library(["\x02 " + " \x02 ".join(pieces)])[0], np.uint32)
+        ids = np.asarray(self._library(["\x02 " + " \x02 ".join(pieces)], tokenizer)[0], np.uint32)
         at = np.flatnonzero(ids == self.between)
         return (np.delete(ids, at), at - np.arange(len(at))) if len(at) == len(pieces) else None
 
@@ -115,31 +124,42 @@ class Encoder:
         self._store(pieces, np.fromiter((i for ids in coded for i in ids), np.uint32, int(lengths.sum())), np.cumsum(lengths) - lengths)
 
     def _learn(self) -> None:
-        """Encodes what is queued.  A word with a full stop or comma after it is two pre-tokens."""
+        """Encodes what is queued.  A word with punctuation after it is two pre-tokens, and both are known sooner."""
         queued, self.index.queued = self.index.queued, []
-        ended = [p for p in queued if p[-1:] in (".", ",") and p[:-1].isalpha()]
-        for p in ended:
-            self.index[p[:-1]]  # queues the word alone, unless it is known
+        index, mark = self.index, "\x00" if self.mode == "byte" else ""
+        ended, parts = [], []
+        for p in queued:
+            word = p.rstrip(string.punctuation)
+            if word != p and word.isalpha():
+                ended.append(p)
+                parts += (index[word], index[mark + p[len(word) :]])
         skip = {*ended}
-        queued = [p for p in queued if p not in skip] + self.index.queued
-        self.index.queued = []
-        alone = [p for p in queued if "\x00" in p or "\x02" in p or not p]
+        queued = [p for p in queued if p not in skip] + index.queued
+        index.queued = []
+        simple = [p for p in queued if self._simple(p)]
+        skip = {*simple}
+        rest = [p for p in queued if p not in skip]
+        alone = [p for p in rest if "\x00" in p or "\x02" in p or not p]
         skip = {*alone}
-        queued = [p for p in queued if p not in skip] if alone else queued
-        for i in range(0, len(queued), 256):
-            if found := self._joined(part := queued[i : i + 256]):
-                self._store(part, *found)
-            else:
-                self._one_by_one(part)
+        rest = [p for p in rest if p not in skip] if alone else rest
+        for some, tokenizer in ((simple, self.simple), (rest, self.tokenizer)):
+            for i in range(0, len(some), 256):
+                if found := self._joined(part := some[i : i + 256], tokenizer):
+                    self._store(part, *found)
+                else:
+                    self._one_by_one(part)
         if alone:
             self._one_by_one(alone)
         if ended:
-            words = np.fromiter((self.index[p[:-1]] for p in ended), np.int64, len(ended))
-            lengths = self.lengths[words]
-            at = np.cumsum(lengths + 1) - lengths - 1
-            ids = self.flat[np.minimum(np.repeat(self.starts[words] - at, lengths + 1) + np.arange(int((lengths + 1).sum())), self.used)]
-            ids[at + lengths] = np.fromiter((self.ends[p[-1]] for p in ended), np.uint32, len(ended))
-            self._store(ended, ids, at)
+            at = np.array(parts, np.int64)
+            lengths = self.lengths[at]
+            ends = np.cumsum(lengths)
+            ids = self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
+            self._store(ended, ids, (ends - lengths)[::2])
+
+    def _simple(self, piece: str) -> bool:
+        """A single word of letters below U+0250, which normalization leaves as it is."""
+        return piece.isalpha() and max(piece) < "\u0250" and (self.mode == "byte" or piece.islower())
 
     def _spelled(self, piece: str) -> str:
         """The text that a piece stands for: a text's first word has no space before it."""
