@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm.shared import table
 from strandline.llm.tokens import vocabulary
@@ -23,6 +24,26 @@ def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def op7_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), g AS (
+  SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE top IS NOT NULL AND top <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE top IS NULL OR top = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN g USING (k) GROUP BY doc_id
+"""
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.secrets import find_secrets
 
@@ -30,8 +51,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op5_record_files, op10_secret_ownership)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op5_record_files, op7_line_bitmaps, op10_secret_ownership)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_bitmaps": LINES_SQL}
