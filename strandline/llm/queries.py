@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import table
+from strandline.llm.shared import fold, table
 from strandline.llm.tokens import vocabulary
 
+#: Documents with a lower quality score are rejected.
+QUALITY = 0.7
+
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.packing import pack
@@ -24,6 +27,24 @@ def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def op6_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= QUALITY).cast("int"))
+
+
+def op8_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm import languages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = languages.fit(docs)
+    out = docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), languages.predict(F.col("text"), model).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op7_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.lines import dedup_lines
 
@@ -51,7 +72,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op5_record_files, op7_line_bitmaps, op10_secret_ownership)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op10_secret_ownership)}
 
 
 def oracle_sql() -> dict[str, str]:
