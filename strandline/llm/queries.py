@@ -20,6 +20,12 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "byte")
 
 
+def op3_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.records import read_records, write_records
 
@@ -72,7 +78,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op10_secret_ownership)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_partenum_jaccard, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op10_secret_ownership)}
 
 
 def oracle_sql() -> dict[str, str]:
