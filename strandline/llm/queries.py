@@ -71,6 +71,13 @@ FROM l LEFT JOIN g USING (k) GROUP BY doc_id
 """
 
 
+def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.suffixes import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.secrets import find_secrets
 
@@ -78,7 +85,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_partenum_jaccard, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op10_secret_ownership)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_partenum_jaccard, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership)}
 
 
 def oracle_sql() -> dict[str, str]:
