@@ -26,6 +26,27 @@ def op3_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.contamination import find_contained
+
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+CONTAINMENT_SQL = """
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+') AS words FROM documents
+  UNION ALL
+  SELECT 'b', item_id, string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+') FROM benchmark
+), s AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(length(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle
+  FROM w WHERE words IS NOT NULL AND words <> ['']
+), n AS (SELECT id, count(*) AS n_shingles FROM s WHERE side = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles
+FROM s d JOIN s b ON d.shingle = b.shingle AND d.side = 'd' AND b.side = 'b' JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n_shingles)
+"""
+
+
 def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.records import read_records, write_records
 
@@ -85,8 +106,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_partenum_jaccard, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership)}
+    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_partenum_jaccard, op4_minhash_containment, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_bitmaps": LINES_SQL}
+    return {"op4_minhash_containment": CONTAINMENT_SQL, "op7_line_bitmaps": LINES_SQL}
