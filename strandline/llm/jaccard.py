@@ -27,17 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import partitions, written
+from strandline.llm.shared import partitions, strings, written
 from strandline.llm.shingles import mix, shingle_set
+from strandline.llm.suffixes import _set as in_bitmap
+from strandline.llm.suffixes import bitmaps
 from strandline.operators.graph import connected_components
 
 SEEDS = 8
 #: Signatures that a task holds before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 500_000
+#: Regions of the domain whose counts bound the difference of two sets from below.
+REGIONS = 64
 C1, C2, C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -92,10 +97,9 @@ def signatures(shingles: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.n
             part = ((mix(shingles + base) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
             size = np.bincount(part, minlength=n)
             selective = np.bincount(part, weights=rare, minlength=n)
-            order = np.argsort(part, kind="stable")
             filled = np.flatnonzero(size)
             sums = np.zeros(n, np.uint64)
-            sums[filled] = np.add.reduceat(content[order], (np.cumsum(size) - size)[filled])
+            np.add.at(sums, part, content)
             signed = mix(sums + np.arange(1, n + 1, dtype=np.uint64) * C2 + base * C3)
             room = n - d - 1
             left_out = int((selective == 0).sum())
@@ -110,7 +114,7 @@ def signatures(shingles: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.n
                 out.append(signed[filled])
                 break
             out.append(signed if seed == SEEDS - 1 else signed[filled])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -120,24 +124,22 @@ def node_of(shingles: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, node = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, k)
-                n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Elements in each region of the domain, 255 at most: sets differ in as many elements as their counts do, or more."""
+    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=REGIONS), 255).astype(np.uint8).tobytes()
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+def may_link(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches leave room for a link; true for all that are linked."""
+    apart = np.abs(sketch.astype(np.int16) - other.astype(np.int16)).sum(-1)
+    return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def frequent_shingles(docs: DataFrame, rows: int, k: int, sample: int = 5_000, least: int = 5, most: int = 200_000) -> np.ndarray:
     """Shingles that ``least`` texts of a sample have, ``most`` of them at most, sorted.  They steer what is signed, not what is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [shingle_set(t, k) for batch in batches for t in batch.column(0).to_pylist()]
+        found = [shingle_set(t, k) for batch in batches for t in strings(batch.column(0))]
         at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
@@ -148,8 +150,8 @@ def frequent_shingles(docs: DataFrame, rows: int, k: int, sample: int = 5_000, l
     return np.unique(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
 
 
-def _groups(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> DataFrame:
-    """(group, node) of signatures that several nodes have.
+def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> DataFrame:
+    """One scan: (doc_id, n, node, sketch) of each document, and (gid, node) of signatures that several nodes have.
 
     Signatures travel as blobs: nodes, how many signatures each has there, and six bytes of
     each signature, whose other bits are the bucket.
@@ -160,6 +162,7 @@ def _groups(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, nodes, size, seen = [], [], 0, set()
+        names = ["bucket", "nodes", "counts", "sigs", "doc_id", "n", "node", "sketch"]
 
         def flushed() -> Iterator[pa.RecordBatch]:
             sig = np.concatenate(held)
@@ -173,12 +176,22 @@ def _groups(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
             for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                 first = np.flatnonzero(np.concatenate([[True], node[lo + 1 : hi] != node[lo : hi - 1]]))
                 rows.append((int(bucket[lo]), node[lo:hi][first].tobytes(), np.diff(first, append=hi - lo).astype("<u4").tobytes(), low[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "nodes", "counts", "sigs"])
+            yield blobs(rows)
+
+        def blobs(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), *none], names=names)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            n, keys, sketches = [], [], []
+            for text in strings(batch.column(1)):
                 s = shingle_set(text, k)
-                if not len(s) or (key := node_of(s)) in seen:
+                key = node_of(s) if len(s) else None
+                n.append(len(s))
+                keys.append(key)
+                sketches.append(sketch_of(s) if len(s) else None)
+                if key is None or key in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(key)
@@ -190,6 +203,9 @@ def _groups(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
                 if size >= FLUSH:
                     yield from flushed()
                     held, nodes, size = [], [], 0
+            bucket = pa.array(np.arange(len(n), dtype=np.int32) % count, pa.int32())
+            none = [pa.nulls(len(n), pa.binary()) for _ in range(3)]
+            yield pa.RecordBatch.from_arrays([bucket, *none, batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names=names)
         if held:
             yield from flushed()
 
@@ -210,7 +226,11 @@ def _groups(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
                 yield from distinct_groups(group, node)
 
         for batch in batches:
-            for bucket, nodes, counts, sigs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            plain = pa.compute.is_null(batch.column(1))
+            if pa.compute.any(plain).as_py():
+                own = batch.filter(plain)
+                yield pa.RecordBatch.from_arrays([*own.columns[4:], pa.nulls(len(own), pa.int64())], names=["doc_id", "n", "node", "sketch", "gid"])
+            for bucket, nodes, counts, sigs in zip(*(c.to_pylist() for c in batch.filter(pa.compute.invert(plain)).columns[:4]), strict=True):
                 if bucket != now and held:
                     yield from met()
                     held = []
@@ -221,8 +241,8 @@ def _groups(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
         if held:
             yield from met()
 
-    signed = docs.select("text").mapInArrow(sign, "bucket int, nodes binary, counts binary, sigs binary")
-    return signed.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, node long").distinct()
+    signed = docs.select("doc_id", "text").mapInArrow(sign, "bucket int, nodes binary, counts binary, sigs binary, doc_id long, n long, node long, sketch binary")
+    return signed.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, n long, node long, sketch binary, gid long")
 
 
 def distinct_groups(group: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -234,15 +254,13 @@ def distinct_groups(group: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBa
     keep = np.zeros(len(starts), bool)
     keep[first] = True
     rows = np.repeat(keep, sizes)
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, sizes)[rows].view(np.int64)), pa.array(node[rows])], names=["gid", "node"])
+    n = int(rows.sum())
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(node[rows]), pa.nulls(n, pa.binary()), pa.array(np.repeat(gid, sizes)[rows].view(np.int64))], names=["doc_id", "n", "node", "sketch", "gid"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar; texts has (node, n, z) with the zipped text."""
-    a = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("z").alias("za"))
-    b = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("z").alias("zb"))
-    near = pairs.join(a.drop("za"), "a").join(b.drop("zb"), "b")
-    near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    """Those of the pairs (a, b) whose sets are similar; texts has (node, z) with the zipped text."""
+    a, b = texts.select(F.col("node").alias("a"), F.col("z").alias("za")), texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, cache = zstandard.ZstdDecompressor(), {}
@@ -263,51 +281,122 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
                 same.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
-    return near.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, same boolean").where("same").select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, same boolean").where("same").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest id that links of ``percent`` or more reach.
-
-    A text without words has no shingles and no links.  Rows with equal sets are linked,
-    repeated rows and rows with null ids too; a component of null ids only has a null id.
-    Other columns are not looked at.  No rows give no rows.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bands = Bands(percent)
-    sets = written(_sets(rows, k), "sets")
-    frequent = frequent_shingles(rows, sets.count(), k)
-    groups = written(_groups(rows, bands, frequent, k), "groups")
-
-    # one text for each node that shares a signature
-    shared = groups.select("node").distinct()
-    chosen = sets.join(shared, "node").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
+def _texts(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, z): a zipped text for each node.  A bitmap of bounded size spares the other texts the shuffle."""
+    chosen, _, bits = bitmaps(nodes.select(F.xxhash64("doc_id").alias("h"), F.lit(False).alias("often")))
+    shared = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zipper = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            z = [zipper.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["node", "n", "z"])
+            h = batch.column(2).to_numpy().view(np.uint64)
+            some = batch.filter(pa.array(in_bitmap(shared.value, h, bits)))
+            texts = some.column(1).to_pylist()
+            found = [node_of(s) if len(s := shingle_set(t, k)) else None for t in texts]
+            z = [zipper.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.int64()), pa.array(z, pa.binary())], names=["doc_id", "node", "z"])
+
+    found = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(zipped, "doc_id long, node long, z binary").alias("f")
+    own = nodes.select("node", "doc_id").alias("o")
+    same = (F.col("f.node") == F.col("o.node")) & F.col("f.doc_id").eqNullSafe(F.col("o.doc_id"))
+    return found.join(own, same).select("f.node", "f.z").dropDuplicates(["node"])
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    gid, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (batch.schema.get_field_index(x) for x in ("gid", "node", "n")))
+    sketch = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sketch")).to_pylist()), np.uint8).reshape(-1, REGIONS)
+    return gid, node, n, sketch
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _stars(percent: int):
+    """Of rows sorted by group and node: the group's first node with each other that may be linked to it.  No group is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hub = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid, node, n, sketch = _arrays(batch)
+            first = np.concatenate([[group is None or gid[0] != group], gid[1:] != gid[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(gid)), -1))
+            a, m, other = node[at], n[at], sketch[at]
+            if not first[0]:
+                a[at < 0], m[at < 0], other[at < 0] = hub
+            ok = ~first & may_link(n, sketch, m, other, percent)
+            yield _pairs(a[ok], node[ok])
+            if at[-1] >= 0:
+                group, hub = gid[-1], (node[at[-1]], n[at[-1]], sketch[at[-1]])
+
+    return run
+
+
+def _between(percent: int, block: int = 512):
+    """Of rows sorted by group: pairs of nodes of different components that may be linked, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def between() -> Iterator[pa.RecordBatch]:
+            _, node, n, sketch, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            for i in range(0, len(node), block):
+                for j in range(i, len(node), block):
+                    x, y = slice(i, i + block), slice(j, j + block)
+                    ok = (c[x, None] != c[None, y]) & (node[x, None] < node[None, y])
+                    a, b = np.nonzero(ok)
+                    keep = may_link(n[x][a], sketch[x][a], n[y][b], sketch[y][b], percent)
+                    if keep.any():
+                        yield _pairs(node[x][a[keep]], node[y][b[keep]])
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i, (node, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)) if node_of(shingle_set(text, k)) == node]
-            yield batch.take(pa.array(keep, pa.int64()))
+            if not batch.num_rows:
+                continue
+            gid, node, n, sketch = _arrays(batch)
+            c = batch.column(batch.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(gid[1:] != gid[:-1]) + 1).tolist(), len(gid)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and held[-1][0][0] != gid[lo]:
+                    yield from between()
+                    held = []
+                held.append((gid[lo:hi], node[lo:hi], n[lo:hi], sketch[lo:hi], c[lo:hi]))
+        if held:
+            yield from between()
+
+    return run
+
 
-    found = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "n", "text").mapInArrow(own, "node long, n long, text string")
-    texts = written(found.mapInArrow(zipped, "node long, n long, z binary").dropDuplicates(["node"]), "texts")
+def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest id that links of ``percent`` or more reach.
 
-    hubs = groups.groupBy("gid").agg(F.min("node").alias("a"))
-    stars = groups.join(hubs, "gid").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    A text without words has no shingles and no links.  Rows with equal sets are linked,
+    repeated rows and rows with null ids too; a component of null ids only has a null id.
+    Other columns are not looked at.  No rows give no rows.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    frequent = frequent_shingles(rows, rows.count(), k)
+    signed = written(_signed(rows, Bands(percent), frequent, k), "signed")
+    sets = signed.where("gid IS NULL").drop("gid")
+    groups = signed.where("gid IS NOT NULL").select("gid", "node").distinct()
+    nodes = sets.join(groups.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes, "nodes")
+    groups = written(groups.join(nodes.select("node", "n", "sketch"), "node"), "groups")
+    texts = written(_texts(rows, nodes, k), "texts")
+
+    parts = partitions(rows)
+    stars = groups.repartition(parts, "gid").sortWithinPartitions("gid", "node").mapInArrow(_stars(percent), "a long, b long").distinct()
     links = written(_verified(stars, texts, percent, k), "links")
     first = written(connected_components(links, "a", "b"), "first")
 
     # what the stars left apart: groups of several components, compared between them
-    labelled = groups.join(first, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c"))
+    labelled = groups.join(first, "node", "left").select("gid", "node", "n", "sketch", F.coalesce("component", "node").alias("c"))
     apart = labelled.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x <> y AND size > 2").select("gid")
-    apart = labelled.join(apart, "gid").join(hubs.select("gid", F.col("a").alias("hub")), "gid").where("node <> hub")
-    one, two = apart.select("gid", F.col("node").alias("a"), F.col("c").alias("ca")), apart.select("gid", F.col("node").alias("b"), F.col("c").alias("cb"))
-    rest = one.join(two, "gid").where("a < b AND ca <> cb").select("a", "b").distinct()
+    rest = labelled.join(apart, "gid").repartition(parts, "gid").sortWithinPartitions("gid", "node").mapInArrow(_between(percent), "a long, b long").distinct()
     more = _verified(rest, texts, percent, k)
     final = connected_components(links.unionByName(more), "a", "b")
 

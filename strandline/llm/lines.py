@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.shared import NO_ID, partitions, written
+from strandline.llm.shared import NO_ID, partitions, strings, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 DROP, EDGE, SUMMARY = 0, 1, 2
@@ -40,7 +40,7 @@ def hash_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, ids, hashes, positions, counts = [], [], [], [], []
-            for key, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, th, text in zip(*map(strings, batch.columns), strict=True):
                 lines = line_keys(text)
                 for pos, line in enumerate(lines):
                     if len(line) >= min_chars and (len(line) >= 4 * min_chars or len(line.decode("utf-8", "surrogatepass")) >= min_chars):
@@ -134,7 +134,7 @@ def _bitmap(dropped: pa.Array, n: pa.Array) -> pa.Array:
 @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
 def _kept(text: pa.Array, bitmap: pa.Array) -> pa.Array:
     texts, lines, drops = [], [], []
-    for t, b in zip(text.to_pylist(), bitmap.to_pylist(), strict=True):
+    for t, b in zip(strings(text), strings(bitmap), strict=True):
         n, kept = (t or "").count("\n") + 1, t
         stays = n
         if b is not None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import written
+from strandline.llm.shared import strings, written
 
 # The patterns of the base kinds, and their order.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -92,7 +92,7 @@ def find_secrets(
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])))
         for batch in batches:
             out = []
-            for doc_id, owner, repository, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, owner, repository, text in zip(*map(strings, batch.columns), strict=True):
                 found = [{"kind": k, "start": s, "end": e, "value": hashlib.blake2b(v, digest_size=16).hexdigest()} for k, s, e, v in scan(text)]
                 out.append((row, doc_id, owner, repository, found))
                 row += 1

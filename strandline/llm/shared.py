@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,12 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def strings(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """The values of a batch's column, of which Python holds a few at a time."""
+    for lo in range(0, len(column), step):
+        yield from column.slice(lo, step).to_pylist()
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

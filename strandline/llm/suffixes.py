@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from strandline.llm import shingles
 from strandline.llm.shared import NO_ID, partitions, written
+from strandline.llm.shared import strings as values
 from strandline.llm.shingles import mix
 
 #: Grams that occur so often are counted by their strings.
@@ -38,7 +39,7 @@ OFTEN = 64
 CHUNK = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
 #: A task sends what it has after so many suffixes or strings.
-FLUSH_SUFFIXES, FLUSH_STRINGS = 60_000, 2_000_000
+FLUSH_SUFFIXES, FLUSH_STRINGS = 20_000, 400_000
 #: The largest bitmap: 128 MB.
 MOST_BITS = 30
 RUN, STRINGS, SPAN = 0, 1, 2
@@ -218,12 +219,12 @@ def gram_counts(rows: DataFrame, length: int, often: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 h = anchors(_bytes(text), length)[1]
                 if len(h):
                     held.append(h)
                     size += len(h)
-                if size >= 2_000_000:
+                if size >= 500_000:
                     yield from flushed()
                     held, size = [], 0
         if held:
@@ -361,7 +362,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, often_from: int = OFTEN)
             yield table(out)
 
         for batch in batches:
-            for key, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, th, text in zip(*map(values, batch.columns), strict=True):
                 data = _bytes(text)
                 at, h = anchors(data, length)
                 if not len(at):
@@ -485,7 +486,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, often_from: int = OFTEN)
 @F.arrow_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]))
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
     kept, size, removed, runs = [], [], [], []
-    for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True):
+    for t, s in zip(values(text), values(spans), strict=True):
         data, at, out, n = (t or "").encode("utf-8", "surrogatepass"), 0, [], 0
         for x in sorted(s or [], key=lambda x: (x["start"], x["end"])):
             if x["start"] > at or not n:
