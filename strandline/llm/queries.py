@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import fold, table
+from strandline.llm.shared import fold, partitions, table
 from strandline.llm.tokens import vocabulary
 
 #: Documents with a lower quality score are rejected.
 QUALITY = 0.7
 
 
+def op1_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is played as a clip; every 20th asks for the clips that sound like it."""
+    from strandline.llm.audio import fingerprint, search, sonified
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    clips = vectors.repartition(partitions(vectors)).select("vec_id", sonified(F.col("embedding")).alias("audio"))
+    out = search(clips.select("vec_id", fingerprint(F.col("audio")).alias("prints")), F.col("vec_id") % 20 == 0, id_col="vec_id")
+    return out.withColumnRenamed("id", "vec_id")
+
+
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.packing import pack
 
@@ -106,7 +116,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_cost_balanced_packing, op3_partenum_jaccard, op4_minhash_containment, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership)}
+    return {f.__name__: f for f in (op1_chroma_search, op2_cost_balanced_packing, op3_partenum_jaccard, op4_minhash_containment, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership)}
 
 
 def oracle_sql() -> dict[str, str]:
