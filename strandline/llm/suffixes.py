@@ -206,14 +206,16 @@ def _bytes(text: str | None) -> np.ndarray:
 def gram_counts(rows: DataFrame, length: int, often: int) -> DataFrame:
     """(h, often) of the anchors' grams that occur more than once."""
     count = 1 << max(partitions(rows, 8) - 1, 1).bit_length()
-    bits = np.uint64(count.bit_length() - 1)
+    last = np.uint64(count - 1)  # anchors' hashes are small ones: only their last bits are even
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (h >> (np.uint64(64) - bits)).astype(np.int64)
+            bucket = (h & last).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            h, n, bucket = h[order], n[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             rows = [(int(bucket[lo]), h[lo:hi].tobytes(), n[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(cuts, [*cuts[1:], len(h)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "h", "n"])
@@ -383,7 +385,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, often_from: int = OFTEN)
                             size += len(part)
                 raw = data.tobytes()
                 for p, g in zip(at[~hot].tolist(), h[~hot], strict=True):
-                    suffixes.append((int(g >> shift), raw[p : p + length], raw[max(p - (length - gram), 0) : p], key, th, p))
+                    suffixes.append((int(g) & (count - 1), raw[p : p + length], raw[max(p - (length - gram), 0) : p], key, th, p))
                 if len(suffixes) >= FLUSH_SUFFIXES:
                     yield from sent_suffixes()
                     suffixes = []
