@@ -76,7 +76,7 @@ def leak_checks(rows: DataFrame, width: int) -> DataFrame:
     kinds_hit = lambda d: touch(d, ("train",)).cast("int") + touch(d, DEV).cast("int") + touch(d, TEST).cast("int")
     group_sets = rows.groupBy("group").agg(F.collect_set("dataset").alias("d"))
     parts = [
-        per.agg(F.lit("duplicate_ids").alias("check"), F.count_if("n > 1").alias("violations")),
+        per.agg(F.lit("duplicate_ids").alias("check"), F.count_if(F.expr("n > 1")).alias("violations")),
         in_sets.agg(F.lit("ids_across_splits"), F.count_if(kinds_hit(F.col("d")) > 1)),
         group_sets.agg(F.lit("strict_test_groups"), F.count_if(touch(F.col("d"), ("test_strict",)) & touch(F.col("d"), ("train", "dev")))),
         group_sets.agg(F.lit("strict_dev_groups"), F.count_if(touch(F.col("d"), ("dev_strict",)) & touch(F.col("d"), ("train",)))),

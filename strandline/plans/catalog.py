@@ -2,10 +2,607 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandline.functions import sequence as S
+from strandline.operators import evaluation, features, grouping, intervals, markov, provenance, sampling, similarity
+from strandline.operators.graph import connected_components
+from strandline.plans import views as V
+from strandline.sources import readers, sinks
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+MERGED = """flagged AS (SELECT chrom, "start", "end", CASE WHEN "start" <= max("end") OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM iv WHERE "end" > "start"),
+numbered AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS i FROM flagged),
+merged AS (SELECT chrom, min("start") AS "start", max("end") AS "end" FROM numbered GROUP BY chrom, i)"""
+COVERED = """covered AS (SELECT p.chrom, p."start", p."end", coalesce(sum(CASE WHEN m.chrom IS NOT NULL THEN least(p."end", m."end") - greatest(p."start", m."start") END), 0)::BIGINT AS covered
+FROM probes p LEFT JOIN merged m ON p.chrom = m.chrom AND m."start" < p."end" AND m."end" > p."start" GROUP BY ALL)"""
+TILES = """tiles AS (SELECT doc_id, n, CASE WHEN n < 1024 THEN [] ELSE list_sort(list_distinct(list_concat(range(0, n - 1023, 512), [n - 1024]))) END AS starts FROM (SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE text IS NOT NULL))"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+# intervals
+
+
+@query(f'WITH {V.IV}, {MERGED} SELECT chrom, "start", "end" FROM merged')
+def interval_merge(spark, d):
+    return intervals.merged(V.intervals(spark, d))
+
+
+@query(f"WITH {V.IV}, {V.PROBES}, {MERGED}, {COVERED} SELECT CASE WHEN covered >= 200 THEN 'positive' WHEN covered > 0 THEN 'grey' ELSE 'none' END AS class, count(*) AS windows, sum(covered)::BIGINT AS bases FROM covered GROUP BY 1")
+def interval_coverage(spark, d):
+    out = intervals.coverage(V.probes(spark, d), intervals.merged(V.intervals(spark, d)))
+    return out.groupBy(S.coverage_class(F.col("covered")).alias("class")).agg(F.count("*").alias("windows"), F.sum("covered").alias("bases"))
+
+
+@query(f"WITH {V.IV}, {V.PROBES}, {MERGED}, {COVERED} SELECT * FROM covered")
+def window_coverage(spark, d):
+    return intervals.coverage(V.probes(spark, d), intervals.merged(V.intervals(spark, d)))
+
+
+@query(
+    f"""WITH {V.IV}, f AS (SELECT *, CASE WHEN "start" - max("end") OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 500 THEN 0 ELSE 1 END AS f FROM iv),
+n AS (SELECT *, sum(f) OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS i FROM f)
+SELECT chrom, strand, min("start") AS "start", max("end") AS "end", count(*) AS n_members, chrom || ':' || strand || ':' || min("start") || '-' || max("end") AS element FROM n GROUP BY chrom, strand, i"""
+)
+def gap_clusters(spark, d):
+    return intervals.clusters(V.intervals(spark, d), 500)
+
+
+GAPS = """spans AS (SELECT DISTINCT chrom, 0::BIGINT AS a, 850000::BIGINT AS b FROM iv), m AS (SELECT s.chrom, a, b, greatest("start", a) AS s, least("end", b) AS e FROM merged JOIN spans s ON merged.chrom = s.chrom AND "start" < b AND "end" > a),
+pieces AS (SELECT chrom, e AS gap_start, coalesce(lead(s) OVER (PARTITION BY chrom ORDER BY s), b) AS gap_end FROM m UNION ALL SELECT chrom, any_value(a), min(s) FROM m GROUP BY chrom),
+gaps AS (SELECT chrom, gap_start, gap_end FROM pieces WHERE gap_end > gap_start)"""
+
+
+def _spans(iv: DataFrame) -> DataFrame:
+    return iv.select("chrom").distinct().selectExpr("chrom", "0L AS start", "850000L AS end")
+
+
+@query(f"WITH {V.IV}, {MERGED}, {GAPS} SELECT chrom, gap_start, gap_end FROM gaps")
+def interval_gaps(spark, d):
+    iv = V.intervals(spark, d)
+    return intervals.gaps(intervals.merged(iv), _spans(iv)).select("chrom", "gap_start", "gap_end")
+
+
+@query(f"WITH {V.IV}, {MERGED}, {GAPS} SELECT chrom, unnest(range(gap_start, gap_end - 1023, 1024)) AS tile FROM gaps WHERE gap_end - gap_start >= 1024")
+def background_tiles(spark, d):
+    iv = V.intervals(spark, d)
+    free = intervals.gaps(intervals.merged(iv), _spans(iv))
+    return free.select("chrom", F.explode(S.gap_starts(F.col("gap_start"), F.col("gap_end"), 1024)).alias("tile"))
+
+
+@query(f"""WITH {V.IV}, {V.PROBES} SELECT p.chrom, p."start", p."end", i."start" AS start_b, i."end" AS end_b, strand AS strand_b, cls AS cls_b, least(p."end", i."end") - greatest(p."start", i."start") AS overlap FROM probes p JOIN iv i ON p.chrom = i.chrom AND i."start" < p."end" AND i."end" > p."start" """)
+def overlap_join(spark, d):
+    return intervals.overlaps(V.probes(spark, d), V.intervals(spark, d))
+
+
+@query(
+    f"""WITH {V.IV}, {V.PROBES} SELECT chrom, "start", "end", CASE WHEN EXISTS (FROM iv i WHERE i.chrom = p.chrom AND cls = 'A' AND i."end" > i."start" AND i."start" < p."end" AND i."end" > p."start") THEN 'l1'
+WHEN EXISTS (FROM iv i WHERE i.chrom = p.chrom AND cls = 'R' AND i."end" > i."start" AND i."start" < p."end" AND i."end" > p."start") THEN 'ltr' END AS reason FROM probes p"""
+)
+def anti_overlap(spark, d):
+    iv = V.intervals(spark, d)
+    return intervals.untouched(V.probes(spark, d), [("l1", iv.where("cls = 'A'")), ("ltr", iv.where("cls = 'R'"))])
+
+
+@query(
+    f"""WITH {V.IV}, {V.PROBES}, o AS (SELECT p.chrom, p."start", p."end", cls, strand, least(p."end", i."end") - greatest(p."start", i."start") AS bp FROM probes p JOIN iv i ON p.chrom = i.chrom AND i."start" < p."end" AND i."end" > p."start"),
+s AS (SELECT chrom, "start", "end", cls, sum(bp) AS bp, string_agg(DISTINCT strand, ',' ORDER BY strand) AS regions FROM o GROUP BY ALL)
+SELECT chrom, "start", "end", string_agg(cls || ':' || regions, ';' ORDER BY cls) AS detail, arg_min(cls, (-bp, cls)) AS principal FROM s GROUP BY ALL"""
+)
+def describe_windows(spark, d):
+    hits = intervals.overlaps(V.probes(spark, d), V.intervals(spark, d))
+    key = ["chrom", "start", "end"]
+    per = hits.groupBy(*key, F.col("cls_b").alias("cls")).agg(F.sum("overlap").alias("bp"), F.array_join(F.sort_array(F.collect_set("strand_b")), ",").alias("regions"))
+    detail = F.array_join(F.sort_array(F.collect_list(F.concat("cls", F.lit(":"), "regions"))), ";")
+    return per.groupBy(*key).agg(detail.alias("detail"), F.min_by("cls", F.struct(-F.col("bp"), "cls")).alias("principal"))
+
+
+@query(f"""WITH {V.IV} SELECT chrom, "start", "end", strand, cls FROM iv QUALIFY row_number() OVER (PARTITION BY chrom, "start" ORDER BY "end", strand, cls) = 1""")
+def first_wins_dedup(spark, d):
+    return intervals.first_of(V.intervals(spark, d), ["chrom", "start"], ["end", "strand", "cls"])
+
+
+@query(f"WITH {TILES} SELECT doc_id, unnest(CASE WHEN n < 1024 THEN [] ELSE starts END) AS tile FROM tiles")
+def tile_windows(spark, d):
+    n = F.length("text").cast("bigint")
+    return V.table(spark, d, "documents").select("doc_id", F.explode(S.window_starts(F.lit(0).cast("bigint"), n, 1024, 512, n)).alias("tile"))
+
+
+@query(f"""WITH {V.IV} SELECT chrom, "start", "end", strand, greatest(0, least(("start" + "end") // 2 - 512, 900000 - 1024)) AS window_start FROM iv""")
+def centred_windows(spark, d):
+    return V.intervals(spark, d).select("chrom", "start", "end", "strand", S.centred_start(F.col("start"), F.col("end"), 1024, F.lit(900000)).alias("window_start"))
+
+
+# sequences
+
+
+@query(f"WITH {V.DNA} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM dna")
+def revcomp(spark, d):
+    return V.dna(spark, d).select("doc_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+GC = "gc AS (SELECT doc_id, source, seq, length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS gc FROM dna)"
+BINNED = "binned AS (SELECT *, least(gc * 50 // length(seq), 49)::INT AS bin FROM gc)"
+
+
+def _binned(spark, d):
+    x = V.dna(spark, d).withColumn("gc", S.gc_count(F.col("seq")))
+    return x.withColumn("bin", S.gc_bin(F.col("gc"), F.length("seq")))
+
+
+@query(f"WITH {V.DNA}, {GC}, {BINNED} SELECT doc_id, gc, bin FROM binned")
+def gc_bins(spark, d):
+    return _binned(spark, d).select("doc_id", "gc", "bin")
+
+
+@query(f"WITH {V.DNA}, {GC}, {BINNED} SELECT source, bin, count(*) / sum(count(*)) OVER (PARTITION BY source) AS frac FROM binned GROUP BY source, bin")
+def gc_histogram(spark, d):
+    return sampling.histogram(_binned(spark, d), "source", "bin")
+
+
+@query(f"WITH {V.DNA} SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3))) AS kmer FROM dna) GROUP BY kmer")
+def kmer_counts(spark, d):
+    return V.dna(spark, d).select(F.explode(S.kmers(F.col("seq"), 3)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+RAW = "raw AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(seq, 1, 50) WHEN 1 THEN '  ' || lower(substr(seq, 1, 20)) || 'N ' WHEN 2 THEN 'acgtRY' || substr(seq, 1, 9) ELSE 'AC-GT' END AS s FROM dna)"
+
+
+def _raw(spark, d):
+    return V.dna(spark, d).selectExpr("doc_id", "CASE doc_id % 4 WHEN 0 THEN substr(seq, 1, 50) WHEN 1 THEN concat('  ', lower(substr(seq, 1, 20)), 'N ') WHEN 2 THEN concat('acgtRY', substr(seq, 1, 9)) ELSE 'AC-GT' END AS s")
+
+
+@query(f"""WITH {V.DNA}, {RAW} SELECT doc_id, CASE WHEN regexp_full_match(upper(trim(s)), '[ACGTNRYKMSWBDHV]*') THEN translate(upper(trim(s)), 'RYKMSWBDHV', 'NNNNNNNNNN') END AS normalized,
+CASE WHEN regexp_full_match(s, '[ACGT]*') THEN NULL WHEN contains(s, 'N') THEN 'with_n' ELSE 'iupac' END AS reason FROM raw""")
+def alphabet_check(spark, d):
+    return _raw(spark, d).select("doc_id", S.normalized(F.col("s")).alias("normalized"), S.discard_reason(F.col("s")).alias("reason"))
+
+
+@query(f"WITH {V.DNA}, {RAW} SELECT coalesce(CASE WHEN regexp_full_match(s, '[ACGT]*') THEN NULL WHEN contains(s, 'N') THEN 'with_n' ELSE 'iupac' END, 'kept') AS reason, count(*) AS n FROM raw GROUP BY 1")
+def discard_counts(spark, d):
+    return _raw(spark, d).groupBy(F.coalesce(S.discard_reason(F.col("s")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.DNA}, {RAW}, l AS (SELECT s, count(*) AS n, count(DISTINCT doc_id % 2) AS labels FROM raw GROUP BY s) SELECT count(*) FILTER (WHERE n > 1) AS sequences_with_copies, coalesce(sum(n - 1), 0)::BIGINT AS surplus_rows, count(*) FILTER (WHERE labels > 1) AS conflicting FROM l")
+def dup_stats(spark, d):
+    per = _raw(spark, d).groupBy("s").agg(F.count("*").alias("n"), (F.min(F.col("doc_id") % 2) != F.max(F.col("doc_id") % 2)).alias("conflict"))
+    return per.agg(F.count_if(F.expr("n > 1")).alias("sequences_with_copies"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"), F.count_if(F.expr("conflict")).alias("conflicting"))
+
+
+@query(f"WITH {V.DNA}, {RAW} SELECT doc_id % 2 AS label, count(*) AS n, min(length(s)) AS shortest, max(length(s)) AS longest, round_even(avg(length(s)), 1) AS mean_length, count(*) FILTER (WHERE contains(s, 'N')) AS with_n FROM raw GROUP BY 1")
+def seq_stats(spark, d):
+    return _raw(spark, d).groupBy((F.col("doc_id") % 2).alias("label")).agg(F.count("*").alias("n"), F.min(F.length("s")).cast("bigint").alias("shortest"), F.max(F.length("s")).cast("bigint").alias("longest"), F.bround(F.avg(F.length("s")), 1).alias("mean_length"), F.count_if(F.instr("s", "N") > 0).alias("with_n"))
+
+
+@query(f"WITH {V.DNA}, {GC} SELECT source, round_even(100 * sum(gc) / sum(length(seq)), 2) AS gc_percent, round_even(avg(gc / length(seq)), 4) AS mean_of_ratios FROM gc GROUP BY source")
+def gc_summary(spark, d):
+    x = _binned(spark, d)
+    return x.groupBy("source").agg(F.bround(100 * F.sum("gc") / F.sum(F.length("seq")), 2).alias("gc_percent"), F.bround(F.avg(F.col("gc") / F.length("seq")), 4).alias("mean_of_ratios"))
+
+
+@query("SELECT doc_id, item_id FROM documents CROSS JOIN benchmark b WHERE contains(documents.text, substr(b.text, 1, 60))")
+def motif_containment(spark, d):
+    """Items are few and stated; each document is looked through once for all of them."""
+    items = V.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("motif"))
+    return V.table(spark, d, "documents").join(F.broadcast(items.limit(100_000)), F.expr("contains(text, motif)")).select("doc_id", "item_id")
+
+
+# samples
+
+
+QUOTA = "quota AS (SELECT bin, round_even(count(*) / sum(count(*)) OVER () * 100, 0)::BIGINT AS quota FROM binned WHERE doc_id % 3 = 0 GROUP BY bin)"
+
+
+@query(f"WITH {V.DNA}, {GC}, {BINNED}, {QUOTA} SELECT doc_id, b.bin FROM binned b JOIN quota q ON b.bin = q.bin WHERE doc_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY b.bin ORDER BY {V.FRACTION.format("'42:' || doc_id")}, doc_id) <= any_value(quota) OVER (PARTITION BY b.bin)")
+def gc_matched_sample(spark, d):
+    x = _binned(spark, d).withColumn("role", F.lit("reference"))
+    hist = sampling.histogram(x.where("doc_id % 3 = 0"), "role", "bin")
+    pool = x.where("doc_id % 3 <> 0")
+    quota, _ = sampling.quotas(hist, pool, "bin", 100)
+    return sampling.take_by_hash(pool, ["bin"], "doc_id", quota).select("doc_id", "bin")
+
+
+@query(f"WITH {V.DNA}, {GC}, {BINNED}, {QUOTA} SELECT q.bin, quota, count(b.doc_id) AS available, greatest(quota - count(b.doc_id), 0) AS deficit FROM quota q LEFT JOIN binned b ON b.bin = q.bin AND doc_id % 3 <> 0 WHERE quota > 0 GROUP BY q.bin, quota")
+def gc_sample_deficit(spark, d):
+    x = _binned(spark, d).withColumn("role", F.lit("reference"))
+    hist = sampling.histogram(x.where("doc_id % 3 = 0"), "role", "bin")
+    return sampling.quotas(hist, x.where("doc_id % 3 <> 0"), "bin", 100)[1]
+
+
+CLASSES = "classes AS (SELECT doc_id, (doc_id % 5 = 0)::INT AS label, CASE WHEN doc_id % 5 = 0 THEN 'l1' WHEN doc_id % 50 = 1 THEN 'te' WHEN doc_id % 5 = 2 THEN 'markov' ELSE 'background' END AS source FROM documents)"
+MIX = {"te": 0.35, "markov": 0.35, "background": 0.30}
+
+
+def _classes(spark, d):
+    return V.table(spark, d, "documents").selectExpr("doc_id", "CAST(doc_id % 5 = 0 AS INT) AS label", "CASE WHEN doc_id % 5 = 0 THEN 'l1' WHEN doc_id % 50 = 1 THEN 'te' WHEN doc_id % 5 = 2 THEN 'markov' ELSE 'background' END AS source")
+
+
+TARGETS = """c AS (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE source = 'te') AS t, count(*) FILTER (WHERE source = 'markov') AS m, count(*) FILTER (WHERE source = 'background') AS b FROM classes),
+w AS (SELECT *, round_even(p * 0.35::DOUBLE, 0)::BIGINT AS wt, round_even(p * 0.35::DOUBLE, 0)::BIGINT AS wm FROM c), x AS (SELECT *, greatest(p - wt - wm, 0) AS wb, greatest(wt - t, 0) + greatest(wm - m, 0) AS short FROM w),
+targets AS (SELECT 'te' AS source, wt AS target, t AS available, least(wt, t) AS taken, greatest(wt - t, 0) AS deficit FROM x UNION ALL SELECT 'markov', wm, m, least(wm, m), greatest(wm - m, 0) FROM x UNION ALL SELECT 'background', wb, b, least(wb + short, b), greatest(wb - b, 0) FROM x)"""
+
+
+@query(f"WITH {CLASSES}, {TARGETS} SELECT * FROM targets")
+def balance_targets(spark, d):
+    return sampling.balance_targets(_classes(spark, d).withColumn("g", F.lit(1)), ["g"], MIX, "background").drop("g")
+
+
+@query(f"WITH {CLASSES}, {TARGETS} SELECT doc_id, label, source FROM classes WHERE label = 1 UNION ALL (SELECT doc_id, label, k.source FROM classes k JOIN targets t ON k.source = t.source WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY k.source ORDER BY {V.FRACTION.format("'42:' || doc_id")}, doc_id) <= any_value(taken) OVER (PARTITION BY k.source))")
+def balance_classes(spark, d):
+    return sampling.balanced(_classes(spark, d).withColumn("g", F.lit(1)), ["g"], MIX, "background", "doc_id").select("doc_id", "label", "source")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT round_even(i * ((n - 1) / 63), 0)::BIGINT FROM range(64) r(i), (SELECT count(*)::BIGINT AS n FROM documents))")
+def evenly_spaced_rows(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id")
+    return sampling.evenly_spaced(docs, "doc_id", docs.count(), 64)
+
+
+@query(f"""WITH one AS (SELECT text, arg_min((doc_id % 3 = 0)::INT, doc_id) AS class FROM documents GROUP BY text), q AS (SELECT class, round_even(count(*) * 0.1::DOUBLE, 0) AS quota FROM one GROUP BY class),
+dev AS (SELECT text FROM one JOIN q USING (class) QUALIFY row_number() OVER (PARTITION BY class ORDER BY {V.FRACTION.format("'42:' || text")}, text) <= any_value(quota) OVER (PARTITION BY class)) SELECT doc_id, CASE WHEN text IN (FROM dev) THEN 'dev' ELSE 'train' END AS split FROM documents""")
+def dev_cut(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 3 == 0).cast("int").alias("label"))
+    return sampling.dev_cut(docs, "text", "label", "doc_id", 0.1).select("doc_id", "split")
+
+
+# groups and splits
+
+
+COMPONENTS = """both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT DISTINCT src AS node, src AS other FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.other = b.src), components AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {V.EDGES}, {COMPONENTS} SELECT node, component FROM components")
+def components(spark, d):
+    return connected_components(V.edges(spark, d))
+
+
+GROUPED = f"""win AS (SELECT 'd' || doc_id AS window_id, source, doc_id FROM documents), named AS (SELECT window_id, source, doc_id, coalesce(component, window_id) AS c FROM win LEFT JOIN components ON node = window_id),
+members AS (SELECT window_id, 'g_' || substr(sha1(min(window_id) OVER (PARTITION BY c)), 1, 12) AS "group", CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'chr' || (doc_id % 23) END AS chrom, doc_id % 23 = 5 AND doc_id % 4 <> 3 AS holdout, doc_id % 23 = 7 AND doc_id % 4 <> 3 AS dev_chrom, CASE WHEN doc_id % 8 = 3 THEN 'retrovirus' WHEN doc_id % 8 = 7 THEN 'markov' ELSE 'l1' END AS source FROM named)"""
+
+
+def _members(spark, d):
+    docs = V.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("window_id"), "doc_id")
+    named = grouping.groups(docs, V.edges(spark, d))
+    own = docs.selectExpr("window_id", "CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('chr', doc_id % 23) END AS chrom", "doc_id % 23 = 5 AND doc_id % 4 <> 3 AS holdout", "doc_id % 23 = 7 AND doc_id % 4 <> 3 AS dev_chrom", "CASE WHEN doc_id % 8 = 3 THEN 'retrovirus' WHEN doc_id % 8 = 7 THEN 'markov' ELSE 'l1' END AS source")
+    return own.join(named, "window_id")
+
+
+def _split_sql(chrom_mode: bool) -> str:
+    u = V.FRACTION.format("'42:' || \"group\"")
+    genomic = "CASE WHEN bool_or(chrom <> '' AND NOT holdout AND NOT dev_chrom) THEN 'train' ELSE 'dev' END" if chrom_mode else f"CASE WHEN any_value({u}) < 0.1 THEN 'dev' ELSE 'train' END"
+    own = "WHEN chrom <> '' THEN CASE WHEN dev_chrom THEN 'dev' ELSE 'train' END" if chrom_mode else ""
+    return f"""base AS (SELECT "group", CASE WHEN bool_or(chrom <> '' AND NOT holdout) THEN {genomic} WHEN bool_or(source = 'retrovirus') THEN CASE WHEN any_value({u}) < 0.7 THEN 'train' WHEN any_value({u}) < 0.7::DOUBLE + 0.1::DOUBLE THEN 'dev' ELSE 'test' END
+ELSE CASE WHEN any_value({u}) < 0.8 THEN 'train' WHEN any_value({u}) < 0.8::DOUBLE + 0.1::DOUBLE THEN 'dev' ELSE 'test' END END AS base FROM members GROUP BY "group"),
+splits AS (SELECT window_id, m."group", source, CASE WHEN holdout THEN 'test' {own} ELSE base END AS split FROM members m JOIN base b ON m."group" = b."group")"""
+
+
+@query(f"WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED}, {_split_sql(False)} SELECT * FROM splits")
+def split_by_hash(spark, d):
+    return grouping.assign_splits(_members(spark, d)).select("window_id", "group", "source", "split")
+
+
+@query(f"WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED}, {_split_sql(True)} SELECT * FROM splits")
+def split_by_chromosome(spark, d):
+    return grouping.assign_splits(_members(spark, d), "chrom").select("window_id", "group", "source", "split")
+
+
+@query(f"""WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED}, {_split_sql(True)} SELECT window_id, split, split = 'test' AND NOT EXISTS (FROM splits o WHERE o."group" = s."group" AND split IN ('train', 'dev')) AS is_test_strict,
+split = 'dev' AND NOT EXISTS (FROM splits o WHERE o."group" = s."group" AND split = 'train') AS is_dev_strict FROM splits s""")
+def strict_sets(spark, d):
+    out = grouping.strict(grouping.assign_splits(_members(spark, d), "chrom"))
+    return out.select("window_id", "split", "is_test_strict", "is_dev_strict")
+
+
+@query(f"""WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED}, {_split_sql(False)} SELECT window_id, split FROM splits WHERE split = 'test' OR "group" NOT IN (SELECT "group" FROM splits WHERE split = 'test')""")
+def purge_groups(spark, d):
+    return grouping.purge(grouping.assign_splits(_members(spark, d))).select("window_id", "split")
+
+
+@query(f"""WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED} SELECT "group", count(*) AS n, count(DISTINCT source) AS n_sources, min(window_id) AS first_window FROM members GROUP BY "group" """)
+def group_summary(spark, d):
+    return grouping.group_summary(_members(spark, d))
+
+
+@query("SELECT * FROM (VALUES ('alphabet', 0), ('duplicate_ids', 0), ('ids_across_splits', 0), ('labels', 0), ('length', 0), ('strict_dev_groups', 0), ('strict_test_groups', 0)) AS t(\"check\", violations)")
+def leak_checks(spark, d):
+    split = grouping.strict(grouping.purge(grouping.assign_splits(_members(spark, d))))
+    seq = V.dna(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("window_id"), "seq")
+    rows = split.join(seq, "window_id").select("window_id", "group", "seq", F.lit(1).alias("label"), F.explode(F.array_compact(F.array("split", F.when(F.col("is_test_strict"), "test_strict"), F.when(F.col("is_dev_strict"), "dev_strict")))).alias("dataset"))
+    return grouping.leak_checks(rows, 1024)
+
+
+@query(
+    """SELECT window_id, dataset FROM (SELECT doc_id AS window_id, 'train' AS dataset, CASE WHEN doc_id % 11 = 0 THEN ['fwd'] ELSE ['fwd', 'rc'] END AS o FROM documents) WHERE o <> ['fwd', 'rc'] UNION ALL SELECT doc_id, '*' FROM documents WHERE doc_id % 13 = 0"""
+)
+def orientation_pairs(spark, d):
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("window_id"))
+    both = docs.withColumn("orientation", F.explode(F.array(F.lit("fwd"), F.lit("rc"))))
+    train = both.where("NOT (window_id % 11 = 0 AND orientation = 'rc')").withColumn("dataset", F.lit("train"))
+    return grouping.orientation_pairs(train.unionByName(both.where("window_id % 13 = 0").withColumn("dataset", F.lit("test"))))
+
+
+# similarity
+
+
+@query(
+    f"""WITH {V.DNA}, k AS (SELECT DISTINCT doc_id AS id, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 14), lambda i: substr(seq, i, 16))) AS f FROM dna)),
+n AS (SELECT id, count(*) AS n FROM k GROUP BY id), s AS (SELECT a.id AS src, b.id AS dst, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.id < b.id GROUP BY ALL)
+SELECT src, dst FROM s JOIN n x ON x.id = src JOIN n y ON y.id = dst WHERE pow(shared / least(x.n, y.n), 1 / 16) >= 0.9 AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n)"""
+)
+def similar_pairs(spark, d):
+    return similarity.cluster_pairs(V.dna(spark, d), "doc_id")
+
+
+@query(
+    f"""WITH {V.DNA}, k AS (SELECT DISTINCT doc_id AS id, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 14), lambda i: substr(seq, i, 16))) AS f FROM dna)),
+n AS (SELECT id, count(*) AS n FROM k GROUP BY id), s AS (SELECT a.id AS q, b.id AS t, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer WHERE a.id % 10 = 1 AND b.id % 10 <> 1 GROUP BY ALL),
+m AS (SELECT q, max(pow(shared / least(x.n, y.n), 1 / 16)) AS i FROM s JOIN n x ON x.id = q JOIN n y ON y.id = t GROUP BY q)
+SELECT doc_id AS query, CASE WHEN i >= 0.8 THEN round_even(i, 6) ELSE 0 END AS max_id FROM documents LEFT JOIN m ON q = doc_id WHERE doc_id % 10 = 1"""
+)
+def identity_to_train(spark, d):
+    x = V.dna(spark, d)
+    out = similarity.best_identity(x.where("doc_id % 10 = 1"), x.where("doc_id % 10 <> 1"), "doc_id", least=0.8)
+    return out.select("query", F.bround("max_id", 6).alias("max_id"))
+
+
+HITS = "hits AS (SELECT l_orderkey AS query, 1 - l_discount AS fident, CAST(l_quantity AS BIGINT) * 10 AS alnlen, 1 - l_tax * 4 AS qcov FROM lineitem)"
+
+
+@query(f"WITH {HITS} SELECT query, coalesce(max(fident) FILTER (WHERE qcov >= 0.8), 0) AS max_id, coalesce(max(fident) FILTER (WHERE alnlen >= 200), 0) AS max_id_local FROM hits GROUP BY query")
+def best_hits(spark, d):
+    x = V.table(spark, d, "lineitem")
+    return similarity.best_hits(x.selectExpr("l_orderkey AS query", "1 - l_discount AS fident", "CAST(l_quantity AS BIGINT) * 10 AS alnlen", "1 - l_tax * 4 AS qcov"))
+
+
+BAND = "CASE WHEN {0} < 0.8 THEN '<0.80' WHEN {0} < 0.9 THEN '0.80-0.90' WHEN {0} < 0.95 THEN '0.90-0.95' WHEN {0} >= 0.95 THEN '>=0.95' END"
+
+
+@query(f"WITH {V.PRED} SELECT s.source, b.band, count(p.row_idx) AS n FROM (SELECT DISTINCT source FROM pred) s CROSS JOIN (VALUES ('<0.80'), ('0.80-0.90'), ('0.90-0.95'), ('>=0.95')) b(band) LEFT JOIN pred p ON p.source = s.source AND {BAND.format('p.max_id_train')} = b.band GROUP BY s.source, b.band")
+def identity_bands(spark, d):
+    x = V.predictions(spark, d)
+    bands = F.explode(F.array(*map(F.lit, S.BANDS))).alias("band")
+    found = x.groupBy("source", S.identity_band(F.col("max_id_train")).alias("band")).agg(F.count("*").alias("n"))
+    return x.select("source").distinct().select("source", bands).join(found, ["source", "band"], "left").select("source", "band", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"WITH {V.PRED} SELECT count(*) FILTER (WHERE max_id_train < 0.90) AS below, count(*) FILTER (WHERE max_id_train < 0.90 AND prob >= 0.5) AS below_but_scored, count(*) FILTER (WHERE max_id_train IS NULL) AS without FROM pred")
+def identity_summary(spark, d):
+    return V.predictions(spark, d).agg(F.count_if(F.expr("max_id_train < 0.90")).alias("below"), F.count_if(F.expr("max_id_train < 0.90 AND prob >= 0.5")).alias("below_but_scored"), F.count_if(F.expr("max_id_train IS NULL")).alias("without"))
+
+
+# evaluation
+
+
+CONF = """conf AS (SELECT count(*) FILTER (WHERE label = 1 AND prob >= 0.5)::DOUBLE AS tp, count(*) FILTER (WHERE label = 0 AND prob >= 0.5)::DOUBLE AS fp, count(*) FILTER (WHERE label = 1 AND prob < 0.5)::DOUBLE AS fn, count(*) FILTER (WHERE label = 0 AND prob < 0.5)::DOUBLE AS tn FROM {0})"""
+FIGURES = """SELECT (tp + fp + fn + tn)::BIGINT AS n, (tp + fn)::BIGINT AS n_pos, round_even((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round_even((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 4) AS macro_f1,
+round_even((tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 4) AS mcc, round_even(auroc, 4) AS auroc, round_even(auprc, 4) AS auprc FROM conf, auc, ap"""
+AUC = """ranked AS (SELECT label, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2 AS r FROM {0}), auc AS (SELECT (sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)) AS auroc FROM ranked),
+steps AS (SELECT prob, sum(label) AS pos, sum(sum(label)) OVER (ORDER BY prob DESC) AS tp, sum(count(*)) OVER (ORDER BY prob DESC) AS n FROM {0} GROUP BY prob), ap AS (SELECT sum(pos / (SELECT sum(label) FROM {0}) * tp / n) AS auprc FROM steps)"""
+
+
+@query(f"WITH {V.PRED}, {CONF.format('pred')}, {AUC.format('pred')} {FIGURES}")
+def binary_metrics(spark, d):
+    return evaluation.binary(V.predictions(spark, d), [])
+
+
+@query(f"WITH {V.PRED}, own AS (SELECT * FROM pred WHERE source = 'g1' OR label = 0), {CONF.format('own')}, {AUC.format('own')} {FIGURES}")
+def target_against_negatives(spark, d):
+    return evaluation.target_against_negatives(V.predictions(spark, d), "g1")
+
+
+THRESHOLD = """t AS (SELECT prob, sum(sum(label)) OVER (ORDER BY prob DESC)::DOUBLE AS tp, sum(sum(1 - label)) OVER (ORDER BY prob DESC)::DOUBLE AS fp FROM pred GROUP BY prob), z AS (SELECT sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS n FROM pred),
+c AS (SELECT prob, CASE WHEN tp + fp = 0 OR p + n - tp - fp = 0 THEN 0 ELSE (tp * (n - fp) - fp * (p - tp)) / (sqrt(tp + fp) * sqrt(p) * sqrt(n) * sqrt(p + n - tp - fp)) END AS mcc FROM t, z)"""
+
+
+@query(f"WITH {V.PRED}, {THRESHOLD} SELECT prob AS threshold, round_even(mcc, 6) AS mcc FROM c WHERE mcc >= (SELECT max(mcc) FROM c) - 1e-12 ORDER BY abs(prob - 0.5), prob DESC LIMIT 1")
+def best_threshold(spark, d):
+    return evaluation.best_threshold(V.predictions(spark, d), []).select("threshold", F.bround("mcc", 6).alias("mcc"))
+
+
+@query(f"WITH {V.PRED} SELECT source, label, count(*) AS n, round_even(avg(((prob >= 0.5)::INT = label)::INT), 4) AS rate, CASE WHEN label = 1 THEN 'recall' ELSE 'specificity' END AS kind FROM pred GROUP BY source, label")
+def per_source_recall(spark, d):
+    return evaluation.per_source(V.predictions(spark, d))
+
+
+@query(f"WITH {V.PRED}, p AS (SELECT coalesce({BAND.format('max_id_train')}, 'no_value') AS band, (prob >= 0.5)::INT AS hit FROM pred WHERE label = 1) SELECT b.band, count(hit) AS n, round_even(avg(hit), 4) AS recall FROM (VALUES ('<0.80'), ('0.80-0.90'), ('0.90-0.95'), ('>=0.95'), ('no_value')) b(band) LEFT JOIN p ON p.band = b.band GROUP BY b.band")
+def band_recall(spark, d):
+    return evaluation.recall_by_band(V.predictions(spark, d))
+
+
+@query(f"WITH {V.PRED} SELECT window_id, min(row_idx) AS row_idx, any_value(label) AS label, avg(prob) AS prob, any_value(source) AS source FROM pred GROUP BY window_id")
+def window_rollup(spark, d):
+    return evaluation.by_window(V.predictions(spark, d), ["source"])
+
+
+@query()
+def full_report(spark, d):
+    x = V.predictions(spark, d)
+    return evaluation.full_report(x.where("window_id % 3 <> 0"), x.where("window_id % 3 = 0"))
+
+
+@query(
+    f"""WITH {V.PRED}, x AS (SELECT label AS y, (prob >= 0.5)::INT AS p FROM pred), k AS (SELECT unnest([0, 1])::INT AS class)
+SELECT class, count(*) FILTER (WHERE y = class) AS support, count(*) FILTER (WHERE p = class) AS predicted, count(*) FILTER (WHERE y = class AND p = class) AS hits, round_even(count(*) FILTER (WHERE y = class AND p = class) / count(*) FILTER (WHERE p = class), 4) AS precision,
+round_even(count(*) FILTER (WHERE y = class AND p = class) / count(*) FILTER (WHERE y = class), 4) AS recall, round_even(2 * count(*) FILTER (WHERE y = class AND p = class) / (count(*) FILTER (WHERE y = class) + count(*) FILTER (WHERE p = class)), 4) AS f1 FROM x, k GROUP BY class"""
+)
+def multiclass_metrics(spark, d):
+    x = V.predictions(spark, d).withColumn("p", (F.col("prob") >= 0.5).cast("int"))
+    return evaluation.multiclass(x, "label", "p")
+
+
+@query(f"WITH {V.PRED} SELECT source, CASE WHEN avg(prob) < 0.55 THEN 'FAIL' WHEN avg(prob) > 0.98 THEN 'WARN' ELSE 'PASS' END AS verdict FROM pred GROUP BY source")
+def pass_band(spark, d):
+    return V.predictions(spark, d).groupBy("source").agg(evaluation.verdict(F.avg("prob"), 0.55).alias("verdict"))
+
+
+# Markov, features, probes
+
+
+@query(f"WITH {V.DNA}, b AS (SELECT seq AS s FROM dna UNION ALL SELECT reverse(translate(seq, 'ACGT', 'TGCA')) FROM dna) SELECT substr(s, i, 5) AS state, substr(s, i + 5, 1) AS next, count(*) AS n FROM (SELECT s, unnest(range(1, length(s) - 4)) AS i FROM b) GROUP BY ALL")
+def markov_transitions(spark, d):
+    return markov.transitions(V.dna(spark, d))
+
+
+@query(f"WITH {V.DNA}, b AS (SELECT seq AS s FROM dna UNION ALL SELECT reverse(translate(seq, 'ACGT', 'TGCA')) FROM dna) SELECT substr(s, 1, 5) AS state, count(*) AS n FROM b GROUP BY ALL")
+def markov_initials(spark, d):
+    return markov.initials(V.dna(spark, d))
+
+
+@query()
+def markov_generate(spark, d):
+    x = V.dna(spark, d)
+    made = markov.generate(markov.transitions(x), markov.initials(x), 400, 256)
+    hist = sampling.histogram(_binned(spark, d).withColumn("role", F.lit(1)), "role", "bin")
+    return markov.matched_to(made, hist, 100, 256)
+
+
+@query("SELECT dim, round_even(avg(x), 6) AS mean, round_even(greatest(stddev_pop(x), 1e-6), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY dim")
+def feature_moments(spark, d):
+    out = features.moments(V.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v")), "v")
+    return out.select(F.col("dim").cast("bigint").alias("dim"), F.bround("mean", 6).alias("mean"), F.bround("std", 6).alias("std"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), m AS (SELECT dim, avg(x) AS mean, greatest(stddev_pop(x), 1e-6) AS std FROM x GROUP BY dim) SELECT vec_id, round_even(sum((x - mean) / std), 4) AS total FROM x JOIN m USING (dim) GROUP BY vec_id""")
+def standardize(spark, d):
+    x = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    out = features.standardized(x, "v", features.moments(x, "v"))
+    return out.select("vec_id", F.bround(F.aggregate("v", F.lit(0.0), lambda s, y: s + y), 4).alias("total"))
+
+
+@query("SELECT round_even(min(c), 6) AS least, round_even(avg(c), 6) AS mean, min(c) >= 0.999 AS ok FROM (SELECT list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding, lambda x: round_even(x::DOUBLE, 2))) AS c FROM embeddings)")
+def cosine_parity(spark, d):
+    x = V.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("a"))
+    out = features.parity(x.withColumn("b", F.transform("a", lambda y: F.bround(y, 2))), "a", "b")
+    return out.select(F.bround("least", 6).alias("least"), F.bround("mean", 6).alias("mean"), "ok")
+
+
+@query(f"WITH {V.DNA}, k AS (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3))) AS kmer FROM dna) SELECT doc_id, kmer, count(*) AS n FROM k GROUP BY ALL")
+def kmer_embed(spark, d):
+    return features.kmer_counts(V.dna(spark, d), "doc_id", "seq", 3)
+
+
+@query()
+def probe_logistic(spark, d):
+    x = V.table(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("label"), F.col("embedding").cast("array<double>").alias("features"))
+    stats = features.moments(x.where("vec_id % 5 <> 0"), "features")
+    x = features.standardized(x, "features", stats)
+    _, c, rows = features.logistic_grid(x.where("vec_id % 5 <> 0"), x.where("vec_id % 5 = 0"), (0.01, 0.1))
+    return spark.createDataFrame([(float(a), float(m), a == c) for a, m in rows], "c double, mcc double, best boolean")
+
+
+# provenance, benchmark preparation, readers and sinks
+
+
+SIDES = "sides AS (SELECT doc_id, text, doc_id % 2 AS label, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents)"
+
+
+def _sides(spark, d):
+    return V.table(spark, d, "documents").selectExpr("doc_id", "text", "doc_id % 2 AS label", "CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split")
+
+
+@query(f"WITH {SIDES} SELECT doc_id, label FROM sides WHERE split = 'train' AND text NOT IN (SELECT text FROM sides WHERE split = 'test' AND text IS NOT NULL)")
+def train_without_test(spark, d):
+    x = _sides(spark, d)
+    return x.where("split = 'train'").join(x.where("split = 'test'").select("text"), "text", "left_anti").select("doc_id", "label")
+
+
+@query(f"WITH {SIDES} SELECT doc_id FROM sides WHERE split = 'train' AND text IN (SELECT text FROM sides WHERE split = 'test')")
+def train_test_overlap(spark, d):
+    x = _sides(spark, d)
+    return x.where("split = 'train'").join(x.where("split = 'test'").select("text"), "text", "left_semi").select("doc_id")
+
+
+@query("WITH s AS (SELECT DISTINCT text, ['train', 'dev', 'test'][1 + doc_id % 3] AS dataset FROM documents) SELECT a.dataset AS a, b.dataset AS b, count(*) AS shared FROM s a JOIN s b ON a.text = b.text AND a.dataset < b.dataset GROUP BY ALL")
+def split_leak_matrix(spark, d):
+    s = V.table(spark, d, "documents").selectExpr("xxhash64(text) AS h", "sha2(text, 256) AS t", "array('train', 'dev', 'test')[doc_id % 3] AS dataset").distinct()
+    sets = s.groupBy("h", "t").agg(F.sort_array(F.collect_set("dataset")).alias("d")).where(F.size("d") > 1)
+    pairs = sets.select(F.explode("d").alias("a"), "d").select("a", F.explode("d").alias("b")).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+@query("SELECT source, sha256('train:' || sha256(min(text)) || chr(10) || 'dev:' || sha256(max(text)) || chr(10) || 'test:' || sha256(source)) AS hash FROM documents GROUP BY source")
+def combined_hash(spark, d):
+    x = V.table(spark, d, "documents").groupBy("source").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    h = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return x.select("source", provenance.combined_hash(h("a"), h("b"), h("source")).alias("hash"))
+
+
+@query(
+    """WITH a AS (SELECT lower(regexp_replace(p_name || '_' || p_partkey, '[-_.]+', '-', 'g')) AS name, p_size AS v FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT lower(regexp_replace(p_name || '.' || p_partkey, '[-_.]+', '-', 'g')) AS name, p_size + (p_partkey % 7 = 0)::INT AS v FROM part WHERE p_partkey % 5 <> 0)
+SELECT coalesce(a.name, b.name) AS name, a.v::VARCHAR AS before, b.v::VARCHAR AS after, CASE WHEN a.name IS NULL THEN '+' WHEN b.name IS NULL THEN '-' ELSE '~' END AS change FROM a FULL JOIN b ON a.name = b.name WHERE a.v IS DISTINCT FROM b.v"""
+)
+def package_diff(spark, d):
+    p = V.table(spark, d, "part")
+    a = p.where("p_partkey % 3 <> 0").selectExpr("concat(p_name, '_', p_partkey) AS name", "CAST(p_size AS STRING) AS version")
+    b = p.where("p_partkey % 5 <> 0").selectExpr("concat(p_name, '.', p_partkey) AS name", "CAST(p_size + CAST(p_partkey % 7 = 0 AS INT) AS STRING) AS version")
+    return provenance.package_diff(a, b)
+
+
+@query(f'WITH {V.IV} SELECT chrom, "start", "end", strand, cls AS subfamily, "end" - "start" AS locus_length FROM iv')
+def annotation_scan(spark, d):
+    """The annotation written out as lines, with comments and blank ones, and parsed again."""
+    iv = V.intervals(spark, d)
+    lines = iv.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "cls", F.lit("orf2"), "strand", F.lit("0"), F.lit("0"), F.lit("0"), (F.col("end") - F.col("start")).cast("string"), F.lit("0.97"), F.lit("0.98")).alias("value"))
+    noise = spark.createDataFrame([("# a comment",), ("",), ("   ",)], "value string")
+    return readers.annotation_rows(lines.union(noise), None).select("chrom", "start", "end", "strand", "subfamily", "locus_length")
+
+
+FAMILIES = "families AS (SELECT l_returnflag AS f, l_shipdate, l_linenumber, l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN 'LINE' WHEN 1 THEN 'LTR?' WHEN 2 THEN 'DNA' ELSE 'Simple_repeat' END AS class, CASE l_linenumber % 3 WHEN 0 THEN 'L1' WHEN 1 THEN 'SVA' ELSE 'hAT' END AS family FROM lineitem)"
+
+
+@query(f"""WITH {FAMILIES} SELECT class, family, family LIKE 'L1%' AS is_l1, NOT family LIKE 'L1%' AND (rtrim(class, '?') = 'LTR' OR family = 'SVA' OR class = 'Retroposon') AS is_ltr_sva, NOT family LIKE 'L1%' AND NOT (rtrim(class, '?') = 'LTR' OR family = 'SVA' OR class = 'Retroposon') AND class IN ('DNA', 'LINE') AS is_te,
+class NOT IN ('Simple_repeat', 'Low_complexity') AS is_interspersed, count(*) AS n FROM families GROUP BY ALL""")
+def repeat_classes(spark, d):
+    x = V.table(spark, d, "lineitem").selectExpr("CASE l_linenumber % 4 WHEN 0 THEN 'LINE' WHEN 1 THEN 'LTR?' WHEN 2 THEN 'DNA' ELSE 'Simple_repeat' END AS class", "CASE l_linenumber % 3 WHEN 0 THEN 'L1' WHEN 1 THEN 'SVA' ELSE 'hAT' END AS family")
+    return readers.repeat_flags(x, ("DNA", "LINE")).groupBy("class", "family", "is_l1", "is_ltr_sva", "is_te", "is_interspersed").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.DNA} SELECT 'NC_' || doc_id || '.1' AS name, CASE WHEN doc_id % 2 = 0 THEN 'pol protein' ELSE 'Polymerase' END AS product, seq FROM dna WHERE doc_id % 3 <> 0")
+def fasta_products(spark, d):
+    text = V.dna(spark, d).selectExpr("concat('NC_', doc_id, '.1 |', CASE WHEN doc_id % 3 = 0 THEN 'env protein' WHEN doc_id % 2 = 0 THEN 'pol protein' ELSE 'Polymerase' END, ' [Fake]|x\n', substr(seq, 1, 60), '\n', lower(substr(seq, 61)), '\n') AS value")
+    return readers.product_records(readers.fasta_records(text)).select("name", "product", "seq")
+
+
+@query(f"WITH {V.DNA} SELECT 'd' || doc_id AS name, a AS \"start\", a + 300 AS \"end\", substr(seq, a + 1, 300) AS seq FROM dna, (VALUES (0::BIGINT), (100), (900)) v(a)")
+def range_fetch(spark, d):
+    records = V.dna(spark, d).selectExpr("concat('d', doc_id) AS name", "seq")
+    ranges = records.select("name", F.explode(F.array(*(F.lit(a).cast("bigint") for a in (0, 100, 900)))).alias("start")).withColumn("end", F.col("start") + 300)
+    return readers.fetch(readers.chunked(records, 128), ranges, 128)
+
+
+@query(f"WITH {V.DNA}, {GC} SELECT 'd' || doc_id AS window_id, o AS orientation, CASE o WHEN 'fwd' THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END AS sequence, length(seq)::BIGINT AS w FROM gc, (VALUES ('fwd'), ('rc')) v(o)")
+def contract_rows(spark, d):
+    x = _binned(spark, d).selectExpr("concat('d', doc_id) AS window_id", "seq", "gc", "1 AS label", "source", "'' AS detail", "'' AS chrom", "CAST(NULL AS BIGINT) AS start", "CAST(NULL AS BIGINT) AS end", "'+' AS strand", "'g' AS group", "CAST(NULL AS DOUBLE) AS max_id_train", "CAST(NULL AS DOUBLE) AS max_id_train_local")
+    return sinks.contract_rows(x, 1024).select("window_id", "orientation", "sequence", F.length("sequence").cast("bigint").alias("w"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), n AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM e)
+SELECT user_id, count(*) AS n_events, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM n GROUP BY user_id, i""")
+def event_sessions(spark, d):
+    from strandline.streaming.sessions import sessions
+
+    out = sessions(V.table(spark, d, "events"))
+    return out.select("user_id", "n_events", (F.unix_micros("end") - F.unix_micros("start") - 30 * 60 * 1_000_000).alias("span"))
