@@ -8,7 +8,7 @@ integers agree on the offset; the share of bits that differ there decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.shared import written
+from strandline.llm.shared import strings, written
 
 RATE, FRAME, HOP, WINDOW = 5512, 2048, 683, 16
 LOWEST, HIGHEST = 55.0, 2500.0
@@ -80,34 +80,30 @@ def prints(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     return out
 
 
-def fingerprint(audio: Column, rate: int = RATE) -> Column:
-    """array<int> of a column of 16-bit little-endian mono samples; null for null, empty for less than 16 frames."""
+def samples(audio: bytes) -> np.ndarray:
+    """16-bit little-endian mono samples."""
+    return np.frombuffer(audio, "<i2", len(audio) // 2)
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def made(audio: pa.Array) -> pa.Array:
-        return pa.array([None if a is None else prints(np.frombuffer(a.as_buffer(), "<i2", a.as_buffer().size // 2), rate).view(np.int32) for a in (x if x.is_valid else None for x in audio)], pa.list_(pa.int32()))
 
-    return made(audio)
+def played(vector: list[float | None], note: float = 0.125) -> np.ndarray:
+    """Samples of a clip that plays a vector: a note for each component, whose pitch follows its value."""
+    x = np.nan_to_num(np.array([0 if c is None else c for c in vector], np.float32))
+    f = 220 * 2 ** (((7 * np.arange(len(x))) % 12 + 24 * np.clip(x, -1, 1)) / 12)
+    phase = np.cumsum(np.repeat(2 * np.pi * f / RATE, round(note * RATE))).astype(np.float32)
+    return (12000 * np.sin(phase) + 5000 * np.sin(2 * phase)).astype("<i2")
 
 
-def sonified(vector: Column, note: float = 0.125) -> Column:
-    """Samples of a clip that plays a vector: a note for each component, whose pitch follows its value."""
+def fingerprint(audio: Column, rate: int = RATE, decode: Callable[[object], np.ndarray] = samples) -> Column:
+    """array<int> of an audio column, which ``decode`` turns into samples, one recording at a time.
 
-    @F.arrow_udf(T.BinaryType())
-    def made(vector: pa.Array) -> pa.Array:
-        n = round(note * RATE)
-        out = []
-        for v in vector.to_pylist():
-            if v is None:
-                out.append(None)
-                continue
-            x = np.nan_to_num(np.array([0 if c is None else c for c in v], np.float32))
-            f = 220 * 2 ** (((7 * np.arange(len(x))) % 12 + 24 * np.clip(x, -1, 1)) / 12)
-            phase = np.cumsum(np.repeat(2 * np.pi * f / RATE, n)).astype(np.float32)
-            out.append((12000 * np.sin(phase) + 5000 * np.sin(2 * phase)).astype("<i2").tobytes())
-        return pa.array(out, pa.binary())
-
-    return made(vector)
+    Null for null, empty for less than 16 frames.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def made(audio: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else prints(decode(a), rate).view(np.int32) for a in strings(audio, 16)], pa.list_(pa.int32()))
+
+    return made(audio)
 
 
 @dataclass

@@ -41,8 +41,8 @@ from strandline.operators.graph import connected_components
 SEEDS = 8
 #: Signatures that a task holds before it hands them on.
 FLUSH = 500_000
-#: Regions of the domain whose counts bound the difference of two sets from below.
-REGIONS = 64
+#: A sketch has 2 ** MOST_REGIONS regions at most.
+MOST_REGIONS = 14
 C1, C2, C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -86,14 +86,14 @@ def signatures(shingles: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.n
     content = mix(shingles ^ C1)
     for a in bands.subsets(s):
         sums = np.array([np.add.reduce(content[list(c)]) for c in itertools.combinations(range(s), a)], np.uint64)
-        out.append(mix(sums + np.uint64(a) * C2))
+        out.append(mix(sums + np.full(1, a, np.uint64) * C2))
     rare = None
     for j, n, d in bands.bands(s):
         if rare is None:
             at = np.searchsorted(frequent, shingles)
             rare = np.ones(s, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] != shingles
         for seed in range(SEEDS):
-            base = np.uint64((j * SEEDS + seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            base = np.full(1, (j * SEEDS + seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
             part = ((mix(shingles + base) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
             size = np.bincount(part, minlength=n)
             selective = np.bincount(part, weights=rare, minlength=n)
@@ -125,16 +125,37 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
-    """Elements in each region of the domain, 255 at most: sets differ in as many elements as their counts do, or more."""
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=REGIONS), 255).astype(np.uint8).tobytes()
+    """Elements in each region of the domain, 3 at most, as three bit planes (at least 1, 2, 3).
+
+    Two sets differ in as many elements as their counts do, or more; the planes differ in
+    as many bits.  A set has two regions an element or more, 64 at least.
+    """
+    bits = min(max((2 * len(shingles) - 1).bit_length(), 6), MOST_REGIONS)
+    return planes(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)[None]).tobytes()
+
+
+def planes(counts: np.ndarray) -> np.ndarray:
+    return np.packbits(np.concatenate([counts >= 1, counts >= 2, counts >= 3], axis=1), axis=1)
+
+
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of half as many regions."""
+    m = len(sketches)
+    return planes(np.unpackbits(sketches, axis=1).reshape(m, 3, -1).sum(1).reshape(m, -1, 2).sum(2))
 
 
-def may_link(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and sketches leave room for a link; true for all that are linked."""
-    apart = np.abs(sketch.astype(np.int16) - other.astype(np.int16)).sum(-1)
+def may_link(n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches (rows of bytes) leave room for a link; true for all that are linked."""
+    while a.shape[1] != b.shape[1]:
+        a, b = (folded(a), b) if a.shape[1] > b.shape[1] else (a, folded(b))
+    apart = np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)).sum(1, dtype=np.int64)
     return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def rows_of(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
 def frequent_shingles(docs: DataFrame, rows: int, k: int, sample: int = 5_000, least: int = 5, most: int = 200_000) -> np.ndarray:
     """Shingles that ``least`` texts of a sample have, ``most`` of them at most, sorted.  They steer what is signed, not what is found."""
 
@@ -305,66 +326,68 @@ def _texts(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return found.join(own, same).select("f.node", "f.z").dropDuplicates(["node"])
 
 
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    gid, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (batch.schema.get_field_index(x) for x in ("gid", "node", "n")))
-    sketch = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sketch")).to_pylist()), np.uint8).reshape(-1, REGIONS)
-    return gid, node, n, sketch
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _pairs(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _stars(percent: int):
-    """Of rows sorted by group and node: the group's first node with each other that may be linked to it.  No group is held."""
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches leave room for a link."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hub = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            gid, node, n, sketch = _arrays(batch)
-            first = np.concatenate([[group is None or gid[0] != group], gid[1:] != gid[:-1]])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(gid)), -1))
-            a, m, other = node[at], n[at], sketch[at]
-            if not first[0]:
-                a[at < 0], m[at < 0], other[at < 0] = hub
-            ok = ~first & may_link(n, sketch, m, other, percent)
-            yield _pairs(a[ok], node[ok])
-            if at[-1] >= 0:
-                group, hub = gid[-1], (node[at[-1]], n[at[-1]], sketch[at[-1]])
+            a, b, na, nb = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            sa, sb = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            kind = np.array([len(x) << 32 | len(y) for x, y in zip(sa, sb, strict=True)], np.int64)
+            for k in np.unique(kind):
+                at = np.flatnonzero(kind == k)
+                ok = at[may_link(na[at], rows_of([sa[i] for i in at]), nb[at], rows_of([sb[i] for i in at]), percent)]
+                yield _pairs(a[ok], b[ok])
 
-    return run
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _between(percent: int, block: int = 512):
-    """Of rows sorted by group: pairs of nodes of different components that may be linked, block by block."""
+    """Of rows (gid, node, n, c, sketch) sorted by group: pairs of different components that may be linked, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
+        seen: set[tuple[int, int]] = set()
 
         def between() -> Iterator[pa.RecordBatch]:
-            _, node, n, sketch, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            for i in range(0, len(node), block):
-                for j in range(i, len(node), block):
-                    x, y = slice(i, i + block), slice(j, j + block)
-                    ok = (c[x, None] != c[None, y]) & (node[x, None] < node[None, y])
-                    a, b = np.nonzero(ok)
-                    keep = may_link(n[x][a], sketch[x][a], n[y][b], sketch[y][b], percent)
-                    if keep.any():
-                        yield _pairs(node[x][a[keep]], node[y][b[keep]])
+            node, n, c = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
+            level = np.array([len(r[4]) for r in held])
+            kinds = np.unique(level).tolist()
+            sketches = {k: rows_of([r[4] for r in held if len(r[4]) == k]) for k in kinds}
+            for p, x in enumerate(kinds):
+                for y in kinds[p : p + 2]:
+                    if y > 2 * x:
+                        continue
+                    left, right = np.flatnonzero(level == x), np.flatnonzero(level == y)
+                    other = sketches[y] if x == y else folded(sketches[y])
+                    for i in range(0, len(left), block):
+                        for j in range(i if x == y else 0, len(right), block):
+                            u, v = left[i : i + block], right[j : j + block]
+                            ok = (c[u, None] != c[None, v]) & (np.minimum(n[u, None], n[None, v]) * 100 >= np.maximum(n[u, None], n[None, v]) * percent)
+                            if x == y:
+                                ok &= u[:, None] < v[None]
+                            a, b = np.nonzero(ok)
+                            for lo in range(0, len(a), 8192):
+                                s, t = a[lo : lo + 8192], b[lo : lo + 8192]
+                                keep = may_link(n[u[s]], sketches[x][i : i + block][s], n[v[t]], other[j : j + block][t], percent)
+                                found = {(min(e), max(e)) for e in zip(node[u[s[keep]]].tolist(), node[v[t[keep]]].tolist(), strict=True)} - seen
+                                if found:
+                                    if len(seen) < 1_000_000:
+                                        seen.update(found)
+                                    yield _pairs(*zip(*found, strict=True))
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            gid, node, n, sketch = _arrays(batch)
-            c = batch.column(batch.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(gid[1:] != gid[:-1]) + 1).tolist(), len(gid)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if held and held[-1][0][0] != gid[lo]:
+            for row in zip(*map(strings, batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
                     yield from between()
-                    held = []
-                held.append((gid[lo:hi], node[lo:hi], n[lo:hi], sketch[lo:hi], c[lo:hi]))
+                    held.clear()
+                held.append(row)
         if held:
             yield from between()
 
@@ -385,18 +408,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     groups = signed.where("gid IS NOT NULL").select("gid", "node").distinct()
     nodes = sets.join(groups.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
-    groups = written(groups.join(nodes.select("node", "n", "sketch"), "node"), "groups")
+    groups = written(groups, "groups")
     texts = written(_texts(rows, nodes, k), "texts")
 
-    parts = partitions(rows)
-    stars = groups.repartition(parts, "gid").sortWithinPartitions("gid", "node").mapInArrow(_stars(percent), "a long, b long").distinct()
-    links = written(_verified(stars, texts, percent, k), "links")
+    hubs = groups.groupBy("gid").agg(F.min("node").alias("a"))
+    stars = groups.join(hubs, "gid").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links = written(_verified(_near(stars, nodes, percent), texts, percent, k), "links")
     first = written(connected_components(links, "a", "b"), "first")
 
     # what the stars left apart: groups of several components, compared between them
-    labelled = groups.join(first, "node", "left").select("gid", "node", "n", "sketch", F.coalesce("component", "node").alias("c"))
+    labelled = groups.join(first, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c"))
     apart = labelled.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x <> y AND size > 2").select("gid")
-    rest = labelled.join(apart, "gid").repartition(parts, "gid").sortWithinPartitions("gid", "node").mapInArrow(_between(percent), "a long, b long").distinct()
+    rest = labelled.join(apart, "gid").join(nodes.select("node", "n", "sketch"), "node").select("gid", "node", "n", "c", "sketch")
+    rest = rest.repartition(partitions(rows), "gid").sortWithinPartitions("gid").mapInArrow(_between(percent), "a long, b long").distinct()
     more = _verified(rest, texts, percent, k)
     final = connected_components(links.unionByName(more), "a", "b")
 

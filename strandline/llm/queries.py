@@ -16,11 +16,11 @@ QUALITY = 0.7
 
 def op1_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector is played as a clip; every 20th asks for the clips that sound like it."""
-    from strandline.llm.audio import fingerprint, search, sonified
+    from strandline.llm.audio import fingerprint, played, search
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    clips = vectors.repartition(partitions(vectors)).select("vec_id", sonified(F.col("embedding")).alias("audio"))
-    out = search(clips.select("vec_id", fingerprint(F.col("audio")).alias("prints")), F.col("vec_id") % 20 == 0, id_col="vec_id")
+    clips = vectors.repartition(partitions(vectors)).select("vec_id", fingerprint(F.col("embedding"), decode=played).alias("prints"))
+    out = search(clips, F.col("vec_id") % 20 == 0, id_col="vec_id")
     return out.withColumnRenamed("id", "vec_id")
 
 
