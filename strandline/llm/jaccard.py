@@ -125,7 +125,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
-    """Elements in each region of the domain, 3 at most, as three bit planes (at least 1, 2, 3).
+    """Elements in each region of the domain, 2 at most, as two bit planes (at least 1, at least 2).
 
     Two sets differ in as many elements as their counts do, or more; the planes differ in
     as many bits.  A set has two regions an element or more, 64 at least.
@@ -135,20 +135,24 @@ def sketch_of(shingles: np.ndarray) -> bytes:
 
 
 def planes(counts: np.ndarray) -> np.ndarray:
-    return np.packbits(np.concatenate([counts >= 1, counts >= 2, counts >= 3], axis=1), axis=1)
+    return np.packbits(np.concatenate([counts >= 1, counts >= 2], axis=1), axis=1)
 
 
 def folded(sketches: np.ndarray) -> np.ndarray:
     """Sketches of half as many regions."""
     m = len(sketches)
-    return planes(np.unpackbits(sketches, axis=1).reshape(m, 3, -1).sum(1).reshape(m, -1, 2).sum(2))
+    return planes(np.unpackbits(sketches, axis=1).reshape(m, 2, -1).sum(1).reshape(m, -1, 2).sum(2))
 
 
-def may_link(n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and sketches (rows of bytes) leave room for a link; true for all that are linked."""
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many elements the sets differ at least, of which these are sketches (rows of bytes)."""
     while a.shape[1] != b.shape[1]:
         a, b = (folded(a), b) if a.shape[1] > b.shape[1] else (a, folded(b))
-    apart = np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)).sum(1, dtype=np.int64)
+    return np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and differences leave room for a link; true for all that are linked."""
     return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
@@ -330,6 +334,11 @@ def _pairs(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes that some pair has."""
+    return nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and sketches leave room for a link."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -341,25 +350,33 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             kind = np.array([len(x) << 32 | len(y) for x, y in zip(sa, sb, strict=True)], np.int64)
             for k in np.unique(kind):
                 at = np.flatnonzero(kind == k)
-                ok = at[may_link(na[at], rows_of([sa[i] for i in at]), nb[at], rows_of([sb[i] for i in at]), percent)]
+                ok = at[may_link(na[at], nb[at], differences(rows_of([sa[i] for i in at]), rows_of([sb[i] for i in at])), percent)]
                 yield _pairs(a[ok], b[ok])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
     return both.mapInArrow(run, "a long, b long")
 
 
-def _between(percent: int, block: int = 512):
-    """Of rows (gid, node, n, c, sketch) sorted by group: pairs of different components that may be linked, block by block."""
+def _between(percent: int, nearest: bool, block: int = 512):
+    """Of rows (gid, node, n, c, sketch) sorted by group: pairs (gid, a, b) of different components that may be linked.
+
+    All of them, or for each node the one that its sketch says is nearest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         seen: set[tuple[int, int]] = set()
 
+        def triples(gid: int, a: list[int], b: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([gid] * len(a), a, b)], names=["gid", "a", "b"])
+
         def between() -> Iterator[pa.RecordBatch]:
+            gid = held[0][0]
             node, n, c = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
             level = np.array([len(r[4]) for r in held])
             kinds = np.unique(level).tolist()
             sketches = {k: rows_of([r[4] for r in held if len(r[4]) == k]) for k in kinds}
+            best, partner = np.full(len(node), np.iinfo(np.int64).max), np.full(len(node), -1)
             for p, x in enumerate(kinds):
                 for y in kinds[p : p + 2]:
                     if y > 2 * x:
@@ -375,12 +392,24 @@ def _between(percent: int, block: int = 512):
                             a, b = np.nonzero(ok)
                             for lo in range(0, len(a), 8192):
                                 s, t = a[lo : lo + 8192], b[lo : lo + 8192]
-                                keep = may_link(n[u[s]], sketches[x][i : i + block][s], n[v[t]], other[j : j + block][t], percent)
-                                found = {(min(e), max(e)) for e in zip(node[u[s[keep]]].tolist(), node[v[t[keep]]].tolist(), strict=True)} - seen
+                                apart = differences(sketches[x][i : i + block][s], other[j : j + block][t])
+                                keep = may_link(n[u[s]], n[v[t]], apart, percent)
+                                s, t, apart = u[s[keep]], v[t[keep]], apart[keep]
+                                if nearest:
+                                    for one, two in ((s, t), (t, s)):
+                                        order = np.lexsort((apart, one))
+                                        order = order[np.flatnonzero(np.diff(one[order], prepend=-1))]
+                                        order = order[apart[order] < best[one[order]]]
+                                        best[one[order]], partner[one[order]] = apart[order], two[order]
+                                    continue
+                                found = {(min(e), max(e)) for e in zip(node[s].tolist(), node[t].tolist(), strict=True)} - seen
                                 if found:
                                     if len(seen) < 1_000_000:
                                         seen.update(found)
-                                    yield _pairs(*zip(*found, strict=True))
+                                    yield triples(gid, *zip(*found, strict=True))
+            if nearest and (partner >= 0).any():
+                at = np.flatnonzero(partner >= 0)
+                yield triples(gid, node[at].tolist(), node[partner[at]].tolist())
 
         for batch in batches:
             for row in zip(*map(strings, batch.columns), strict=True):
@@ -409,20 +438,29 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     nodes = sets.join(groups.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     groups = written(groups, "groups")
-    texts = written(_texts(rows, nodes, k), "texts")
-
     hubs = groups.groupBy("gid").agg(F.min("node").alias("a"))
     stars = groups.join(hubs, "gid").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = written(_verified(_near(stars, nodes, percent), texts, percent, k), "links")
-    first = written(connected_components(links, "a", "b"), "first")
-
-    # what the stars left apart: groups of several components, compared between them
-    labelled = groups.join(first, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c"))
-    apart = labelled.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x <> y AND size > 2").select("gid")
-    rest = labelled.join(apart, "gid").join(nodes.select("node", "n", "sketch"), "node").select("gid", "node", "n", "c", "sketch")
-    rest = rest.repartition(partitions(rows), "gid").sortWithinPartitions("gid").mapInArrow(_between(percent), "a long, b long").distinct()
-    more = _verified(rest, texts, percent, k)
-    final = connected_components(links.unionByName(more), "a", "b")
+    stars = written(_near(stars, nodes, percent), "stars")
+    texts = written(_texts(rows, _of(nodes, stars), k), "texts")
+    links = written(_verified(stars, texts, percent, k), "links")
+
+    # What the stars left apart is compared across components: twice each node with the
+    # nearest one, then what is left with all.  A node of a group that has none near it
+    # is done with: sketches don't change.
+    alive, parts = groups, partitions(rows)
+    for turn in range(3):
+        found = connected_components(links, "a", "b")
+        labelled = alive.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c"))
+        apart = labelled.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("gid")
+        rest = labelled.join(apart, "gid").join(nodes.select("node", "n", "sketch"), "node").select("gid", "node", "n", "c", "sketch")
+        pairs = written(rest.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(_between(percent, turn < 2), "gid long, a long, b long"), "pairs")
+        if turn == 0:
+            alive = written(pairs.select("gid", F.col("a").alias("node")).distinct(), "alive")
+            more = _of(nodes, pairs).join(texts.select("node"), "node", "left_anti")
+            texts = texts.unionByName(written(_texts(rows, more, k), "texts"))
+        own = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionByName(written(_verified(own, texts, percent, k), "links"))
+    final = connected_components(links, "a", "b")
 
     reached = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     reached = reached.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))

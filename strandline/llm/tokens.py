@@ -47,7 +47,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.mode = mode
-        self.between, self.opens = -1, np.zeros(0, bool)
+        self.between, self.opens, self.simple = -1, np.zeros(0, bool), self.tokenizer
         if mode:
             self.simple = self._single_words(Tokenizer.from_file(path))
             self.between = self._library(["\x02"])[0][0]

@@ -1,0 +1,51 @@
+"""Registered queries on the smallest tables, and the pipeline stage by stage."""
+
+import os
+
+import duckdb
+import pytest
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+def test_all_are_registered():
+    import __spark_entry__
+
+    names = {*__spark_entry__.queries()}
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", ["op4_minhash_containment", "op7_line_bitmaps"])
+def test_equals_sql(spark, name):
+    from strandline.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    have, want = queries.queries()[name](spark, DATA).toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    key = sorted(have.columns)
+    assert sorted(map(tuple, have[key].values.tolist())) == sorted(map(tuple, want[key].values.tolist()))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+    from strandline.llm.contamination import find_contained
+    from strandline.llm.jaccard import jaccard_components
+    from strandline.llm.shared import table
+
+    docs = table(spark, DATA, "documents")
+    columns = docs.columns
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, DATA).cache()
+        assert out.columns == columns and 0 < out.count() <= docs.count()
+        if name == "line_bitmaps":
+            assert out.count() == docs.count() and out.where("n_chars <> length(text)").count() == 0
+        if name == "partenum_jaccard":
+            assert jaccard_components(out).where("doc_id <> component_id").count() == 0
+        if name == "minhash_containment":
+            assert find_contained(out, table(spark, DATA, "benchmark")).count() == 0
+        docs = out
+    packed = p.STAGES[-1][1](spark, docs, DATA)
+    assert packed.select("doc_id").distinct().count() == docs.count()
+    assert p.ORACLE_SQL is None
