@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,36 @@ def _folder(df: DataFrame) -> str:
     return f"{root.rstrip('/')}/components/{uuid.uuid4().hex}"
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+#: Up to so many edges (16 MB) one task finds the components; more are contracted in rounds.
+FEW_EDGES = 500_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        kind = None
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        if parent:
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "component"])
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, component) of every node of an undirected edge table; the component is its smallest node.
 
     A round costs two aggregations with map-side minima and two joins; their number grows
@@ -31,7 +62,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     spark, root = edges.sparkSession, _folder(edges)
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     both.write.parquet(f"{root}/0")
-    first = spark.read.parquet(f"{root}/0")
+    first = spark.read.schema(both.schema).parquet(f"{root}/0")
+    if first.count() <= few:
+        return _in_one_task(first)
     nodes = first.select(F.col("u").alias("node")).union(first.select("v")).distinct()
     now, before = first.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
     for n in range(1, max_rounds + 1):

@@ -69,10 +69,10 @@ def test_best_hits(spark):
     assert got(similarity.best_hits(df)) == [("q0", 0.93, 0.99), ("q1", 0.0, 0.0)]
 
 
-@pytest.mark.parametrize("n", [2, 50, 301])
-def test_components_of_a_path(spark, n):
+@pytest.mark.parametrize(("n", "few"), [(2, 0), (50, 0), (301, 10**6)])
+def test_components_of_a_path(spark, n, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000), (None, 3)], "src long, dst long")
-    out = connected_components(edges)
+    out = connected_components(edges, few=few)
     assert got(out) == [(i, 0) for i in range(n + 1)] + [(1000, 1000)]
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
