@@ -438,22 +438,26 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     nodes = sets.join(groups.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     groups = written(groups, "groups")
-    hubs = groups.groupBy("gid").agg(F.min("node").alias("a"))
+    # the hub of a group is the node that most groups have: a text that others were made of
+    degrees = groups.join(groups.groupBy("node").agg(F.count("*").alias("degree")), "node")
+    hubs = degrees.groupBy("gid").agg(F.max(F.struct("degree", "node")).alias("hub")).select("gid", F.col("hub.node").alias("a"))
     stars = groups.join(hubs, "gid").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     stars = written(_near(stars, nodes, percent), "stars")
     texts = written(_texts(rows, _of(nodes, stars), k), "texts")
     links = written(_verified(stars, texts, percent, k), "links")
 
-    # What the stars left apart is compared across components: twice each node with the
-    # nearest one, then what is left with all.  A node of a group that has none near it
-    # is done with: sketches don't change.
+    # What the stars left apart is compared across components: each node with the nearest
+    # one first, then what is left with all.  A node of a group that has none near it is
+    # done with: sketches don't change.
     alive, parts = groups, partitions(rows)
-    for turn in range(3):
+    for turn in range(2):
         found = connected_components(links, "a", "b")
         labelled = alive.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c"))
         apart = labelled.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("gid")
         rest = labelled.join(apart, "gid").join(nodes.select("node", "n", "sketch"), "node").select("gid", "node", "n", "c", "sketch")
-        pairs = written(rest.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(_between(percent, turn < 2), "gid long, a long, b long"), "pairs")
+        pairs = written(rest.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(_between(percent, turn == 0), "gid long, a long, b long"), "pairs")
+        if pairs.isEmpty():
+            break
         if turn == 0:
             alive = written(pairs.select("gid", F.col("a").alias("node")).distinct(), "alive")
             more = _of(nodes, pairs).join(texts.select("node"), "node", "left_anti")

@@ -47,8 +47,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def partitions(df: DataFrame, mb: int = 32) -> int:
-    """Shuffle partitions for all of a table's bytes: as the session says, or more if a part would exceed ``mb``."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Shuffle partitions for all bytes of the files that a plan reads: as the session says, or more if a part would exceed ``mb``.
+
+    Leaves whose size Spark doesn't know (it says exabytes) count as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 200_000))
 
 
