@@ -17,7 +17,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct pieces kept by a worker; the cache starts afresh beyond it.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Longer pieces are encoded each time, so that the cache's memory is bounded.
 CACHE_PIECE_CHARS = 64
 
