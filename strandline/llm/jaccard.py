@@ -336,7 +336,7 @@ def _pairs(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> pa.RecordBat
 
 def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The nodes that some pair has."""
-    return nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    return nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
