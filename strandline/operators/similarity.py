@@ -10,12 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import kmers, reverse_complement
+from strandline.operators.graph import _folder
+
+
+def kmer_sets(df: DataFrame, id_col: str, seq: str = "seq", k: int = 16) -> DataFrame:
+    """(id, kmers) without repeats; a k-mer and its reverse complement are one."""
+    both = F.struct(F.col(seq).alias("s"), reverse_complement(F.col(seq)).alias("r"))
+    own = df.select(F.col(id_col).alias("id"), both.alias("x")).groupBy("id").agg(F.collect_set("x").alias("x"))
+    own = own.select("id", F.explode("x").alias("x"))  # made once: within kmers it would be made for each place
+    own = own.select("id", F.array_distinct(F.zip_with(kmers(F.col("x.s"), k), F.reverse(kmers(F.col("x.r"), k)), lambda a, b: F.least(a, b))).alias("kmers"))
+    return own.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("kmers"))).alias("kmers"))
 
 
 def canonical_kmers(df: DataFrame, id_col: str, seq: str = "seq", k: int = 16) -> DataFrame:
     """(id, kmer) without repeats; a k-mer and its reverse complement are one."""
-    at = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(kmers(F.col(seq), k))).alias("f"))
-    return at.select("id", F.least("f", reverse_complement(F.col("f"))).alias("kmer")).distinct()
+    return kmer_sets(df, id_col, seq, k).select("id", F.explode("kmers").alias("kmer"))
 
 
 def sketch(df: DataFrame, size: int = 64) -> DataFrame:
@@ -23,21 +32,73 @@ def sketch(df: DataFrame, size: int = 64) -> DataFrame:
     return df.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.xxhash64("kmer"))), 1, size).alias("hashes"))
 
 
-def shared_kmers(queries: DataFrame, targets: DataFrame, most_common: int = 1000) -> DataFrame:
-    """(query, target, shared, n_query, n_target) of pairs that share a k-mer.
+def _written(df: DataFrame) -> DataFrame:
+    path = _folder(df)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(id, class, n) of ids with n k-mers; ids with equal k-mer sets are a class, named by its smallest id."""
+    keys = sets.where(F.size("kmers") > 0).select("id", F.size("kmers").alias("n"), F.sha2(F.array_join(F.array_sort("kmers"), ",").cast("binary"), 256).alias("key"))
+    return _written(keys.join(keys.groupBy("key").agg(F.min("id").alias("class")), "key").select("id", "class", "n"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id: str, most: int) -> DataFrame:
+    """The inner equi-join; keys with more than ``most`` rows on a side are cut into slices of the ids there, and each pair of slices is a key of its own."""
+    l, r = (x.groupBy(on).agg(F.ceil(F.count("*") / most).cast("int").alias(c)) for x, c in ((left, "__nl"), (right, "__nr")))
+    hot = l.join(r, on).where("__nl > 1 OR __nr > 1")
+    slice_of = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    own = left.join(hot, on, "left").withColumn("__l", slice_of(left_id, F.col("__nl"))).withColumn("__r", all_of(F.col("__nr"))).drop("__nl", "__nr")
+    other = right.join(hot, on, "left").withColumn("__r", slice_of(right_id, F.col("__nr"))).withColumn("__l", all_of(F.col("__nl"))).drop("__nl", "__nr")
+    return own.join(other, [on, "__l", "__r"]).drop("__l", "__r")
+
 
-    K-mers of more than ``most_common`` targets are counted only for pairs that a rarer
-    k-mer has brought together.
+def incidence(rows: DataFrame, held: Column) -> DataFrame:
+    """(side, id, kmer, weight) of the k-mers whose holders fulfil ``held``: k-mers with the same holders are one, with their number.
+
+    Holders are told apart by their number and 128 bits of hashes.
+    """
+    alike = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("side", "id")).alias("a"), F.bit_xor(F.xxhash64("id", "side", F.lit(1))).alias("b"), F.min("side").alias("first"), F.max("side").alias("last")]
+    kinds = rows.groupBy("kmer").agg(*alike).where(held).groupBy("n", "a", "b").agg(F.min("kmer").alias("kmer"), F.count("*").alias("weight"))
+    return _written(rows.join(kinds.select("kmer", "weight"), "kmer").select("side", "id", "kmer", "weight"))
+
+
+def class_pairs(queries: DataFrame, of_q: DataFrame, targets: DataFrame | None = None, of_t: DataFrame | None = None, most_common: int = 1000) -> DataFrame:
+    """(query, target, shared, n_query, n_target) of classes that share a k-mer; without targets, of the queries' classes among themselves.
+
+    A k-mer that more than ``most_common`` classes have is dealt out in slices; none is left out.
     """
-    often = targets.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") > most_common).select("kmer")
-    q, t = (x.groupBy("id").agg(F.count("*").alias("n")) for x in (queries, targets))
-    rare = targets.join(often, "kmer", "left_anti")
-    pairs = queries.select(F.col("id").alias("query"), "kmer").join(rare.select(F.col("id").alias("target"), "kmer"), "kmer").groupBy("query", "target").agg(F.count("*").alias("rare"))
-    extra_q = queries.join(often, "kmer", "left_semi").select(F.col("id").alias("query"), "kmer")
-    extra_t = targets.join(often, "kmer", "left_semi").select(F.col("id").alias("target"), "kmer")
-    extra = pairs.join(extra_q, "query").join(extra_t, ["target", "kmer"]).groupBy("query", "target").agg(F.count("*").alias("common"))
-    out = pairs.join(extra, ["query", "target"], "left").withColumn("shared", F.col("rare") + F.coalesce("common", F.lit(0)))
-    return out.join(q.select(F.col("id").alias("query"), F.col("n").alias("n_query")), "query").join(t.select(F.col("id").alias("target"), F.col("n").alias("n_target")), "target").select("query", "target", "shared", "n_query", "n_target")
+    own = lambda sets, of, side: sets.join(of.where("id = class").select("id"), "id", "left_semi").select(F.lit(side).alias("side"), "id", F.explode("kmers").alias("kmer"))
+    if targets is None:
+        rows = incidence(own(queries, of_q, 0), F.col("n") > 1)
+        left, right, of_t = rows, rows, of_q
+    else:
+        rows = incidence(own(queries, of_q, 0).union(own(targets, of_t, 1)), F.col("first") < F.col("last"))
+        left, right = rows.where("side = 0"), rows.where("side = 1")
+    pairs = dealt_join(left.select(F.col("id").alias("query"), "kmer", "weight"), right.select(F.col("id").alias("target"), "kmer"), "kmer", "query", "target", most_common)
+    pairs = pairs.groupBy("query", "target").agg(F.sum("weight").alias("shared"))
+    q, t = (x.where("id = class").select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for x, c in ((of_q, "query"), (of_t, "target")))
+    out = pairs.join(q, "query").join(t, "target").select("query", "target", "shared", "n_query", "n_target")
+    if targets is not None:
+        return out
+    n = F.col("n").alias
+    return out.where("query <> target").union(of_q.where("id = class").select(F.col("id"), F.col("id"), F.col("n").cast("long"), n("n_query"), n("n_target")))
+
+
+def members_of(pairs: DataFrame, of_q: DataFrame, of_t: DataFrame, most_common: int = 1000) -> DataFrame:
+    """Pairs of classes as pairs of their members."""
+    q, t = (x.select(F.col("class").alias(f"{c}_class"), F.col("id").alias(c)) for x, c in ((of_q, "query"), (of_t, "target")))
+    own = pairs.withColumnsRenamed({"query": "query_class", "target": "target_class"})
+    own = dealt_join(own, q, "query_class", "target_class", "query", most_common)
+    return dealt_join(own, t, "target_class", "query", "target", most_common).select("query", "target", *[c for c in pairs.columns if c not in ("query", "target")])
+
+
+def shared_kmers(queries: DataFrame, targets: DataFrame, most_common: int = 1000) -> DataFrame:
+    """(query, target, shared, n_query, n_target) of all pairs of k-mer sets that share a k-mer, however common it is."""
+    of_q, of_t = classes(queries), classes(targets)
+    return members_of(class_pairs(queries, of_q, targets, of_t, most_common), of_q, of_t, most_common)
 
 
 def identity(shared: Column, smaller: Column, k: int) -> Column:
@@ -46,16 +107,21 @@ def identity(shared: Column, smaller: Column, k: int) -> Column:
 
 def cluster_pairs(df: DataFrame, id_col: str, seq: str = "seq", k: int = 16, least_identity: float = 0.90, least_coverage: float = 0.8) -> DataFrame:
     """(src, dst) of similar sequences, src < dst: estimated identity and the share of the longer one."""
-    own = canonical_kmers(df, id_col, seq, k)
-    pairs = shared_kmers(own, own).where("query < target")
+    own = kmer_sets(df, id_col, seq, k)
+    of = classes(own)
+    pairs = class_pairs(own, of)
     near = identity(F.col("shared"), F.least("n_query", "n_target"), k) >= least_identity
-    return pairs.where(near & (F.least("n_query", "n_target") >= least_coverage * F.greatest("n_query", "n_target"))).select(F.col("query").alias("src"), F.col("target").alias("dst"))
+    found = pairs.where(near & (F.least("n_query", "n_target") >= least_coverage * F.greatest("n_query", "n_target"))).select("query", "target")
+    return members_of(found, of, of).where("query < target").select(F.col("query").alias("src"), F.col("target").alias("dst"))
 
 
 def best_identity(queries: DataFrame, targets: DataFrame, id_col: str, seq: str = "seq", k: int = 16, least: float = 0.5) -> DataFrame:
     """(query, max_id): each query's highest estimated identity; 0 without a hit of ``least``."""
-    pairs = shared_kmers(canonical_kmers(queries, id_col, seq, k), canonical_kmers(targets, id_col, seq, k))
-    best = pairs.groupBy("query").agg(F.max(identity(F.col("shared"), F.least("n_query", "n_target"), k)).alias("max_id"))
+    own, other = kmer_sets(queries, id_col, seq, k), kmer_sets(targets, id_col, seq, k)
+    of = classes(own)
+    pairs = class_pairs(own, of, other, classes(other))
+    best = pairs.groupBy(F.col("query").alias("class")).agg(F.max(identity(F.col("shared"), F.least("n_query", "n_target"), k)).alias("max_id"))
+    best = of.join(best, "class").select(F.col("id").alias("query"), "max_id")
     return queries.select(F.col(id_col).alias("query")).join(best.where(F.col("max_id") >= least), "query", "left").withColumn("max_id", F.coalesce("max_id", F.lit(0.0)))
 
 

@@ -1,5 +1,7 @@
 """Operators against hand-computed values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,28 @@ def test_best_hits(spark):
     assert got(similarity.best_hits(df)) == [("q0", 0.93, 0.99), ("q1", 0.0, 0.0)]
 
 
+def test_common_kmers_bring_pairs_together(spark):
+    rng = random.Random(5)
+    x = "".join(rng.choice("ACGT") for _ in range(120))
+    near = [x[:i] + {"A": "C", "C": "G", "G": "T", "T": "A"}[x[i]] + x[i + 1 :] for i in range(8)]
+    seqs = [*near, *near[:4], x, "".join(rng.choice("ACGT") for _ in range(120))]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    sets = [{min(s[i : i + 16], s[i : i + 16][::-1].translate(str.maketrans("ACGT", "TGCA"))) for i in range(len(s) - 15)} for s in seqs]
+    own = similarity.kmer_sets(df, "id")
+    want = [(a, b, len(p & q), len(p), len(q)) for a, p in enumerate(sets) for b, q in enumerate(sets) if p & q]
+    for most in (3, 1000):  # k-mers of more ids than that are dealt out, not left out
+        assert got(similarity.shared_kmers(own, own, most)) == sorted(want)
+
+
+def test_large_groups_keep_their_links(spark):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(2)]
+    df = spark.range(1002).selectExpr("id", f"IF(id < 1001, '{seqs[0]}', '{seqs[1]}') AS seq")
+    assert similarity.cluster_pairs(df, "id").count() == 1001 * 1000 // 2
+    best = similarity.best_identity(df.where("id % 500 = 0"), df.where("id % 500 <> 0").union(df.selectExpr("id + 5000", "seq")), "id")
+    assert got(best) == [(0, 1.0), (500, 1.0), (1000, 1.0)]
+
+
 @pytest.mark.parametrize(("n", "few"), [(2, 0), (50, 0), (301, 10**6)])
 def test_components_of_a_path(spark, n, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000), (None, 3)], "src long, dst long")
