@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators import evaluation, features, grouping, intervals, markov, provenance, sampling, similarity
+from strandline.operators.containment import contained_items
 from strandline.operators.graph import connected_components
 from strandline.plans import views as V
 from strandline.sources import readers, sinks
@@ -205,9 +206,8 @@ def gc_summary(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents CROSS JOIN benchmark b WHERE contains(documents.text, substr(b.text, 1, 60))")
 def motif_containment(spark, d):
-    """Items are few and stated; each document is looked through once for all of them."""
-    items = V.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("motif"))
-    return V.table(spark, d, "documents").join(F.broadcast(items.limit(100_000)), F.expr("contains(text, motif)")).select("doc_id", "item_id")
+    """Whole items; they are stated, and each document is looked through once for each block of them."""
+    return contained_items(V.table(spark, d, "documents"), V.table(spark, d, "benchmark"))
 
 
 # samples

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators import evaluation, features, grouping, intervals, markov, provenance, sampling, similarity
+from strandline.operators.containment import contained_items
 from strandline.operators.graph import connected_components
 from strandline.operators.scan import running_sums
 from strandline.sources import readers, sinks
@@ -93,6 +94,15 @@ def test_large_groups_keep_their_links(spark):
     assert got(best) == [(0, 1.0), (500, 1.0), (1000, 1.0)]
 
 
+def test_whole_items_in_blocks(spark):
+    start = "a question that starts like others do, for sixty letters and more: "
+    docs = spark.createDataFrame([(0, f"x {start}seven y"), (1, f"{start}eight"), (2, None), (3, "seven eight")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{start}{w}") for i, w in enumerate(["seven", "eight", "nine"])] + [(3, None)], "item_id long, text string")
+    for block, letters in ((1, 1 << 20), (100, 80), (100, 1 << 20)):
+        assert got(contained_items(docs, items, block, letters)) == [(0, 0), (1, 1)]
+    assert contained_items(docs, items.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("n", "few"), [(2, 0), (50, 0), (301, 10**6)])
 def test_components_of_a_path(spark, n, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000), (None, 3)], "src long, dst long")
