@@ -115,11 +115,11 @@ def cluster_pairs(df: DataFrame, id_col: str, seq: str = "seq", k: int = 16, lea
     return members_of(found, of, of).where("query < target").select(F.col("query").alias("src"), F.col("target").alias("dst"))
 
 
-def best_identity(queries: DataFrame, targets: DataFrame, id_col: str, seq: str = "seq", k: int = 16, least: float = 0.5) -> DataFrame:
-    """(query, max_id): each query's highest estimated identity; 0 without a hit of ``least``."""
+def best_identity(queries: DataFrame, targets: DataFrame, id_col: str, seq: str = "seq", k: int = 16, least: float = 0.5, least_coverage: float = 0.19) -> DataFrame:
+    """(query, max_id): each query's highest estimated identity; 0 without a hit of ``least`` whose shorter one is ``least_coverage`` of the longer one."""
     own, other = kmer_sets(queries, id_col, seq, k), kmer_sets(targets, id_col, seq, k)
     of = classes(own)
-    pairs = class_pairs(own, of, other, classes(other))
+    pairs = class_pairs(own, of, other, classes(other)).where(F.least("n_query", "n_target") >= least_coverage * F.greatest("n_query", "n_target"))
     best = pairs.groupBy(F.col("query").alias("class")).agg(F.max(identity(F.col("shared"), F.least("n_query", "n_target"), k)).alias("max_id"))
     best = of.join(best, "class").select(F.col("id").alias("query"), "max_id")
     return queries.select(F.col(id_col).alias("query")).join(best.where(F.col("max_id") >= least), "query", "left").withColumn("max_id", F.coalesce("max_id", F.lit(0.0)))

@@ -364,7 +364,7 @@ SELECT doc_id AS query, CASE WHEN i >= 0.8 THEN round_even(i, 6) ELSE 0 END AS m
 )
 def identity_to_train(spark, d):
     x = V.dna(spark, d)
-    out = similarity.best_identity(x.where("doc_id % 10 = 1"), x.where("doc_id % 10 <> 1"), "doc_id", least=0.8)
+    out = similarity.best_identity(x.where("doc_id % 10 = 1"), x.where("doc_id % 10 <> 1"), "doc_id", least=0.5, least_coverage=0.19)
     return out.select("query", F.bround("max_id", 6).alias("max_id"))
 
 

@@ -94,6 +94,16 @@ def test_large_groups_keep_their_links(spark):
     assert got(best) == [(0, 1.0), (500, 1.0), (1000, 1.0)]
 
 
+def test_best_identity_keeps_low_ones(spark):
+    rng = random.Random(7)
+    x, y = ("".join(rng.choice("ACGT") for _ in range(300)) for _ in range(2))
+    queries = spark.createDataFrame([(0, x), (1, y[:56]), (2, y[:80])], "id long, seq string")
+    targets = spark.createDataFrame([(10, x[:18] + x[18:300][::-1]), (11, y)], "id long, seq string")
+    out = dict(got(similarity.best_identity(queries, targets, "id")))
+    assert 0.5 <= out[0] < 0.8  # few k-mers of many
+    assert (out[1], out[2]) == (0.0, 1.0)  # 41 and 65 k-mers of 285: coverages of 0.14 and 0.23
+
+
 def test_whole_items_in_blocks(spark):
     start = "a question that starts like others do, for sixty letters and more: "
     docs = spark.createDataFrame([(0, f"x {start}seven y"), (1, f"{start}eight"), (2, None), (3, "seven eight")], "doc_id long, text string")
