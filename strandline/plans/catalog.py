@@ -509,7 +509,7 @@ def probe_logistic(spark, d):
     x = V.table(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("label"), F.col("embedding").cast("array<double>").alias("features"))
     stats = features.moments(x.where("vec_id % 5 <> 0"), "features")
     x = features.standardized(x, "features", stats)
-    _, c, rows = features.logistic_grid(x.where("vec_id % 5 <> 0"), x.where("vec_id % 5 = 0"), (0.01, 0.1))
+    _, c, rows = features.logistic_grid(x.where("vec_id % 5 <> 0"), x.where("vec_id % 5 = 0"))
     return spark.createDataFrame([(float(a), float(m), a == c) for a, m in rows], "c double, mcc double, best boolean")
 
 

@@ -53,3 +53,7 @@ def test_entry(spark):
 def test_rows_only(spark):
     for name in ("full_report", "markov_generate", "probe_logistic"):
         assert catalog.queries()[name](spark, DATA).count() > 0
+
+
+def test_probe_searches_the_whole_grid(spark):
+    assert sorted(r["c"] for r in catalog.queries()["probe_logistic"](spark, DATA).collect()) == [1e-3, 1e-2, 1e-1, 1.0, 10.0]
