@@ -151,62 +151,85 @@ def align(prints: np.ndarray, q: Queries, max_error: float, min_overlap: int) ->
     return query[ok], offset[ok], votes[ok], error[ok]
 
 
-def search(recordings: DataFrame, is_query: Column, max_error: float = 0.08, min_overlap: int = 16, id_col: str = "id", prints_col: str = "prints") -> DataFrame:
-    """One row per recording: class, number of prints, and for queries how many others match and the best of them.
-
-    Recordings with equal prints are one class, named by its smallest id, and match each
-    other; classes are aligned, not their members.  Queries are read in blocks of
-    ``QUERY_BLOCK`` classes, and each block is held against all classes; tasks send sums for
-    each query, never pairs.  A recording without prints (null, or too short) has no class
-    and no match.  Rows with a null id are no queries.  Repeated rows are members each.
-    """
-    spark = recordings.sparkSession
+def _rows(recordings: DataFrame, is_query: Column, id_col: str, prints_col: str) -> DataFrame:
     rows = recordings.select(F.col(id_col).cast("long").alias("id"), F.col(prints_col).alias("prints"), (F.coalesce(is_query, F.lit(False)) & F.col(id_col).isNotNull()).alias("is_query"))
-    rows = written(rows.withColumn("key", F.when(F.size("prints") > 0, F.sha2(F.array_join("prints", ",").cast("binary"), 256))), "prints")
+    return written(rows.withColumn("key", F.when(F.size("prints") > 0, F.sha2(F.array_join("prints", ",").cast("binary"), 256))), "prints")
+
+
+def _matches(rows: DataFrame, max_error: float, min_overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs): pairs of (number, asking class_id, matched class_id and members, offset, error), written by the tasks."""
+    spark = rows.sparkSession
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.max("is_query").alias("asks"), F.first("prints").alias("prints"))
     classes = written(classes, "classes").withColumn("number", F.xxhash64("key"))
+    names = ("number", "class_id", "members", "offset", "error")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    schema = "number long, class_id long, members long, offset long, error double"
 
     def block(q: Queries) -> DataFrame:
         sent = spark.sparkContext.broadcast(q)  # QUERY_BLOCK classes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, links, best = sent.value, {}, {}
+            q = sent.value
             for batch in batches:
                 for number, class_id, members, prints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for query, offset, _, error in zip(*align(np.array(prints, np.int32), q, max_error, min_overlap), strict=True):
-                        own = int(q.classes[query])
-                        if own != number:
-                            links[own] = links.get(own, 0) + members
-                            found = (float(error), class_id is None, class_id or 0, int(offset))
-                            best[own] = min(best.get(own, found), found)
-            out = [(k, links[k], *best[k]) for k in links]
-            columns = zip(*out, strict=True) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["number", "links", "error", "none", "best_id", "best_offset"])
-
-        return classes.select("number", "class_id", "members", "prints").mapInArrow(run, "number long, links long, error double, none boolean, best_id long, best_offset long")
+                    query, offset, _, error = align(np.array(prints, np.int32), q, max_error, min_overlap)
+                    other = q.classes[query] != number
+                    if other.any():
+                        n = int(other.sum())
+                        columns = (q.classes[query][other], [class_id] * n, [members] * n, offset[other], error[other])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+        return classes.select("number", "class_id", "members", "prints").mapInArrow(run, schema)
 
     found, numbers, fingerprints = [], [], []
     for r in classes.where("asks").select("number", "prints").toLocalIterator():
         numbers.append(r["number"])
         fingerprints.append(np.array(r["prints"], np.int32))
         if len(numbers) == QUERY_BLOCK:
-            found.append(block(postings(numbers, fingerprints)))
+            found.append(written(block(postings(numbers, fingerprints)), "pairs"))
             numbers, fingerprints = [], []
     if numbers:
-        found.append(block(postings(numbers, fingerprints)))
-    out = classes.select("key", "class_id", "members", "number")
-    if found:
-        sums = found[0]
-        for more in found[1:]:
-            sums = sums.unionByName(more)
-        best = F.min(F.struct("error", "none", "best_id", "best_offset"))
-        sums = sums.groupBy("number").agg(F.sum("links").alias("links"), best.alias("best"))
-        out = out.join(sums, "number", "left")
-    else:
-        out = out.withColumns({"links": F.lit(0), "best": F.lit(None).cast("struct<error:double,none:boolean,best_id:bigint,best_offset:bigint>")})
+        found.append(written(block(postings(numbers, fingerprints)), "pairs"))
+    pairs = found[0] if found else spark.createDataFrame([], schema)
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return classes, pairs
+
+
+def match_pairs(recordings: DataFrame, is_query: Column, max_error: float = 0.08, min_overlap: int = 16, id_col: str = "id", prints_col: str = "prints") -> DataFrame:
+    """(query_class, class_id, members, offset, error): every class that a query's class matches, itself with offset and error 0 if others have its prints.
+
+    ``search`` has each recording's class, so that the members of both sides are one join away.
+    A class without any id has a null class_id.
+    """
+    classes, pairs = _matches(_rows(recordings, is_query, id_col, prints_col), max_error, min_overlap)
+    asks = classes.where("asks")
+    own = asks.where("members > 1").select(F.col("class_id").alias("query_class"), "class_id", "members", F.lit(0).cast("long").alias("offset"), F.lit(0.0).alias("error"))
+    return pairs.join(asks.select("number", F.col("class_id").alias("query_class")), "number").select("query_class", "class_id", "members", "offset", "error").union(own)
+
+
+def search(recordings: DataFrame, is_query: Column, max_error: float = 0.08, min_overlap: int = 16, id_col: str = "id", prints_col: str = "prints") -> DataFrame:
+    """One row per recording: class, number of prints, and for queries how many others match and the best of them.
+
+    Recordings with equal prints are one class, named by its smallest id, and match each
+    other; classes are aligned, not their members.  Queries are read in blocks of
+    ``QUERY_BLOCK`` classes, and each block is held against all classes; the count and the
+    best are derived from the pairs of classes, which ``match_pairs`` returns.  The best of a
+    query with copies is the copy of smallest id.  A recording without prints (null, or too
+    short) has no class and no match.  Rows with a null id are no queries.  Repeated rows
+    are members each.
+    """
+    rows = _rows(recordings, is_query, id_col, prints_col)
+    classes, pairs = _matches(rows, max_error, min_overlap)
+    best = F.min(F.struct("error", F.col("class_id").isNull().alias("none"), F.col("class_id").alias("best_id"), F.col("offset").alias("best_offset")))
+    sums = pairs.groupBy("number").agg(F.sum("members").alias("links"), best.alias("best"))
+    copies = rows.join(classes.where("asks AND members > 1").select("key", "class_id"), "key").groupBy("key").agg(F.min(F.when(F.col("id") > F.col("class_id"), F.col("id"))).alias("second"), F.count_if(F.col("id") == F.col("class_id")).alias("firsts"))
+    out = classes.select("key", "class_id", "members", "number").join(sums, "number", "left").join(copies, "key", "left")
     asked = lambda x: F.when(F.col("is_query"), x)
-    return rows.join(out, "key", "left").select(
+    copy = F.when((F.col("id") > F.col("class_id")) | (F.col("firsts") > 1), F.col("class_id")).otherwise(F.col("second"))
+    own = F.when(F.col("members") > 1, F.struct(F.lit(0.0).alias("error"), copy.isNull().alias("none"), copy.alias("best_id"), F.lit(0).cast("long").alias("best_offset")))
+    joined = rows.join(out, "key", "left").withColumn("best", F.coalesce(own, F.col("best")))
+    return joined.select(
         "id",
         "class_id",
         F.when(F.col("prints").isNull(), 0).otherwise(F.size("prints")).alias("n_prints"),

@@ -14,14 +14,25 @@ from strandline.llm.tokens import vocabulary
 QUALITY = 0.7
 
 
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.audio import fingerprint, played
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.repartition(partitions(vectors)).select("vec_id", fingerprint(F.col("embedding"), decode=played).alias("prints"))
+
+
 def op1_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector is played as a clip; every 20th asks for the clips that sound like it."""
-    from strandline.llm.audio import fingerprint, played, search
+    from strandline.llm.audio import search
 
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    clips = vectors.repartition(partitions(vectors)).select("vec_id", fingerprint(F.col("embedding"), decode=played).alias("prints"))
-    out = search(clips, F.col("vec_id") % 20 == 0, id_col="vec_id")
-    return out.withColumnRenamed("id", "vec_id")
+    return search(_clips(spark, sf_dir), F.col("vec_id") % 20 == 0, id_col="vec_id").withColumnRenamed("id", "vec_id")
+
+
+def op1_chroma_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All classes of clips that a query's class matches; op1_chroma_search has the clips of a class."""
+    from strandline.llm.audio import match_pairs
+
+    return match_pairs(_clips(spark, sf_dir), F.col("vec_id") % 20 == 0, id_col="vec_id")
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +127,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chroma_search, op2_cost_balanced_packing, op3_partenum_jaccard, op4_minhash_containment, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership)}
+    return {f.__name__: f for f in (op1_chroma_search, op1_chroma_pairs, op2_cost_balanced_packing, op3_partenum_jaccard, op4_minhash_containment, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -72,6 +72,18 @@ def test_fingerprints_align(spark):
     assert audio.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_all_matches_come_out(spark):
+    rng = np.random.default_rng(2)
+    tune, other = (audio.played(rng.normal(0, 0.2, 160).tolist()) for _ in range(2))
+    clips = [(0, tune), (1, tune[10 * audio.HOP :]), (2, tune[20 * audio.HOP :]), (4, tune), (20, other), (21, other), (40, tune[10 * audio.HOP :]), (60, tune), (80, other), (80, other)]
+    df = spark.createDataFrame([(i, audio.prints(c).view(np.int32).tolist()) for i, c in clips], "id long, prints array<int>")
+    pairs = audio.match_pairs(df, F.col("id") % 20 == 0).collect()
+    assert sorted((r["query_class"], r["class_id"], r["members"], r["offset"]) for r in pairs) == [(0, 0, 3, 0), (0, 1, 2, -10), (0, 2, 1, -20), (1, 0, 3, 10), (1, 1, 2, 0), (1, 2, 1, -10), (20, 20, 4, 0)]
+    out = {r["id"]: r for r in audio.search(df, F.col("id") % 20 == 0).collect()}
+    assert {i: (r["n_links"], r["best_id"], r["best_offset"], r["best_error"]) for i, r in out.items() if r["is_query"]} == {0: (5, 4, 0, 0), 20: (3, 21, 0, 0), 40: (5, 1, 0, 0), 60: (5, 0, 0, 0), 80: (3, 20, 0, 0)}
+    assert audio.match_pairs(df.limit(0), F.lit(True)).count() == 0
+
+
 def test_bit_errors_by_hand():
     a = np.arange(40, dtype=np.uint32) * 2654435761
     b = a.copy()
