@@ -3,8 +3,8 @@
 A scan of each whole text finds the base kinds (assignments, access keys, long hex runs)
 and further opaque tokens that look like credentials.  Of every candidate only a hash of
 its value leaves the scan.  The hashes are counted over the corpus by distinct owners and
-repositories: a value that many owners have is an example that was copied, a value of few
-owners is live-looking.  Opaque tokens become spans only if they are live-looking; base
+repositories: a value that many owners or many repositories have is an example that was
+copied, any other is live-looking.  Opaque tokens become spans only if they are live-looking; base
 spans always stay.
 """
 
@@ -75,12 +75,15 @@ def find_secrets(
     owner_cols: tuple[str, ...] = ("source",),
     repository_cols: tuple[str, ...] = ("source", "lang"),
     copied_owners: int = 3,
+    copied_repositories: int = 4,
 ) -> DataFrame:
     """One row per document: counts and digest of its base spans, all spans, and how many values are live-looking or copied.
 
     A null or empty text has no spans.  Rows with the same or a null id are documents of
     their own.  A null owner or repository counts as one owner or repository.  A value is
-    copied if at least ``copied_owners`` owners have it.  No rows give no rows.
+    copied if at least ``copied_owners`` owners or ``copied_repositories`` repositories have it;
+    ``n_owners`` and ``n_repositories`` have the counts of each value of a document, opaque
+    ones too, by start, then kind.  No rows give no rows.
     """
     key = lambda cols: F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key(owner_cols).alias("owner"), key(repository_cols).alias("repository"), F.col(text_col).cast("string").alias("text"))
@@ -105,12 +108,13 @@ def find_secrets(
     owners = by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"))
     judged = (
         found.select("row", "kind", "start", "end", "value")
-        .join(owners.withColumn("copied", F.col("n_owners") >= copied_owners).select("value", "copied"), "value")
+        .join(owners.withColumn("copied", (F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)), "value")
         .groupBy("row")
         .agg(
             F.count_if("copied").alias("n_copied"),
             F.count_if(~F.col("copied")).alias("n_live"),
             F.collect_list(F.when((F.col("kind") == 3) & ~F.col("copied"), F.struct("kind", "start", "end"))).alias("more"),
+            F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repositories"))).alias("held"),
         )
     )
     base = F.filter("found", lambda x: x["kind"] < 3)
@@ -128,4 +132,5 @@ def find_secrets(
         spell(order(F.concat(plain, F.coalesce("more", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        *(F.coalesce(F.col(f"held.{c}"), F.array().cast("array<bigint>")).alias(c) for c in ("n_owners", "n_repositories")),
     )

@@ -443,3 +443,13 @@ def test_secrets(spark):
     assert by[12]["spans"] == f"opaque:4:{4 + len(key)}" and by[12]["n_live"] == 1  # one owner's
     assert by[100]["spans"] == "" and by[100]["n_copied"] == 1  # four owners have it
     assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_repositories_count_too(spark):
+    keys = ["tG7x9LqP2vZ0aB4cD6eF8hJ1kM3n", "Zq8w7Er6Ty5Ui4Op3As2Df1Gh0Jk"]
+    rows = [(i, f"see {keys[0]} there", "s0", f"l{i}") for i in range(4)] + [(10 + i, f"token=abcdef see {keys[1]}", "s0", f"l{i % 3}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    by = {r["doc_id"]: r for r in secrets.find_secrets(df).collect()}
+    assert all(by[i]["spans"] == "" and by[i]["n_copied"] == 1 and (by[i]["n_owners"], by[i]["n_repositories"]) == ([1], [4]) for i in range(4))
+    assert all(by[10 + i]["n_live"] == 2 and (by[10 + i]["n_owners"], by[10 + i]["n_repositories"]) == ([1, 1], [3, 3]) for i in range(6))
+    assert secrets.find_secrets(df.select("doc_id", F.lit("none").alias("text"), "source", "lang")).first()["n_owners"] == []
