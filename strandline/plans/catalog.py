@@ -275,17 +275,17 @@ COMPONENTS = """both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src F
 
 
 @query(f"WITH RECURSIVE {V.EDGES}, {COMPONENTS} SELECT node, component FROM components")
-def components(spark, d):
-    return connected_components(V.edges(spark, d))
+def components(spark, d, edges=V.edges):
+    return connected_components(edges(spark, d))
 
 
 GROUPED = f"""win AS (SELECT 'd' || doc_id AS window_id, source, doc_id FROM documents), named AS (SELECT window_id, source, doc_id, coalesce(component, window_id) AS c FROM win LEFT JOIN components ON node = window_id),
 members AS (SELECT window_id, 'g_' || substr(sha1(min(window_id) OVER (PARTITION BY c)), 1, 12) AS "group", CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'chr' || (doc_id % 23) END AS chrom, doc_id % 23 = 5 AND doc_id % 4 <> 3 AS holdout, doc_id % 23 = 7 AND doc_id % 4 <> 3 AS dev_chrom, CASE WHEN doc_id % 8 = 3 THEN 'retrovirus' WHEN doc_id % 8 = 7 THEN 'markov' ELSE 'l1' END AS source FROM named)"""
 
 
-def _members(spark, d):
+def _members(spark, d, edges=V.edges):
     docs = V.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("window_id"), "doc_id")
-    named = grouping.groups(docs, V.edges(spark, d))
+    named = grouping.groups(docs, edges(spark, d))
     own = docs.selectExpr("window_id", "CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('chr', doc_id % 23) END AS chrom", "doc_id % 23 = 5 AND doc_id % 4 <> 3 AS holdout", "doc_id % 23 = 7 AND doc_id % 4 <> 3 AS dev_chrom", "CASE WHEN doc_id % 8 = 3 THEN 'retrovirus' WHEN doc_id % 8 = 7 THEN 'markov' ELSE 'l1' END AS source")
     return own.join(named, "window_id")
 
@@ -300,40 +300,54 @@ splits AS (SELECT window_id, m."group", source, CASE WHEN holdout THEN 'test' {o
 
 
 @query(f"WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED}, {_split_sql(False)} SELECT * FROM splits")
-def split_by_hash(spark, d):
-    return grouping.assign_splits(_members(spark, d)).select("window_id", "group", "source", "split")
+def split_by_hash(spark, d, edges=V.edges):
+    return grouping.assign_splits(_members(spark, d, edges)).select("window_id", "group", "source", "split")
 
 
 @query(f"WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED}, {_split_sql(True)} SELECT * FROM splits")
-def split_by_chromosome(spark, d):
-    return grouping.assign_splits(_members(spark, d), "chrom").select("window_id", "group", "source", "split")
+def split_by_chromosome(spark, d, edges=V.edges):
+    return grouping.assign_splits(_members(spark, d, edges), "chrom").select("window_id", "group", "source", "split")
 
 
 @query(f"""WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED}, {_split_sql(True)} SELECT window_id, split, split = 'test' AND NOT EXISTS (FROM splits o WHERE o."group" = s."group" AND split IN ('train', 'dev')) AS is_test_strict,
 split = 'dev' AND NOT EXISTS (FROM splits o WHERE o."group" = s."group" AND split = 'train') AS is_dev_strict FROM splits s""")
-def strict_sets(spark, d):
-    out = grouping.strict(grouping.assign_splits(_members(spark, d), "chrom"))
+def strict_sets(spark, d, edges=V.edges):
+    out = grouping.strict(grouping.assign_splits(_members(spark, d, edges), "chrom"))
     return out.select("window_id", "split", "is_test_strict", "is_dev_strict")
 
 
 @query(f"""WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED}, {_split_sql(False)} SELECT window_id, split FROM splits WHERE split = 'test' OR "group" NOT IN (SELECT "group" FROM splits WHERE split = 'test')""")
-def purge_groups(spark, d):
-    return grouping.purge(grouping.assign_splits(_members(spark, d))).select("window_id", "split")
+def purge_groups(spark, d, edges=V.edges):
+    return grouping.purge(grouping.assign_splits(_members(spark, d, edges))).select("window_id", "split")
 
 
 @query(f"""WITH RECURSIVE {V.EDGES}, {COMPONENTS}, {GROUPED} SELECT "group", count(*) AS n, count(DISTINCT source) AS n_sources, min(window_id) AS first_window FROM members GROUP BY "group" """)
-def group_summary(spark, d):
-    return grouping.group_summary(_members(spark, d))
+def group_summary(spark, d, edges=V.edges):
+    return grouping.group_summary(_members(spark, d, edges))
 
 
 @query("SELECT * FROM (VALUES ('alphabet', 0), ('duplicate_ids', 0), ('ids_across_splits', 0), ('labels', 0), ('length', 0), ('strict_dev_groups', 0), ('strict_test_groups', 0)) AS t(\"check\", violations)")
-def leak_checks(spark, d):
-    split = grouping.strict(grouping.purge(grouping.assign_splits(_members(spark, d))))
+def leak_checks(spark, d, edges=V.edges):
+    split = grouping.strict(grouping.purge(grouping.assign_splits(_members(spark, d, edges))))
     seq = V.dna(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("window_id"), "seq")
     rows = split.join(seq, "window_id").select("window_id", "group", "seq", F.lit(1).alias("label"), F.explode(F.array_compact(F.array("split", F.when(F.col("is_test_strict"), "test_strict"), F.when(F.col("is_dev_strict"), "dev_strict")))).alias("dataset"))
     return grouping.leak_checks(rows, 1024)
 
 
+def _held(f: Callable) -> Query:
+    """The query over the test items that documents hold, without SQL."""
+
+    def run(spark, d):
+        return f(spark, d, V.held_edges)
+
+    run.__name__ = f"{f.__name__}_held"
+    return query()(run)
+
+
+for _f in (components, split_by_hash, split_by_chromosome, strict_sets, purge_groups, group_summary, leak_checks):
+    _held(_f)
+
+
 @query(
     """SELECT window_id, dataset FROM (SELECT doc_id AS window_id, 'train' AS dataset, CASE WHEN doc_id % 11 = 0 THEN ['fwd'] ELSE ['fwd', 'rc'] END AS o FROM documents) WHERE o <> ['fwd', 'rc'] UNION ALL SELECT doc_id, '*' FROM documents WHERE doc_id % 13 = 0"""
 )

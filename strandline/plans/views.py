@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import hash_fraction
+from strandline.operators.containment import contained_items
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +75,7 @@ PRED = f"""pred AS (SELECT l.doc_id * 2 + (o = 'rc')::INT AS row_idx, l.doc_id A
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with equal texts, in a chain by id, and documents with a test item that they hold."""
+    """Documents with equal texts, and made-up links by id as in the SQL; ``held_edges`` has the test items."""
     docs = table(spark, sf_dir, "documents")
     same = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("least"))
     chained = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(same, "h").where("doc_id > least").selectExpr("concat('d', doc_id) AS src", "concat('d', least) AS dst")
@@ -83,6 +84,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chained.union(near).union(keyed)
 
 
+def held_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with equal texts, and every document with each test item that it holds."""
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    same = own.groupBy("h").agg(F.min("doc_id").alias("least"))
+    equal = own.join(same, "h").where("doc_id > least").selectExpr("concat('d', doc_id) AS src", "concat('d', least) AS dst")
+    held = contained_items(docs, table(spark, sf_dir, "benchmark")).selectExpr("concat('d', doc_id) AS src", "concat('k', item_id) AS dst")
+    return equal.union(held)
+
+
 EDGES = """edges AS (SELECT 'd' || d.doc_id AS src, 'd' || s.least AS dst FROM documents d JOIN (SELECT text, min(doc_id) AS least FROM documents GROUP BY text) s ON d.text = s.text WHERE d.doc_id > s.least
   UNION ALL SELECT 'd' || doc_id, 'd' || (doc_id - 1) FROM documents WHERE doc_id % 10 = 1
   UNION ALL SELECT 'd' || doc_id, 'k' || (doc_id % 97) || ':' || source FROM documents WHERE ('d' || doc_id) LIKE '%7')"""

@@ -57,3 +57,12 @@ def test_rows_only(spark):
 
 def test_probe_searches_the_whole_grid(spark):
     assert sorted(r["c"] for r in catalog.queries()["probe_logistic"](spark, DATA).collect()) == [1e-3, 1e-2, 1e-1, 1.0, 10.0]
+
+
+def test_documents_of_an_item_are_one_group(spark, duck):
+    held = duck.execute("SELECT 'd' || doc_id, 'k' || item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)").fetchall()
+    of = {r["node"]: r["component"] for r in catalog.queries()["components_held"](spark, DATA).collect()}
+    assert held and all(of[d] == of[k] for d, k in held)
+    group = {r["window_id"]: r["group"] for r in catalog.queries()["split_by_hash_held"](spark, DATA).collect()}
+    assert all(group[a] == group[b] for a, k in held for b, j in held if k == j) and len(group) == 200
+    assert all(r["violations"] == 0 for r in catalog.queries()["leak_checks_held"](spark, DATA).collect())
