@@ -31,20 +31,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a number for each (doc_id, text), which tells rows of the same or a null id apart."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+
+
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group; of repeated rows one.  Documents without an id stay."""
-    found = jaccard_components(docs)
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """The document of smallest id of each group, of ids that repeat or are null one row too; equal rows are one."""
+    unclear = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
+    if not unclear:
+        found = jaccard_components(docs)
+        return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = jaccard_components(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key"))
+    stay = keyed.select("__key", "doc_id").distinct().join(found, "__key").groupBy("component_id").agg(first.alias("first")).select("first.__key")
+    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any test item."""
-    found = find_contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti")
+    """Documents without any test item; each row is judged by its own text."""
+    keyed = _keyed(docs)
+    found = find_contained(keyed, table(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(found, "__key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

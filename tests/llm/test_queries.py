@@ -49,3 +49,17 @@ def test_pipeline(spark):
     packed = p.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert p.ORACLE_SQL is None
+
+
+def test_pipeline_judges_rows(spark):
+    import corpus_pipeline as p
+    from strandline.llm.shared import table
+
+    item = table(spark, DATA, "benchmark").first()["text"]
+    texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcd"}
+    rows = [(1, texts["a"]), (1, texts["b"]), (1, texts["b"]), (2, texts["a"]), (None, texts["a"]), (None, texts["c"]), (None, texts["c"]), (None, f"x {item}"), (3, f"y z {item}"), (3, texts["d"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = [(1, texts["a"]), (1, texts["b"]), (None, texts["c"]), (3, texts["d"])]
+    assert kept(p.drop_contaminated(spark, docs, DATA)) == sorted((r for r in rows if item not in r[1]), key=repr)
+    assert kept(p.drop_contaminated(spark, p.keep_one_of_near(spark, docs, DATA), DATA)) == sorted(want, key=repr)
