@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandline.llm.shared import documents
+from strandline.llm.shared import blocks, documents
 from strandline.llm.tokens import encoder
 
 #: A task's block: packed once it holds so many tokens or documents.
@@ -81,7 +81,10 @@ def pack(
 
     A null text is empty: its only token is ``end_id``.  Rows are packed as they are, so a
     repeated row or a null id is a document of its own.  No rows give no rows.  Columns
-    other than the id and the text are not looked at.
+    other than the id and the text are not looked at.  Documents of equal length are
+    placed in the order in which a task reads them, and of sequences of equal cost the
+    first is taken.  A text of any length is encoded whole; its ids fill sequences of
+    their own but for the rest, and a task holds the ids of one block or one text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +109,11 @@ def pack(
             ids, tokens, held = [], [], 0
 
         for batch in batches:
-            text = batch.column(1)
-            for lo in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in text.slice(lo, 256).to_pylist()]
-                for key, coded in zip(batch.column(0).slice(lo, 256).to_pylist(), coder.encode(texts), strict=True):
+            at = 0
+            for texts in blocks(batch.column(1)):
+                keys = batch.column(0).slice(at, len(texts)).to_pylist()
+                at += len(texts)
+                for key, coded in zip(keys, coder.encode(texts), strict=True):
                     ids.append(key)
                     tokens.append(np.append(coded, np.uint32(end_id)).astype("<u4", copy=False))
                     held += len(tokens[-1])

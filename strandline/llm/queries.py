@@ -69,10 +69,10 @@ GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n_shingles)
 
 
 def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandline.llm.records import read_records, write_records
+    from strandline.llm.records import read_index, write_records
 
     path = write_records(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "word")
-    return read_records(spark, path)
+    return read_index(spark, path)
 
 
 def op6_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:

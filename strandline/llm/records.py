@@ -12,9 +12,11 @@ A file is a run of frames.  A frame is, little-endian:
 The mask rotates a checksum right by 15 bits and adds 0xA282EAD8, so that checksums of
 data that holds checksums don't cancel.  The final byte lets Spark's own text sink write
 the files: any store that Spark writes to will do, and its commit protocol makes a lost
-or repeated task harmless.  Files are in ascending order of (id, hash of the text), from
-``part-00000`` on.  ``index`` beside ``data`` is a table of (file, offset, size, doc_id,
-n_tokens), by which records can be read in any order.
+or repeated task harmless.  Files are in ascending order of (id, hash of the text), by
+the numbers of the task and of the file within the task in their names; a file has a
+bounded number of records.  ``index`` beside ``data`` is a table of (file, at, size,
+doc_id, within, n_tokens, ids_crc32), by which records can be read in any order.  It is
+made by reading the written files back, each checksum compared.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import documents, partitions, shared_dir
+from strandline.llm.shared import blocks, documents, partitions, shared_dir
 from strandline.llm.tokens import encoder
 
 HEAD, KEY, FOOT = struct.Struct("<QI"), struct.Struct("<Bq"), struct.Struct("<I")
+#: Records of a file, so that a file is read by one task at any size of the input.
+FILE_RECORDS = 20_000
 #: Bytes of a frame besides its payload, with the final byte.
 AROUND = HEAD.size + FOOT.size + 1
 
@@ -77,12 +81,14 @@ def write_records(
     path: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    file_records: int = FILE_RECORDS,
 ) -> str:
     """Encodes every text, writes data and index below ``path``, and returns it.
 
     A null text is empty, so that its record holds ``end_id`` alone; null ids come first.
-    Rows with the same id are records of their own, in the order of their texts' hashes.
-    No rows give no records.  Other columns are not looked at.
+    Rows with the same id are records of their own, in the order of their texts' hashes;
+    equal rows are equal records.  No rows give no records.  Other columns are not looked
+    at.  A text of any length is one record, which a task holds while it is made.
     """
     path = path or shared_dir(docs.sparkSession, "records")
     rows = documents(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
@@ -91,14 +97,16 @@ def write_records(
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, mode)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(1).slice(lo, 256).to_pylist()]
-                keys = batch.column(0).slice(lo, 256).to_pylist()
+            lo = 0
+            for texts in blocks(batch.column(1)):
+                keys = batch.column(0).slice(lo, len(texts)).to_pylist()
+                lo += len(texts)
                 # the sink writes each frame's final byte
                 out = [frame(k, np.append(ids, np.uint32(end_id)))[:-1] for k, ids in zip(keys, coder.encode(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows.select("doc_id", "text").mapInArrow(framed, "value binary").select(F.col("value").cast("string")).write.text(f"{path}/data")
+    data = rows.select("doc_id", "text").mapInArrow(framed, "value binary").select(F.col("value").cast("string"))
+    data.write.option("maxRecordsPerFile", file_records).text(f"{path}/data")
     index_records(docs.sparkSession, path).write.parquet(f"{path}/index")
     return path
 
@@ -109,42 +117,46 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_records(spark: SparkSession, path: str) -> DataFrame:
-    """The offset index, made by walking the lengths of the files that were written."""
+    """The offset index: every file read back, every record checked."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [(at, size, key, len(ids)) for at, size, key, ids in frames(data.as_buffer(), verify=False)]
-                at, size, key, n = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), *(pa.array(x, pa.int64()) for x in (at, size, key, n))], names=["file", "at", "size", "doc_id", "n_tokens"])
+                found = [(at, size, key, len(ids), zlib.crc32(ids.astype("<u4"))) for at, size, key, ids in frames(data.as_buffer())]
+                at, size, key, n, crc = zip(*found, strict=True) if found else ((), (), (), (), ())
+                within = np.cumsum(np.array(n, np.int64)) - np.array(n, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), *(pa.array(x, pa.int64()) for x in (at, size, key, within, n, crc))], names=["file", "at", "size", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    return _files(spark, path).mapInArrow(walk, "file string, at long, size long, doc_id long, n_tokens long")
+    return _files(spark, path).mapInArrow(walk, "file string, at long, size long, doc_id long, within long, n_tokens long, ids_crc32 long")
 
 
-def read_records(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """Every record, checked, with the number of ids in all records before it.
+def _before(index: DataFrame) -> DataFrame:
+    """(file, before): the number of ids in all files before it.  A row for each file is summed up."""
+    order = [F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)")]
+    total = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy(*order, "file").rowsBetween(Window.unboundedPreceding, -1))
+    return total.select("file", F.coalesce(before, F.lit(0)).alias("before"))
 
-    The totals of the files come from the index: a row for each file is summed up.
-    """
-    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-    total = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = total.select("file", before.alias("before"))
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every record as it was read back, ``start`` being the ids of all records before it."""
+    index = spark.read.parquet(f"{path}/index")
+    return index.join(_before(index), "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every record, checked."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, within = [], 0
+                within = 0
                 for _, _, key, ids in frames(data.as_buffer()):
-                    found.append((name, key, within, len(ids), zlib.crc32(ids.astype("<u4")), ids.astype(np.int64) if with_ids else None))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((name, pa.string()), (key, pa.int64()), (within, pa.int64()), (len(ids), pa.int64()), (ids.astype(np.int64), pa.list_(pa.int64())))], names=["file", "doc_id", "within", "n_tokens", "ids"])
                     within += len(ids)
-                columns = list(zip(*found, strict=True)) or [()] * 6
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["file", "doc_id", "within", "n_tokens", "ids_crc32", "ids"])
 
-    rows = _files(spark, path).mapInArrow(read, "file string, doc_id long, within long, n_tokens long, ids_crc32 long, ids array<long>")
-    out = rows.join(total, "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
-    return out if with_ids else out.drop("ids")
+    rows = _files(spark, path).mapInArrow(read, "file string, doc_id long, within long, n_tokens long, ids array<long>")
+    return rows.join(_before(spark.read.parquet(f"{path}/index")), "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 
 def read_picked(spark: SparkSession, path: str, picks: DataFrame) -> DataFrame:

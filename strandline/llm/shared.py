@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,18 @@ def strings(column: pa.Array, step: int = 256) -> Iterator[str | None]:
         yield from column.slice(lo, step).to_pylist()
 
 
+def blocks(column: pa.Array, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.Array]:
+    """Slices of a text column, nulls as empty texts: of bounded rows and bytes, or one text."""
+    column = column.fill_null("")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

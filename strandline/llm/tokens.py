@@ -14,6 +14,8 @@ import string
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Distinct pieces kept by a worker; the cache starts afresh beyond it.
@@ -22,19 +24,6 @@ CACHE_PIECES = 250_000
 CACHE_PIECE_CHARS = 64
 
 
-class _Index(dict):
-    """Piece -> number; a piece that is asked for first is queued for encoding."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.queued: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        self.queued.append(piece)
-        return n
-
-
 class Encoder:
     """``encode(texts)`` gives one uint32 array of ids for each text.
 
@@ -66,7 +55,7 @@ class Encoder:
         return tokenizer
 
     def _reset(self) -> None:
-        self.index = _Index()
+        self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.hits = np.zeros(1 << 14, np.int64)
@@ -81,9 +70,7 @@ class Encoder:
         old = np.fromiter((self.index[p] for p in pieces), np.int64, len(pieces))
         lengths, starts, flat = self.lengths[old], self.starts[old], self.flat
         self._reset()
-        for p in pieces:
-            self.index[p]
-        self.index.queued = []
+        self.index.update(zip(pieces, range(len(pieces)), strict=True))
         ends = np.cumsum(lengths)
         if len(pieces):
             self._store(pieces, flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])], ends - lengths)
@@ -123,25 +110,40 @@ class Encoder:
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         self._store(pieces, np.fromiter((i for ids in coded for i in ids), np.uint32, int(lengths.sum())), np.cumsum(lengths) - lengths)
 
-    def _learn(self) -> None:
-        """Encodes what is queued.  A word with punctuation after it is two pre-tokens, and both are known sooner."""
-        queued, self.index.queued = self.index.queued, []
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The pieces' numbers; those of new ones are encoded.  None is asked for twice."""
+        index, found = self.index, list(map(self.index.get, pieces))
+        new = [p for p, n in zip(pieces, found, strict=True) if n is None]
+        if new:
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            self._learn(new)
+            found = map(index.__getitem__, pieces)
+        return np.fromiter(found, np.int64, len(pieces))
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces.  A word with punctuation after it is two pre-tokens, and both are known sooner."""
         index, mark = self.index, "\x00" if self.mode == "byte" else ""
-        ended, parts = [], []
-        for p in queued:
-            word = p.rstrip(string.punctuation)
-            if word != p and word.isalpha():
+        simple, rest, alone, ended, parts = [], [], [], [], []
+
+        def sort_in(p: str) -> None:
+            # letters below U+0250 are left as they are by normalization; capitals only by byte level
+            if p.isalpha() and (p.isascii() or (max(p) < "\u0250" and (self.mode == "byte" or p.islower()))):
+                simple.append(p)
+            else:
+                (alone if "\x00" in p or "\x02" in p or not p else rest).append(p)
+
+        def number(p: str) -> int:
+            if (n := index.get(p)) is None:
+                n = index[p] = len(index)
+                sort_in(p)
+            return n
+
+        for p in new:
+            if not p.isalpha() and (word := p.rstrip(string.punctuation)) != p and word.isalpha():
                 ended.append(p)
-                parts += (index[word], index[mark + p[len(word) :]])
-        skip = {*ended}
-        queued = [p for p in queued if p not in skip] + index.queued
-        index.queued = []
-        simple = [p for p in queued if self._simple(p)]
-        skip = {*simple}
-        rest = [p for p in queued if p not in skip]
-        alone = [p for p in rest if "\x00" in p or "\x02" in p or not p]
-        skip = {*alone}
-        rest = [p for p in rest if p not in skip] if alone else rest
+                parts += (number(word), number(mark + p[len(word) :]))
+            else:
+                sort_in(p)
         for some, tokenizer in ((simple, self.simple), (rest, self.tokenizer)):
             for i in range(0, len(some), 256):
                 if found := self._joined(part := some[i : i + 256], tokenizer):
@@ -157,67 +159,81 @@ class Encoder:
             ids = self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
             self._store(ended, ids, (ends - lengths)[::2])
 
-    def _simple(self, piece: str) -> bool:
-        """A single word of letters below U+0250, which normalization leaves as it is."""
-        return piece.isalpha() and max(piece) < "\u0250" and (self.mode == "byte" or piece.islower())
-
     def _spelled(self, piece: str) -> str:
         """The text that a piece stands for: a text's first word has no space before it."""
         if self.mode == "word":
             return piece
         return piece[1:] if piece[0] == "\x00" else piece if piece[0] == "\n" else " " + piece
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces whose ids, strung together, are the text's; None if it must be encoded whole."""
+    def _split(self, column: pa.Array) -> pa.ListArray:
+        """The pieces of each text, whose ids, strung together, are the text's unless ``_barred`` says otherwise."""
         if self.mode == "word":
-            return text.encode().lower().decode().replace("\n", " ").split(" ")  # A-Z only: the vocabulary has no capitals
-        if self.mode is None or not text or "\x00" in text:
-            return None
-        pieces = text.replace("\n", " \n").split(" ")
-        if "" in pieces or "\n" in pieces or text[-1].isspace():
-            return None
-        pieces[0] = "\x00" + pieces[0]
-        return pieces
-
-    @staticmethod
-    def _irregular(piece: str) -> bool:
-        """White space at a piece's begin: the cut before it lies inside a run of white space."""
-        return piece[1:2].isspace() if piece[0] in "\x00\n" else piece[0].isspace()
-
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        texts = list(texts)
-        if len(self.index) > CACHE_PIECES:
-            self._thin()
-        index, cut, whole = self.index, {}, []
-        for i, text in enumerate(texts):
-            pieces = self._pieces(text)
-            if pieces is None or (text and max(map(len, pieces)) > CACHE_PIECE_CHARS):
-                whole.append(i)
-                continue
-            before = len(index.queued)
-            cut[i] = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-            if self.mode == "byte" and any(map(self._irregular, index.queued[before:])):
-                for piece in index.queued[before:]:
-                    del index[piece]
-                del index.queued[before:]
-                del cut[i]
-                whole.append(i)
-        self._learn()
+            # A-Z only: the vocabulary has no capitals
+            return pc.split_pattern(pc.replace_substring(pc.ascii_lower(column), "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+
+    def _barred(self, piece: str) -> bool:
+        """Whether a text that has this piece must be encoded whole."""
+        if len(piece) > CACHE_PIECE_CHARS:
+            return True
+        if self.mode == "word":
+            return False
+        # white space at a piece's begin: the cut before it lies inside a run of white space
+        return not piece or piece == "\n" or "\x00" in piece or (piece[1:2].isspace() if piece[0] == "\n" else piece[0].isspace())
+
+    def encode(self, texts: Iterable[str] | pa.Array) -> list[np.ndarray]:
+        """One array of ids a text; an Arrow column has no nulls."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(list(texts), pa.large_string())
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+        whole = range(len(texts)) if self.mode is None else self._encode_pieces(texts, out)
+        for i, ids in zip(whole, self._library([texts[i].as_py() for i in whole]), strict=True):
             out[i] = np.asarray(ids, np.uint32)
-        if cut:
-            if len(self.hits) < len(self.index):
-                self.hits = np.concatenate([self.hits, np.zeros(len(self.index), np.int64)])
-            n = np.bincount(np.concatenate(list(cut.values())))
+        return out
+
+    def _encode_pieces(self, texts: pa.Array, out: list[np.ndarray]) -> list[int]:
+        """Fills ``out`` for the texts that may be cut, and returns the others' places."""
+        if not len(texts):
+            return []
+        if len(self.index) > CACHE_PIECES:
+            self._thin()
+        lists = self._split(texts)
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        index = self.index
+        barred = np.fromiter((p not in index and self._barred(p) for p in pieces), bool, len(pieces))
+        bad = np.logical_or.reduceat(barred[codes], bounds[:-1])
+        if self.mode == "byte":
+            bad |= [not c or c.isspace() for c in pc.utf8_slice_codeunits(texts, -1).to_pylist()]
+        known = ~barred
+        if bad.any():
+            known[:] = False
+            known[codes[np.repeat(~bad, np.diff(bounds))]] = True
+        chosen = np.flatnonzero(known)
+        number = np.zeros(len(pieces), np.int64)
+        number[chosen] = self._numbers(pieces if len(chosen) == len(pieces) else [pieces[i] for i in chosen.tolist()])
+        at = number[codes]
+        if self.mode == "byte":
+            good = np.flatnonzero(~bad)
+            first, which = np.unique(codes[bounds[good]], return_inverse=True)
+            at[bounds[good]] = self._numbers(["\x00" + pieces[c] for c in first.tolist()])[which]
+        if len(self.hits) < len(index):
+            self.hits = np.concatenate([self.hits, np.zeros(len(index), np.int64)])
+        for lo in range(0, len(texts), 256):  # what is strung together at a time
+            hi = min(lo + 256, len(texts))
+            mine = at[bounds[lo] : bounds[hi]]
+            lengths = np.where(np.repeat(bad[lo:hi], np.diff(bounds[lo : hi + 1])), 0, self.lengths[mine])
+            n = np.bincount(mine[lengths > 0])
             self.hits[: len(n)] += n
-        for i, at in cut.items():
-            lengths = self.lengths[at]
             ends = np.cumsum(lengths)
-            shift = np.repeat(self.starts[at] - ends + lengths, lengths)
+            shift = np.repeat(self.starts[mine] - ends + lengths, lengths)
             shift += np.arange(len(shift))
-            out[i] = self.flat[shift]
-        return out
+            ids = self.flat[shift]
+            last = np.concatenate([[0], ends[bounds[lo + 1 : hi + 1] - bounds[lo] - 1]])
+            for i in range(lo, hi):
+                if not bad[i]:
+                    out[i] = ids[last[i - lo] : last[i - lo + 1]].copy()
+        return np.flatnonzero(bad).tolist()
 
 
 _ENCODERS: dict[tuple[str, str | None], Encoder] = {}

@@ -142,14 +142,17 @@ def test_placing_balances_and_pads_little():
 
 
 def test_records(spark, rows, tmp_path):
-    path = records.write_records(table(spark, rows), tokens.vocabulary("word_bpe_49k.json"), "word", path=str(tmp_path / "r"))
-    out = records.read_records(spark, path, with_ids=True).orderBy("start").collect()
+    path = records.write_records(table(spark, rows), tokens.vocabulary("word_bpe_49k.json"), "word", path=str(tmp_path / "r"), file_records=9)
+    assert len(list((tmp_path / "r" / "data").glob("part-*"))) > 8
+    out = records.read_records(spark, path).orderBy("start").collect()
     want = ids_of(rows, "word_bpe_49k.json")
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in out) == collections.Counter((i, tuple(x.tolist())) for i, x in want)
     start = 0
     for r in out:
-        assert r["start"] == start and r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        assert r["start"] == start and r["n_tokens"] == len(r["ids"])
         start += r["n_tokens"]
+    digests = [(r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in out]
+    assert sorted(map(tuple, records.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1]) == digests
     keys = [r["doc_id"] for r in out]
     assert keys == sorted(keys, key=lambda i: (i is not None, i or 0))
     index = spark.read.parquet(f"{path}/index")
