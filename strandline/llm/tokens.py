@@ -183,7 +183,11 @@ class Encoder:
 
     def encode(self, texts: Iterable[str] | pa.Array) -> list[np.ndarray]:
         """One array of ids a text; an Arrow column has no nulls."""
-        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(list(texts), pa.large_string())
+        if isinstance(texts, pa.Array):
+            # a copy: Arrow's lower-casing reads past a slice that begins after its buffer does
+            texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+        else:
+            texts = pa.array(list(texts), pa.large_string())
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
         whole = range(len(texts)) if self.mode is None else self._encode_pieces(texts, out)
         for i, ids in zip(whole, self._library([texts[i].as_py() for i in whole]), strict=True):

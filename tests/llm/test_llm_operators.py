@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import audio, contamination, jaccard, languages, lines, packing, quality, records, secrets, shingles, suffixes, tokens
+from strandline.llm import audio, contamination, jaccard, languages, lines, packing, quality, records, secrets, shared, shingles, suffixes, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, kept string, bitmap string, n_lines string"
 WORDS = ["alpha", "beta", "gamma", "delta", "Über", "été", "naïve", "x1", "zeta", "eta", "theta", "iota", "kappa", "mu"]
@@ -103,6 +104,9 @@ def test_encoder_gives_the_library_s_ids(rows, name, mode):
     for part in (texts, texts[::-1], odd):
         for have, want in zip(e.encode(part), e.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
             assert have.tolist() == want.ids
+    column = pa.array([t for t in texts for _ in range(40)]).slice(7)  # slices of a column
+    have = [x.tolist() for some in shared.blocks(column, 50) for x in e.encode(some)]
+    assert have == [x.ids for x in e.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
     e._thin()
     assert [x.tolist() for x in e.encode(odd)] == [x.ids for x in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
