@@ -32,10 +32,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.bitmaps import bitmap, is_set
 from strandline.llm.shared import partitions, strings, written
 from strandline.llm.shingles import mix, shingle_set
-from strandline.llm.suffixes import _set as in_bitmap
-from strandline.llm.suffixes import bitmaps
 from strandline.operators.graph import connected_components
 
 SEEDS = 8
@@ -311,14 +310,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
 
 def _texts(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, z): a zipped text for each node.  A bitmap of bounded size spares the other texts the shuffle."""
-    chosen, _, bits = bitmaps(nodes.select(F.xxhash64("doc_id").alias("h"), F.lit(False).alias("often")))
+    chosen, bits = bitmap(nodes.select(F.xxhash64("doc_id").alias("h")))
     shared = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zipper = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             h = batch.column(2).to_numpy().view(np.uint64)
-            some = batch.filter(pa.array(in_bitmap(shared.value, h, bits)))
+            some = batch.filter(pa.array(is_set(shared.value, h, bits)))
             texts = some.column(1).to_pylist()
             found = [node_of(s) if len(s := shingle_set(t, k)) else None for t in texts]
             z = [zipper.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]

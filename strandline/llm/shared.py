@@ -64,6 +64,14 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def strings(column: pa.Array, step: int = 256) -> Iterator[str | None]:
     """The values of a batch's column, of which Python holds a few at a time."""
     for lo in range(0, len(column), step):

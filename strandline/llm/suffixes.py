@@ -5,16 +5,21 @@ all suffixes need sorting: of the grams (``length / 2`` bytes) in a string of ``
 bytes the one with the smallest hash is its anchor, so equal strings have equal anchors at
 equal places.
 
-1. A scan counts the anchors' grams.  Two bitmaps of bounded size keep which grams occur
-   more than once and which often; a bit set by accident costs work, not results.
-2. A second scan takes the suffixes at anchors that may be repeated.  Each task sorts them
-   and sends runs, front-coded: the length of the prefix shared with the suffix before,
-   then the rest.  With a suffix go the bytes before its anchor.
-3. Runs are merged by a loser tree whose matches are decided by the known common prefixes,
-   and compared from there on only if those are equal.  Neighbours that share the gram are
-   a group; within it, the shared bytes before and after the anchors give the strings.
-4. A gram that occurs often has no group, so that no task gets one: the hashes of its
-   strings are counted instead, each task sending one of a kind.
+1. A scan finds the anchors.  Their grams' hashes are counted, and those that occur more
+   than once go back to their documents as lists of places.  Equal hashes of one task are
+   sent once, so that no gram is heavy.
+2. The documents meet their lists.  An entry is the suffix at an anchor, ``length`` bytes
+   of it, with the bytes before the anchor, nearest first.  Entries are sorted, and equal
+   ones of a task are one: they are repeated already.
+3. What is left goes to the buckets of the grams as front-coded runs: the length of the
+   prefix shared with the entry before, then the rest.
+4. Runs are merged by a loser tree whose matches are decided by the known common prefixes,
+   and compared from there on only if those are equal.  Entries that share the gram are a
+   group; within it, the shared bytes after and before the anchors give the strings.
+
+Where a gram is very common, entries at more places with a longer gram and fewer bytes
+before stand for its anchor (``widths``), up to every string on its own.  They are sorted,
+front-coded and merged like all others; the groups are finer and the results the same.
 """
 
 from __future__ import annotations
@@ -30,19 +35,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import shingles
-from strandline.llm.shared import NO_ID, partitions, written
+from strandline.llm.bitmaps import bitmap, is_set
+from strandline.llm.shared import NO_ID, fresh, partitions, written
 from strandline.llm.shared import strings as values
 from strandline.llm.shingles import mix
 
-#: Grams that occur so often are counted by their strings.
-OFTEN = 64
+#: From so many occurrences of a gram on, its entries are of the next level.
+LEVELS = (1024, 1 << 20)
 CHUNK = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
-#: A task sends what it has after so many suffixes or strings.
-FLUSH_SUFFIXES, FLUSH_STRINGS = 20_000, 400_000
-#: The largest bitmap: 128 MB.
-MOST_BITS = 30
-RUN, STRINGS, SPAN = 0, 1, 2
+#: A task sends what it has after so many anchors, or bytes of entries.
+FLUSH_ANCHORS, FLUSH_BYTES = 250_000, 12 << 20
+#: Entries whose groups are settled together, spans sent together, and the largest group that is settled by pairs.
+TOGETHER, SPANS, PAIRED = 4096, 50_000, 48
+RUN, SPAN = 0, 1
+
+
+def widths(length: int) -> tuple[int, int, int]:
+    """How many bytes before its place an entry of each level has."""
+    return length - length // 2, max(length // 16, 1), 0
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
@@ -167,322 +178,367 @@ def decoded(codes: np.ndarray, rest: bytes) -> Iterator[tuple[int, bytes]]:
         yield n, before
 
 
-def group_spans(shared: np.ndarray, before: np.ndarray, room: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least, most) bytes before its anchor at which a repeated string of each suffix begins; least > most if none does.
+class Groups:
+    """Settles groups of entries that come in sorted order; ``spans`` holds (entry, least, most) of what is repeated.
 
-    ``shared[i]`` is the prefix that sorted suffixes i-1 and i share; ``before`` has the
-    bytes before each anchor, nearest first, of which ``room`` exist.
+    An entry's number names it; its string is a level's byte, the bytes after its place
+    and those before, reversed.  Of ``after[i]`` bytes after and the rest before, a string
+    of ``length`` bytes begins ``least`` to ``most`` bytes before the place.
     """
+
+    def __init__(self, after: np.ndarray, settled: np.ndarray, length: int) -> None:
+        self.after, self.settled, self.length = after, settled, length
+        self.gram = [1 + length - w for w in widths(length)]
+        self.spans: list[tuple[int, int, int]] = []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.shared: list[int] = []
+        self.strings: list[bytes] = []
+        self.entry: list[int] = []
+        self.done: list[bool] = []
+
+    def add(self, shared: int, string: bytes, i: int) -> None:
+        """The next entry, and the prefix that it shares with the one before."""
+        if self.strings:
+            if shared == len(string) == len(self.strings[-1]) and self.after[i] == self.after[self.entry[-1]]:
+                if not self.done[-1]:
+                    self.done[-1] = True
+                    self._whole(self.entry[-1], string)
+                self._whole(i, string)
+                return
+            if shared < self.gram[string[0]] and len(self.strings) >= TOGETHER:
+                self.settle()
+                shared = 0
+        self.shared.append(shared if self.strings else 0)
+        self.strings.append(string)
+        self.entry.append(i)
+        self.done.append(bool(self.settled[i]))
+
+    def _whole(self, i: int, string: bytes) -> None:
+        n = int(self.after[i])
+        if not self.settled[i] and len(string) - 1 >= self.length:
+            self.spans.append((i, self.length - n, len(string) - 1 - n))
+
+    def settle(self) -> None:
+        if not self.strings:
+            return
+        entry, shared = np.array(self.entry), np.array(self.shared)
+        after = self.after[entry].astype(np.int64)
+        before = np.array([len(s) for s in self.strings]) - 1 - after
+        gram = np.array(self.gram)[[s[0] for s in self.strings]]
+        width = max(int(before.max()), 1)
+        left = np.frombuffer(b"".join([s[1 + n :].ljust(width, b"\0") for s, n in zip(self.strings, after.tolist(), strict=True)]), np.uint8).reshape(-1, width)
+        starts = np.flatnonzero(shared < gram)
+        sizes = np.diff(starts, append=len(shared))
+        paired = np.repeat(sizes <= PAIRED, sizes)
+        least, most = by_pairs(shared - 1, after, before, left, np.repeat(starts, sizes), paired, self.length)
+        for lo, n in zip(starts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist(), strict=True):
+            at = slice(lo, lo + n)
+            least[at], most[at] = by_depth(shared[at] - 1, after[at], before[at], left[at], self.length)
+        found = np.flatnonzero((least <= most) & ~np.array(self.done))
+        self.spans += zip(entry[found].tolist(), least[found].tolist(), most[found].tolist(), strict=True)
+        self._clear()
+
+
+def by_pairs(shared: np.ndarray, after: np.ndarray, before: np.ndarray, left: np.ndarray, group: np.ndarray, chosen: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) of the chosen entries: each with each of its group.  least > most where nothing is repeated."""
     n = len(shared)
     least, most = np.full(n, length, np.int64), np.full(n, -1, np.int64)
-    i = np.flatnonzero(shared >= gram) - 1
-    i = i[i >= 0]
-    after = shared[i + 1].astype(np.int64)
+    i = np.flatnonzero(chosen[:-1] & (group[1:] == group[:-1]))
+    common = shared[i + 1]
     step = 1
     while len(i):
         j = i + step
-        same = before[i] == before[j]
-        left = np.where(same.all(1), before.shape[1], same.argmin(1))
-        left = np.minimum(left, np.minimum(room[i], room[j]))
-        low = np.maximum(length - after, 0)
-        ok = low <= left
+        same = left[i] == left[j]
+        back = np.where(same.all(1), left.shape[1], same.argmin(1))
+        back = np.minimum(back, np.minimum(before[i], before[j]))
+        low = np.maximum(length - np.minimum(common, np.minimum(after[i], after[j])), 0)
+        ok = low <= back
         for x in (i[ok], j[ok]):
             np.minimum.at(least, x, low[ok])
-            np.maximum.at(most, x, left[ok])
+            np.maximum.at(most, x, back[ok])
         step += 1
-        on = (i + step < n) & (shared[np.minimum(i + step, n - 1)] >= gram)
-        i, after = i[on], np.minimum(after[on], shared[i[on] + step])
+        on = i + step < n
+        i, common = i[on], common[on]
+        on = group[i + step] == group[i]
+        i = i[on]
+        common = np.minimum(common[on], shared[i + step])
     return least, most
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
+def by_depth(shared: np.ndarray, after: np.ndarray, before: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one large group: a string that begins d bytes before is known by the class of the d bytes before and that of the others after.
+
+    Classes change at the common prefixes of neighbours only, so few d are looked at.
+    """
+    n = len(shared)
+    least, most = np.full(n, length, np.int64), np.full(n, -1, np.int64)
+    order = np.lexsort((before, *left.T[::-1]))
+    rows = left[order]
+    same = rows[1:] == rows[:-1]
+    back = np.where(same.all(1), left.shape[1], same.argmin(1))
+    back = np.minimum(back, np.minimum(before[order][1:], before[order][:-1]))
+    turns = np.unique(np.concatenate([[0], back + 1, before + 1, length - shared[1:], length - after]))
+    turns = turns[(turns >= 0) & (turns <= int(before.max()))]
+    for d, last in zip(turns.tolist(), [*(turns[1:] - 1).tolist(), int(before.max())], strict=True):
+        ahead = np.cumsum(np.concatenate([[0], shared[1:] < length - d]))
+        behind = np.empty(n, np.int64)
+        behind[order] = np.cumsum(np.concatenate([[0], back < d]))
+        valid = np.flatnonzero((before >= d) & (after >= length - d))
+        if len(valid) < 2:
+            continue
+        _, where, count = np.unique(ahead[valid] * n + behind[valid], return_inverse=True, return_counts=True)
+        hit = valid[count[where] > 1]
+        least[hit] = np.minimum(least[hit], d)
+        most[hit] = np.maximum(most[hit], last)
+    return least, most
+
+
+def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
 
+def _packed(at: np.ndarray, h: np.ndarray) -> bytes:
+    return at.astype("<u8").tobytes() + h.astype("<u8").tobytes()
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    for text in values(column.cast(pa.binary())):
+        yield text or b""
 
-def gram_counts(rows: DataFrame, length: int, often: int) -> DataFrame:
-    """(h, often) of the anchors' grams that occur more than once."""
+
+def repeated_anchors(rows: DataFrame, length: int, levels: tuple[int, int]) -> DataFrame:
+    """Of rows (id, th, text): (id, th, at) with places and hashes of the anchors whose gram's hash occurs more than once, and (hot, level) of the common ones."""
     count = 1 << max(partitions(rows, 8) - 1, 1).bit_length()
     last = np.uint64(count - 1)  # anchors' hashes are small ones: only their last bits are even
+    names = ["bucket", "id", "th", "at", "asked", "told", "h", "n", "owners"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        owners, held, size = [], [], 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (h & last).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, n, bucket = h[order], n[order], bucket[order]
+            at, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            who = np.repeat(np.arange(len(owners)), [len(x[0]) for x in held])
+            order = np.argsort(h, kind="stable")
+            s = h[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            n = np.diff(first, append=len(s))
+            known = np.zeros(len(h), bool)  # repeated within what this task holds
+            known[order] = np.repeat(n > 1, n)
+            out = []
+            cuts = np.searchsorted(who, np.arange(len(owners) + 1))
+            for w in np.unique(who[known]).tolist():
+                mine = slice(cuts[w], cuts[w + 1])
+                out.append((w % count, *owners[w], _packed(at[mine][known[mine]], h[mine][known[mine]]), None, None, None, None, None))
+            one, rep = s[first], order[first]
+            bucket = (one & last).astype(np.int64)
+            # within a bucket those that ask, of one place, come first
+            order = np.lexsort((n > 1, bucket))
+            one, rep, n, bucket = one[order], rep[order], n[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = [(int(bucket[lo]), h[lo:hi].tobytes(), n[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(cuts, [*cuts[1:], len(h)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "h", "n"])
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(one)], strict=True):
+                ask = int((n[lo:hi] == 1).sum())
+                mine = rep[lo : lo + ask]
+                used, local = np.unique(who[mine], return_inverse=True)
+                told = local.astype("<u4").tobytes() + at[mine].astype("<u8").tobytes()
+                owner = np.array([owners[u] for u in used.tolist()], "<i8").tobytes()
+                out.append((int(bucket[lo]), None, None, None, ask, told, one[lo:hi].tobytes(), n[lo + ask : hi].astype("<u4").tobytes(), owner))
+            yield _batch(names, kinds, out)
 
         for batch in batches:
-            for text in values(batch.column(0)):
-                h = anchors(_bytes(text), length)[1]
-                if len(h):
-                    held.append(h)
-                    size += len(h)
-                if size >= 500_000:
+            for key, th, text in zip(*map(values, batch.columns[:2]), _texts(batch.column(2)), strict=True):
+                at, h = anchors(np.frombuffer(text, np.uint8), length)
+                if len(at):
+                    owners.append((key, th))
+                    held.append((at, h))
+                    size += len(at)
+                if size >= FLUSH_ANCHORS:
                     yield from flushed()
-                    held, size = [], 0
+                    owners, held, size = [], [], 0
         if held:
             yield from flushed()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held: list[tuple] = []
+        now = None
+        names = ["id", "th", "at", "hot", "level"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
 
         def added() -> Iterator[pa.RecordBatch]:
-            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            hashes = [np.frombuffer(x[2], "<u8") for x in held]
+            h = np.concatenate(hashes)
+            n = np.concatenate([np.concatenate([np.ones(x[0], np.int64), np.frombuffer(x[3], "<u4")]) for x in held])
             order = np.argsort(h, kind="stable")
-            h, n = h[order], n[order].astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            total = np.add.reduceat(n, first)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first][total > 1].view(np.int64)), pa.array(total[total > 1] >= often)], names=["h", "often"])
+            s = h[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            total = np.add.reduceat(n[order], first)
+            several = np.zeros(len(h), bool)
+            several[order] = np.repeat(total > 1, np.diff(first, append=len(s)))
+            out = [(None, None, None, x, 1 + (c >= levels[1])) for x, c in zip(s[first][total >= levels[0]].view(np.int64).tolist(), total[total >= levels[0]].tolist(), strict=True)]
+            base = 0
+            for (ask, told, _, _, owner), own in zip(held, hashes, strict=True):
+                hit = np.flatnonzero(several[base : base + ask])
+                base += len(own)
+                if len(hit):
+                    local, at = np.frombuffer(told, "<u4", ask)[hit].astype(np.int64), np.frombuffer(told, "<u8", ask, 4 * ask)[hit]
+                    who = np.frombuffer(owner, "<i8").reshape(-1, 2)
+                    order = np.argsort(local, kind="stable")
+                    cuts = np.flatnonzero(np.diff(local[order], prepend=-1))
+                    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                        mine = order[lo:hi]
+                        out.append((*who[local[mine[0]]].tolist(), _packed(at[mine], own[hit[mine]]), None, None))
+            if out:
+                yield _batch(names, kinds, out)
 
         for batch in batches:
-            for bucket, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and held:
-                    yield from added()
-                    held = []
-                now = bucket
-                held.append((np.frombuffer(h, np.uint64), np.frombuffer(n, "<u4")))
+            for lo in range(0, batch.num_rows, 64):
+                plain = []
+                for bucket, key, th, at, *rest in zip(*(c.slice(lo, 64).to_pylist() for c in batch.columns), strict=True):
+                    if bucket != now and held:
+                        yield from added()
+                        held = []
+                    now = bucket
+                    if at is None:
+                        held.append(rest)
+                    else:
+                        plain.append((key, th, at, None, None))
+                if plain:
+                    yield _batch(names, kinds, plain)
         if held:
             yield from added()
 
-    found = rows.select("text").mapInArrow(scan, "bucket int, h binary, n binary")
-    return found.repartition(partitions(rows), "bucket").sortWithinPartitions("bucket").mapInArrow(add, "h long, often boolean")
+    found = rows.mapInArrow(scan, "bucket int, id long, th long, at binary, asked long, told binary, h binary, n binary, owners binary")
+    return found.repartition(partitions(rows, 8), "bucket").sortWithinPartitions("bucket").mapInArrow(add, "id long, th long, at binary, hot long, level int")
 
 
-def bitmaps(grams: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(repeated, often, bits): bitmaps by the last bits of the hash; their size follows the number of grams up to a bound.
+def places(at: np.ndarray, level: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
+    """(place, level) of the entries that stand for anchors of these places and levels, each once."""
+    wide, narrow, _ = widths(length)
+    out = [(int(p), 0) for p in at[level == 0]]
+    if (level == 1).any():
+        q = (at[level == 1][:, None] - np.arange(0, wide, narrow)[None]).ravel()
+        out += [(int(p), 1) for p in np.unique(q[(q >= 0) & (q + length - narrow <= size)])]
+    if (level == 2).any():
+        q = (at[level == 2][:, None] - np.arange(wide + 1)[None]).ravel()
+        out += [(int(p), 2) for p in np.unique(q[(q >= 0) & (q + length <= size)])]
+    return out
 
-    Slices of the bitmaps are made by the executors; what reaches the driver is the bitmaps.
-    """
-    n = grams.count()
-    bits = min(max((16 * max(n, 1)).bit_length(), 16), MOST_BITS)
-    cut = max(bits - 19, 0)  # slices of 64 kB
-    slot = F.col("h").bitwiseAND((1 << bits) - 1)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, slots, often in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                maps = []
-                for x in (slots, often):
-                    bit = np.zeros(1 << (bits - cut), np.uint8)
-                    bit[x.values.to_numpy()] = 1
-                    maps.append(zlib.compress(np.packbits(bit, bitorder="little").tobytes(), 1))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([x], pa.binary()) for x in maps)], names=["part", "repeated", "often"])
-
-    low = slot.bitwiseAND((1 << (bits - cut)) - 1)
-    slices = grams.groupBy(F.shiftright(slot, bits - cut).alias("part")).agg(F.collect_set(low).alias("slots"), F.collect_set(F.when(F.col("often"), low)).alias("o"))
-    repeated, often = (np.zeros(max(1 << bits >> 3, 1), np.uint8) for _ in range(2))
-    width = 1 << (bits - cut) >> 3
-    for r in slices.mapInArrow(fill, "part long, repeated binary, often binary").toLocalIterator():
-        for out, x in ((repeated, r["repeated"]), (often, r["often"])):
-            out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(x)), np.uint8)
-    return repeated, often, bits
-
-
-def _set(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    at = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
-def runs_of(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the bytes that strings at these ascending positions cover."""
-    cut = np.flatnonzero(np.diff(at, prepend=-(2 << 40)) > length)
-    return at[cut], at[np.concatenate([cut[1:], [len(at)]]) - 1] + length
-
-
-def repeated_spans(rows: DataFrame, length: int = 400, often_from: int = OFTEN) -> DataFrame:
-    """(id, th, start, end): bytes to remove, in any order; rows as from ``_rows``."""
-    spark, gram = rows.sparkSession, length // 2
-    repeated, often, bits = bitmaps(written(gram_counts(rows, length, often_from), "grams"))
-    shared = spark.sparkContext.broadcast((repeated, often))  # MOST_BITS bounds it
-    count = 1 << max(partitions(rows, 4) - 1, 1).bit_length()
-    shift = np.uint64(64 - (count.bit_length() - 1))
-    names = ["bucket", "kind", "id", "th", "start", "end", "codes", "rest", "owners"]
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    schema = "bucket int, kind int, id long, th long, start long, end long, codes binary, rest binary, owners binary"
+def repeated_spans(rows: DataFrame, lists: DataFrame, hot: DataFrame, length: int, id_col: str, th_col: str, text_col: str) -> DataFrame:
+    """(id, th, start, end): bytes to remove, in any order.
 
-    def table(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    Rows have the lists of ``repeated_anchors`` in the column ``lists`` already.
+    """
+    spark = rows.sparkSession
+    bounds = [bitmap(written(hot.where(F.col("level") >= n).select(F.col("hot").alias("h")), "hot"), 27) for n in (1, 2)]
+    shared = spark.sparkContext.broadcast(bounds)  # 16 MB each at most
+    parts = partitions(rows, 4)
+    count = 1 << max(parts - 1, 1).bit_length()
+    wide = widths(length)
+    names = ["bucket", "kind", "id", "th", "start", "end", "codes", "rest", "owners"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, often = shared.value
+        (hot, bits), (hottest, most_bits) = shared.value
         zipper = zstandard.ZstdCompressor(level=1)
-        suffixes: list[tuple[int, bytes, bytes, int, int, int]] = []
-        strings: list[tuple[np.ndarray, np.ndarray]] = []
-        owners: list[tuple[int, int]] = []
+        entries: list[tuple[int, bytes, int, int, int, int]] = []
         size = 0
 
-        def sent_suffixes() -> Iterator[pa.RecordBatch]:
-            suffixes.sort()
-            lo, out = 0, []
-            while lo < len(suffixes):
-                hi = lo
-                while hi < len(suffixes) and suffixes[hi][0] == suffixes[lo][0]:
-                    hi += 1
-                part = suffixes[lo:hi]
-                codes, rest = front_coded([s[1] for s in part])
-                rest += b"".join(s[2] for s in part)
-                owner = np.array([(s[3], s[4], s[5], len(s[2])) for s in part], "<i8")
-                out.append((part[0][0], RUN, 0, 0, 0, 0, codes.tobytes(), zipper.compress(rest), zipper.compress(owner.T.tobytes())))
-                lo = hi
-            yield table(out)
-
-        def sent_strings() -> Iterator[pa.RecordBatch]:
-            h = np.concatenate([x[0] for x in strings])
-            at = np.concatenate([x[1] for x in strings])
-            who = np.repeat(np.arange(len(owners)), [len(x[0]) for x in strings])
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            n = np.diff(first, append=len(h))
-            here = np.zeros(len(h), bool)  # repeated within what this task holds
-            here[order] = np.repeat(n > 1, n)
-            out = []
-            for w, (lo, hi) in enumerate(zip(np.searchsorted(who, np.arange(len(owners))), np.searchsorted(who, np.arange(len(owners)), side="right"), strict=True)):
-                mine = at[lo:hi][here[lo:hi]]
-                if len(mine):
-                    out += [(w % count, SPAN, *owners[w], int(s), int(e), None, None, None) for s, e in zip(*runs_of(mine, length), strict=True)]
-            one, rep = h[first], order[first]
-            asks = n == 1  # the others know already; theirs are sent so that those of other tasks learn of them
-            bucket = (one >> shift).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for lo, hi in zip(cuts, [*cuts[1:], len(one)], strict=True):
-                ask = asks[lo:hi]
-                mine, where = who[rep[lo:hi][ask]], at[rep[lo:hi][ask]]
-                used, local = np.unique(mine, return_inverse=True)
-                owner = np.array([owners[u] for u in used], "<i8").reshape(-1, 2).tobytes()
-                told = local.astype("<u4").tobytes() + where.astype("<u4").tobytes()
-                out.append((int(bucket[lo]), STRINGS, int(ask.sum()), 0, 0, 0, zipper.compress(told), np.concatenate([one[lo:hi][ask], one[lo:hi][~ask]]).astype("<u8").tobytes(), owner))
-            yield table(out)
+        def sent() -> Iterator[pa.RecordBatch]:
+            entries.sort()
+            out, lo = [], 0
+            while lo < len(entries):
+                bucket, strings, owner = entries[lo][0], [], []
+                while lo < len(entries) and entries[lo][0] == bucket:
+                    _, s, n, key, th, q = entries[lo]
+                    hi = lo + 1
+                    while hi < len(entries) and entries[hi][:3] == entries[lo][:3]:
+                        hi += 1
+                    if hi > lo + 1 and len(s) - 1 >= length:
+                        out += [(q % count, SPAN, key, th, q + n + 1 - len(s), q + n, None, None, None) for _, _, _, key, th, q in entries[lo:hi]]
+                    strings.append(s)
+                    owner.append((key, th, q, n, hi > lo + 1))
+                    lo = hi
+                codes, rest = front_coded(strings)
+                out.append((bucket, RUN, None, None, None, None, codes.tobytes(), zipper.compress(rest), zipper.compress(np.array(owner, "<i8").T.tobytes())))
+            yield _batch(names, kinds, out)
 
         for batch in batches:
-            for key, th, text in zip(*map(values, batch.columns), strict=True):
-                data = _bytes(text)
-                at, h = anchors(data, length)
-                if not len(at):
-                    continue
-                on = _set(repeated, h, bits)
-                at, h = at[on], h[on]
-                hot = _set(often, h, bits)
-                if hot.any():
-                    marks = np.zeros(len(data) - length + 2, np.int32)
-                    np.add.at(marks, np.maximum(at[hot] - (length - gram), 0), 1)
-                    np.add.at(marks, np.minimum(at[hot], len(data) - length) + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(marks[:-1]))
-                    for lo in range(0, len(data) - length + 1, CHUNK):
-                        part = starts[(starts >= lo) & (starts < lo + CHUNK)]
-                        if len(part):
-                            strings.append((gram_hashes(data[lo : lo + CHUNK + length - 1], length)[part - lo], part))
-                            owners.append((key, th))
-                            size += len(part)
-                raw = data.tobytes()
-                for p, g in zip(at[~hot].tolist(), h[~hot], strict=True):
-                    suffixes.append((int(g) & (count - 1), raw[p : p + length], raw[max(p - (length - gram), 0) : p], key, th, p))
-                if len(suffixes) >= FLUSH_SUFFIXES:
-                    yield from sent_suffixes()
-                    suffixes = []
-                if size >= FLUSH_STRINGS:
-                    yield from sent_strings()
-                    strings, owners, size = [], [], 0
-        if suffixes:
-            yield from sent_suffixes()
-        if strings:
-            yield from sent_strings()
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, th_col, "lists")]
+            for key, th, lists, raw in zip(*map(values, columns), _texts(batch.column(batch.schema.get_field_index(text_col))), strict=True):
+                both = np.concatenate([np.frombuffer(x, "<u8").reshape(2, -1) for x in lists], axis=1)
+                at, first = np.unique(both[0].astype(np.int64), return_index=True)
+                h = both[1][first]
+                level = is_set(hot, h, bits).astype(np.int64)
+                level[level > 0] += is_set(hottest, h[level > 0], most_bits)
+                for q, v in places(at, level, len(raw), length):
+                    right, w = raw[q : q + length], wide[v]
+                    bucket = zlib.crc32(right[: length - w]) & (count - 1)
+                    entries.append((bucket, bytes([v]) + right + raw[max(q - w, 0) : q][::-1], len(right), key, th, q))
+                    size += 200 + len(entries[-1][1])
+                    if size >= FLUSH_BYTES:
+                        yield from sent()
+                        entries, size = [], 0
+        if entries:
+            yield from sent()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         runs: list[tuple[bytes, bytes, bytes]] = []
-        strings: list[tuple[int, bytes, bytes, bytes]] = []
         now = None
 
-        def spans(key: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        def spans(key: list, th: list, start: list, end: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (key, th, start, end)], names=["id", "th", "start", "end"])
 
         def merged() -> Iterator[pa.RecordBatch]:
-            owners, before, room, iterators, base = [], [], [], [], 0
-            for codes, rest, owner in runs:
+            owner = np.concatenate([np.frombuffer(unzip.decompress(x[2]), "<i8").reshape(5, -1) for x in runs], axis=1)
+            key, th, place, after, settled = owner
+            groups = Groups(after, settled, length)
+
+            def told() -> pa.RecordBatch:
+                i, least, most = np.array(groups.spans, np.int64).T
+                groups.spans = []
+                return spans(key[i], th[i], place[i] - most, place[i] + length - least)
+
+            iterators, base = [], 0
+            for codes, rest, _ in runs:
                 code = np.frombuffer(codes, "<u2").reshape(-1, 2)
-                owner = np.frombuffer(unzip.decompress(owner), "<i8").reshape(4, -1).T
-                rest = unzip.decompress(rest)
-                at = int(code[:, 1].sum())
-                left = np.zeros((len(code), length - gram), np.uint8)
-                for i, n in enumerate(owner[:, 3].tolist()):
-                    left[i, :n] = np.frombuffer(rest, np.uint8, n, at)[::-1]
-                    at += n
-                owners.append(owner)
-                before.append(left)
-                iterators.append((n, s, i) for i, (n, s) in enumerate(decoded(code, rest), base))
+                iterators.append(_numbered(code, rest, base, unzip))
                 base += len(code)
-            shared, order = [], []
-            for n, _, i in LoserTree(iterators):
-                shared.append(n)
-                order.append(i)
-            order = np.array(order)
-            owner, left = np.concatenate(owners)[order], np.concatenate(before)[order]
-            shared = np.array(shared, np.int64)
-            shared[0] = 0
-            least, most = group_spans(shared, left, owner[:, 3], gram, length)
-            ok = least <= most
-            if ok.any():
-                yield spans(owner[ok, 0], owner[ok, 1], owner[ok, 2] - most[ok], owner[ok, 2] + length - least[ok])
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            h, asks = [], []
-            for n, _, rest, _ in strings:
-                h.append(np.frombuffer(rest, "<u8"))
-                asks.append(np.arange(len(h[-1])) < n)
-            h, asks = np.concatenate(h), np.concatenate(asks)
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            n = np.diff(first, append=len(s))
-            twice = np.zeros(len(h), bool)
-            twice[order] = np.repeat(n > 1, n)
-            base = 0
-            for asked, codes, rest, owner in strings:
-                hit = np.flatnonzero(twice[base : base + asked])
-                base += len(rest) // 8
-                if len(hit):
-                    local, at = np.frombuffer(unzip.decompress(codes), "<u4").reshape(2, -1)[:, hit].astype(np.int64)
-                    who = np.frombuffer(owner, "<i8").reshape(-1, 2)
-                    order = np.lexsort((at, local))
-                    local, at = local[order], at[order]
-                    cut = np.flatnonzero((np.diff(local, prepend=-1) != 0) | (np.diff(at, prepend=-(2 << 40)) > length))
-                    yield spans(who[local[cut], 0], who[local[cut], 1], at[cut], at[np.concatenate([cut[1:], [len(at)]]) - 1] + length)
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if runs:
-                yield from merged()
-            if strings:
-                yield from counted()
+            for n, s, i in LoserTree(iterators):
+                groups.add(n, s, i)
+                if len(groups.spans) >= SPANS:
+                    yield told()
+            groups.settle()
+            if groups.spans:
+                yield told()
 
         for batch in batches:
-            plain = []
-            for bucket, kind, key, th, start, end, codes, rest, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    yield from done()
-                    runs, strings = [], []
-                now = bucket
-                if kind == SPAN:
-                    plain.append((key, th, start, end))
-                elif kind == RUN:
-                    runs.append((codes, rest, owner))
-                else:
-                    strings.append((key, codes, rest, owner))
-            if plain:
-                yield spans(*zip(*plain, strict=True))
-        yield from done()
-
-    sent = rows.mapInArrow(scan, schema)
-    return sent.repartition(partitions(rows), "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "id long, th long, start long, end long")
+            for lo in range(0, batch.num_rows, 64):
+                plain = []
+                for bucket, kind, key, th, start, end, *run in zip(*(c.slice(lo, 64).to_pylist() for c in batch.columns), strict=True):
+                    if bucket != now and runs:
+                        yield from merged()
+                        runs = []
+                    now = bucket
+                    if kind == SPAN:
+                        plain.append((key, th, start, end))
+                    else:
+                        runs.append(tuple(run))
+                if plain:
+                    yield spans(*zip(*plain, strict=True))
+        if runs:
+            yield from merged()
+
+    sent = rows.mapInArrow(scan, "bucket int, kind int, id long, th long, start long, end long, codes binary, rest binary, owners binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "id long, th long, start long, end long")
+
+
+def _numbered(code: np.ndarray, rest: bytes, base: int, unzip: zstandard.ZstdDecompressor) -> Iterator[tuple[int, bytes, int]]:
+    for i, (n, s) in enumerate(decoded(code, unzip.decompress(rest)), base):
+        yield n, s, i
 
 
 @F.arrow_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]))
@@ -503,15 +559,26 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, removed, runs))], names=["kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, often_from: int = OFTEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, levels: tuple[int, int] = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     A null text is empty.  Rows with the same or a null id are documents of their own: if
-    their texts are equal and long enough, each repeats the other.  Columns named like the
-    new ones are replaced; all others, the text too, are as they were.  No rows give no rows.
+    their texts are equal and long enough, each repeats the other.  Of equal strings none
+    is kept.  Columns named like the new ones are replaced; all others, the text too, are
+    as they were.  A text of any length is one value: a task holds it, the hashes of a
+    part of it, and the places of its repeated anchors.  No rows give no rows.
     """
-    spans = repeated_spans(_rows(docs, id_col, text_col), length, often_from)
-    spans = spans.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    on = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"))
-    out = docs.join(spans.hint("shuffle_hash"), on, "left").withColumn("__cut", _cut(F.col(text_col).cast("string"), "__spans"))
-    return out.withColumns({c: F.col(f"__cut.{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")}).drop("__id", "__th", "__spans", "__cut")
+    key, th = fresh(docs, "id"), fresh(docs, "th")
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), th: F.xxhash64(F.col(text_col).cast("string"))})
+    rows = keyed.select(F.col(key).alias("id"), F.col(th).alias("th"), F.col(text_col).cast("string").alias("text"))
+    found = written(repeated_anchors(rows, length, levels), "anchors")
+    # with no other columns, one exchange of the documents serves both joins
+    dealt = keyed.repartition(partitions(docs), key, th)
+    own = found.where("at IS NOT NULL").groupBy(F.col("id").alias(key), F.col("th").alias(th)).agg(F.collect_list("at").alias("lists"))
+    used = keyed.columns if {*docs.columns} <= {id_col, text_col} else [key, th, text_col]
+    listed = dealt.join(own.hint("shuffle_hash"), [key, th]).select(*used, "lists").withColumn(text_col, F.col(text_col).cast("string"))
+    spans = repeated_spans(listed, own, found.where("level IS NOT NULL").select("hot", "level"), length, key, th, text_col)
+    runs, cut = fresh(docs, "runs"), fresh(docs, "cut")
+    spans = spans.groupBy(F.col("id").alias(key), F.col("th").alias(th)).agg(F.collect_list(F.struct("start", "end")).alias(runs))
+    out = dealt.join(spans.hint("shuffle_hash"), [key, th], "left").withColumn(cut, _cut(F.col(text_col).cast("string"), runs))
+    return out.withColumns({c: F.col(f"{cut}.{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")}).drop(key, th, runs, cut)

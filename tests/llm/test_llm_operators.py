@@ -397,14 +397,42 @@ def brute_repeats(rows, length):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize(("length", "often"), [(400, 64), (60, 64), (60, 2), (40, 4)])
-def test_repeats(spark, rows, length, often):
-    out = suffixes.remove_repeats(table(spark, rows), length, often).collect()
+@pytest.mark.parametrize(("length", "levels", "paired"), [(400, suffixes.LEVELS, 48), (60, (1 << 20, 1 << 20), 2), (60, (2, 1 << 20), 48), (60, (2, 3), 48), (40, (3, 6), 2)])
+def test_repeats(spark, rows, length, levels, paired, monkeypatch):
+    monkeypatch.setattr(suffixes, "PAIRED", paired)
+    out = suffixes.remove_repeats(table(spark, rows), length, levels).collect()
     have = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out)
     assert have == brute_repeats(rows, length)
     assert suffixes.remove_repeats(table(spark, []), length).count() == 0
 
 
+def test_groups_are_settled_alike():
+    rng = random.Random(5)
+    length = 40
+    for _ in range(60):
+        left, right = (["".join(rng.choice("ab") for _ in range(2)) * 10 for _ in range(3)] for _ in range(2))
+        texts = [left[rng.randrange(3)][rng.randrange(20) :] + "=" * 20 + right[rng.randrange(3)][: rng.randrange(21)] for _ in range(30)]
+        places = [t.index("=") for t in texts]
+        entries = sorted((b"\0" + (t[p : p + length] + t[:p][::-1]).encode(), len(t[p : p + length])) for t, p in zip(texts, places, strict=True))
+        found = []
+        for paired in (100, 1):
+            suffixes.PAIRED, kept = paired, suffixes.PAIRED
+            groups = suffixes.Groups(np.array([n for _, n in entries]), np.zeros(len(entries), int), length)
+            before = b""
+            for i, (e, _) in enumerate(entries):
+                groups.add(suffixes.common(before, e, 0), e, i)
+                before = e
+            groups.settle()
+            suffixes.PAIRED = kept
+            found.append(sorted(groups.spans))
+        assert found[0] == found[1]
+        want = []
+        for i, (a, n) in enumerate(entries):
+            fits = [d for d in range(21) if any(i != j and len(a) - 1 - n >= d <= len(b) - 1 - m and min(n, m) >= length - d and a[1 : 1 + length - d] == b[1 : 1 + length - d] and a[1 + n : 1 + n + d] == b[1 + m : 1 + m + d] for j, (b, m) in enumerate(entries))]
+            want += [(i, min(fits), max(fits))] if fits else []
+        assert found[0] == want
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     rng = random.Random(6)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 12))) for _ in range(rng.randrange(0, 30))) for _ in range(7)]
