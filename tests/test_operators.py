@@ -113,10 +113,10 @@ def test_whole_items_in_blocks(spark):
     assert contained_items(docs, items.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("n", "few"), [(2, 0), (50, 0), (301, 10**6)])
-def test_components_of_a_path(spark, n, few):
+@pytest.mark.parametrize(("n", "held"), [(2, 1), (50, 3), (301, 10**6)])
+def test_components_of_a_path(spark, n, held):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000), (None, 3)], "src long, dst long")
-    out = connected_components(edges, few=few)
+    out = connected_components(edges, held=held)
     assert got(out) == [(i, 0) for i in range(n + 1)] + [(1000, 1000)]
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
