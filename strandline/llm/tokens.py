@@ -9,6 +9,7 @@ whole.  Both ways give the library's own ids; ``tests/llm`` compares them.
 
 from __future__ import annotations
 
+import itertools
 import os
 import string
 from collections.abc import Iterable
@@ -16,7 +17,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Distinct pieces kept by a worker; the cache starts afresh beyond it.
 CACHE_PIECES = 250_000
@@ -36,24 +37,19 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.mode = mode
-        self.between, self.opens, self.simple = -1, np.zeros(0, bool), self.tokenizer
+        self.between, self.opens, self.words = -1, np.zeros(0, bool), False
         if mode:
-            self.simple = self._single_words(Tokenizer.from_file(path))
+            # no word is a token of its own, so that the model alone decides on words
+            self.words = not any(t.content.strip().isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
+            self.model = self.tokenizer.model
+            spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.spelling = {c: spell(chr(c))[0][0] for c in range(0x80, 0x250)}
             self.between = self._library(["\x02"])[0][0]
             vocab = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocab.values()) + 1, bool)
             self.opens[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True  # how byte-level files spell space and line feed
         self._reset()
 
-    def _single_words(self, tokenizer: Tokenizer) -> Tokenizer:
-        """The same vocabulary and merges without the steps that do nothing to simple words."""
-        from tokenizers import normalizers, pre_tokenizers
-
-        tokenizer.normalizer = normalizers.Sequence([])
-        cut = pre_tokenizers.Split(" ", "merged_with_next") if self.mode == "byte" else pre_tokenizers.WhitespaceSplit()
-        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        return tokenizer
-
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -75,10 +71,10 @@ class Encoder:
         if len(pieces):
             self._store(pieces, flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])], ends - lengths)
 
-    def _library(self, texts: list[str], tokenizer: Tokenizer | None = None) -> list[list[int]]:
-        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str], tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray] | None:
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of all pieces, from one library call, and where each piece's begin.
 
         Byte level: a piece begins with its only space or line feed, and so does its first
@@ -86,10 +82,10 @@ class Encoder:
         parts don't add up.
         """
         if self.mode == "byte":
-            ids = np.asarray(self._library(["".join([self._spelled(p) for p in pieces])], tokenizer)[0], np.uint32)
+            ids = np.asarray(self._library(["".join([self._spelled(p) for p in pieces])])[0], np.uint32)
             at = np.flatnonzero(self.opens[ids])
             return (ids, at) if len(at) == len(pieces) and at[0] == 0 else None
-        ids = np.asarray(self._library(["\x02 " + " \x02 ".join(pieces)], tokenizer)[0], np.uint32)
+        ids = np.asarray(self._library(["\x02 " + " \x02 ".join(pieces)])[0], np.uint32)
         at = np.flatnonzero(ids == self.between)
         return (np.delete(ids, at), at - np.arange(len(at))) if len(at) == len(pieces) else None
 
@@ -105,6 +101,13 @@ class Encoder:
         self.lengths[numbers] = np.diff(at, append=len(ids))
         self.used += len(ids)
 
+    def _whole_words(self, words: list[str]) -> None:
+        """Single words below U+0250: normalization leaves them as they are, and one is one pre-token."""
+        tokenize, opening, spelling = self.model.tokenize, "\u0120" if self.mode == "byte" else "", self.spelling
+        coded = [[t.id for t in tokenize(opening + (w if w.isascii() else w.translate(spelling)))] for w in words]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        self._store(words, np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(lengths.sum())), np.cumsum(lengths) - lengths)
+
     def _one_by_one(self, pieces: list[str]) -> None:
         coded = self._library([self._spelled(p) for p in pieces])
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -127,7 +130,7 @@ class Encoder:
 
         def sort_in(p: str) -> None:
             # letters below U+0250 are left as they are by normalization; capitals only by byte level
-            if p.isalpha() and (p.isascii() or (max(p) < "\u0250" and (self.mode == "byte" or p.islower()))):
+            if self.words and p.isalpha() and (p.isascii() or (max(p) < "\u0250" and (self.mode == "byte" or p.islower()))):
                 simple.append(p)
             else:
                 (alone if "\x00" in p or "\x02" in p or not p else rest).append(p)
@@ -144,12 +147,13 @@ class Encoder:
                 parts += (number(word), number(mark + p[len(word) :]))
             else:
                 sort_in(p)
-        for some, tokenizer in ((simple, self.simple), (rest, self.tokenizer)):
-            for i in range(0, len(some), 256):
-                if found := self._joined(part := some[i : i + 256], tokenizer):
-                    self._store(part, *found)
-                else:
-                    self._one_by_one(part)
+        if simple:
+            self._whole_words(simple)
+        for i in range(0, len(rest), 256):
+            if found := self._joined(part := rest[i : i + 256]):
+                self._store(part, *found)
+            else:
+                self._one_by_one(part)
         if alone:
             self._one_by_one(alone)
         if ended:
