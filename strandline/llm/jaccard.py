@@ -15,9 +15,12 @@ too many frequent parts signs them all (it can only meet its like there); one wi
 many empty parts signs again under another partition.  Sets of few shingles, where a
 similar pair must be one within the other, sign by enumerating subsets.
 
-No link is lost, whatever the sample says.  Equal sets are one node, so that copies never
-meet as pairs.  Nodes of a signature are linked in a star first; only pairs between the
-components that are left are compared after that.
+No link is lost, whatever the sample says.  Equal sets are one node, named by 128 bits, so
+that copies never meet as pairs.  Nodes of a signature are linked in a star first.  What
+that leaves apart is compared within the group: sketches say which nodes may have a link to
+another component, those get their texts, and links are verified from the nearest on and
+come out as a forest.  A large group is dealt in slices, and only nodes outside its largest
+component visit the slices of others.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ SEEDS = 8
 FLUSH = 500_000
 #: A sketch has 2 ** MOST_REGIONS regions at most.
 MOST_REGIONS = 14
+#: Nodes, and shingles, of a slice of a group; pairs of a star's slice.
+SLICE_NODES, SLICE_SHINGLES, SLICE_PAIRS = 2048, 1 << 21, 200_000
 C1, C2, C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -116,11 +121,19 @@ def signatures(shingles: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.n
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A set's hash, as a signed long: equal sets are one node."""
+def node_of(shingles: np.ndarray) -> bytes:
+    """A set's 128-bit hash: equal sets are one node."""
     with np.errstate(over="ignore"):
-        x = mix(np.array([np.add.reduce(mix(shingles ^ C3)) + np.uint64(len(shingles)) * C1], np.uint64))
-    return int(x.view(np.int64)[0])
+        n = np.uint64(len(shingles))
+        x = np.array([np.add.reduce(mix(shingles ^ C3)) + n * C1, np.add.reduce(mix(shingles ^ C2)) + n * C3], np.uint64)
+    return mix(x).tobytes()
+
+
+def binaries(nodes: np.ndarray) -> pa.Array:
+    """Nodes (S16) as an Arrow column."""
+    nodes = np.ascontiguousarray(nodes)
+    offsets = np.arange(len(nodes) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(nodes.tobytes())])
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
@@ -190,7 +203,8 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
 
         def flushed() -> Iterator[pa.RecordBatch]:
             sig = np.concatenate(held)
-            node = np.repeat(np.array(nodes, np.int64), [len(x) for x in held])
+            named = np.frombuffer(b"".join(nodes), "S16")
+            node = np.repeat(np.arange(len(nodes)), [len(x) for x in held])
             bucket = (sig >> (np.uint64(64) - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             sig, node, bucket = sig[order], node[order], bucket[order]
@@ -199,12 +213,12 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
             rows = []
             for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                 first = np.flatnonzero(np.concatenate([[True], node[lo + 1 : hi] != node[lo : hi - 1]]))
-                rows.append((int(bucket[lo]), node[lo:hi][first].tobytes(), np.diff(first, append=hi - lo).astype("<u4").tobytes(), low[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                rows.append((int(bucket[lo]), named[node[lo:hi][first]].tobytes(), np.diff(first, append=hi - lo).astype("<u4").tobytes(), low[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
             yield blobs(rows)
 
         def blobs(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             return pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), *none], names=names)
 
         for batch in batches:
@@ -229,16 +243,18 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
                     held, nodes, size = [], [], 0
             bucket = pa.array(np.arange(len(n), dtype=np.int32) % count, pa.int32())
             none = [pa.nulls(len(n), pa.binary()) for _ in range(3)]
-            yield pa.RecordBatch.from_arrays([bucket, *none, batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([bucket, *none, batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], names=names)
         if held:
             yield from flushed()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, bytes, np.ndarray]] = []
         now = None
 
         def met() -> Iterator[pa.RecordBatch]:
-            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            sigs, nodes, counts = zip(*held, strict=True)
+            named, where = np.unique(np.frombuffer(b"".join(nodes), "S16"), return_inverse=True)
+            sig, node = np.concatenate(sigs), np.repeat(where, np.concatenate(counts))
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
@@ -246,8 +262,7 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
             group = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])) - 1
             several = np.bincount(group)[group] > 1
             if several.any():
-                group, node = group[several], node[several]
-                yield from distinct_groups(group, node)
+                yield from distinct_groups(group[several], node[several], named)
 
         for batch in batches:
             plain = pa.compute.is_null(batch.column(1))
@@ -261,51 +276,93 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
                 now = bucket
                 low = np.zeros((len(sigs) // 6, 8), np.uint8)
                 low[:, :6] = np.frombuffer(sigs, np.uint8).reshape(-1, 6)
-                held.append((low.view("<u8").ravel(), np.repeat(np.frombuffer(nodes, np.int64), np.frombuffer(counts, "<u4"))))
+                held.append((low.view("<u8").ravel(), nodes, np.frombuffer(counts, "<u4")))
         if held:
             yield from met()
 
-    signed = docs.select("doc_id", "text").mapInArrow(sign, "bucket int, nodes binary, counts binary, sigs binary, doc_id long, n long, node long, sketch binary")
-    return signed.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, n long, node long, sketch binary, gid long")
+    signed = docs.select("doc_id", "text").mapInArrow(sign, "bucket int, nodes binary, counts binary, sigs binary, doc_id long, n long, node binary, sketch binary")
+    return signed.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, n long, node binary, sketch binary, gid long")
 
 
-def distinct_groups(group: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Groups of the same nodes are one; a group's id is a hash of its nodes."""
+def distinct_groups(group: np.ndarray, node: np.ndarray, named: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Groups of the same nodes are one; a group's id is a hash of its nodes, whose names are ``named[node]``."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    gid = mix(np.add.reduceat(mix(node.view(np.uint64) ^ C2), starts))
-    _, first = np.unique(gid, return_index=True)
+    half = np.ascontiguousarray(named).view(np.uint64).reshape(-1, 2)
+    gid = mix(np.add.reduceat(mix(half[:, 0] ^ mix(half[:, 1] ^ C2))[node], starts))
     sizes = np.diff(starts, append=len(group))
+    order = np.lexsort((node[starts], sizes, gid))
+    alike = (np.diff(gid[order]) == 0) & (np.diff(sizes[order]) == 0) & (np.diff(node[starts][order]) == 0)
     keep = np.zeros(len(starts), bool)
-    keep[first] = True
+    keep[order[np.concatenate([[True], ~alike])]] = True
     rows = np.repeat(keep, sizes)
     n = int(rows.sum())
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(node[rows]), pa.nulls(n, pa.binary()), pa.array(np.repeat(gid, sizes)[rows].view(np.int64))], names=["doc_id", "n", "node", "sketch", "gid"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), binaries(named[node[rows]]), pa.nulls(n, pa.binary()), pa.array(np.repeat(gid, sizes)[rows].view(np.int64))], names=["doc_id", "n", "node", "sketch", "gid"])
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+def _unzipped(z: bytes, unzip: zstandard.ZstdDecompressor, k: int) -> np.ndarray:
+    return shingle_set(unzip.decompress(z).decode("utf-8", "surrogatepass"), k)
+
+
+def _by_hub(pairs: DataFrame, side: DataFrame, parts: int, slices: int) -> DataFrame:
+    """Rows (a, slice, b, columns of ``side``) for the pairs, each hub before its members, with a null b.
+
+    A hub's members are dealt in slices, and it goes to each slice that it has members in.
+    """
+    dealt = pairs.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(slices)))
+    rest = [c for c in side.columns if c != "node"]
+    members = dealt.join(side, dealt["b"] == side["node"]).select("a", "slice", "b", *rest)
+    hubs = dealt.select("a", "slice").distinct().join(side, F.col("a") == side["node"]).select("a", "slice", F.lit(None).cast("binary").alias("b"), *rest)
+    return hubs.union(members).repartition(parts, "a", "slice").sortWithinPartitions("a", "slice", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int, parts: int, slices: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar; texts has (node, z) with the zipped text."""
-    a, b = texts.select(F.col("node").alias("a"), F.col("z").alias("za")), texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip, cache = zstandard.ZstdDecompressor(), {}
+        unzip, hub = zstandard.ZstdDecompressor(), np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for a, b, z in zip(*(strings(batch.column(c)) for c in (0, 2, 3)), strict=True):
+                own = _unzipped(z, unzip, k)
+                if b is None:
+                    hub = own
+                elif similar(hub, own, percent):
+                    out.append((a, b))
+            yield _pairs(out)
+
+    return _by_hub(pairs, texts, parts, slices).mapInArrow(run, "a binary, b binary")
 
-        def known(node: int, z: bytes) -> np.ndarray:
-            if node not in cache:
-                if len(cache) >= 256:
-                    cache.clear()
-                cache[node] = shingle_set(unzip.decompress(z).decode("utf-8", "surrogatepass"), k)
-            return cache[node]
 
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int, parts: int, slices: int) -> DataFrame:
+    """The pairs whose sizes and sketches leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            same = []
-            for i in range(batch.num_rows):
-                x, y = known(a[i], batch.column(2)[i].as_py()), known(b[i], batch.column(3)[i].as_py())
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
+            out, block = [], []
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, same boolean").where("same").select("a", "b")
+            def near() -> Iterator[tuple[bytes, bytes]]:
+                for size in {len(r[4]) for r in block}:
+                    own = [r for r in block if len(r[4]) == size]
+                    apart = differences(rows_of([hub[1]]).repeat(len(own), 0), rows_of([r[4] for r in own]))
+                    ok = may_link(np.full(len(own), hub[0]), np.array([r[3] for r in own]), apart, percent)
+                    yield from ((r[0], r[2]) for r, x in zip(own, ok, strict=True) if x)
+
+            for row in zip(*map(strings, batch.columns), strict=True):
+                if row[2] is None:
+                    out += near()
+                    hub, block = row[3:5], []
+                else:
+                    block.append(row)
+            out += near()
+            yield _pairs(out)
+
+    return _by_hub(pairs, nodes.select("node", "n", "sketch"), parts, slices).mapInArrow(run, "a binary, b binary")
 
 
 def _texts(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -321,16 +378,16 @@ def _texts(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             texts = some.column(1).to_pylist()
             found = [node_of(s) if len(s := shingle_set(t, k)) else None for t in texts]
             z = [zipper.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.int64()), pa.array(z, pa.binary())], names=["doc_id", "node", "z"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary()), pa.array(z, pa.binary())], names=["doc_id", "node", "z"])
 
-    found = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(zipped, "doc_id long, node long, z binary").alias("f")
+    found = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(zipped, "doc_id long, node binary, z binary").alias("f")
     own = nodes.select("node", "doc_id").alias("o")
     same = (F.col("f.node") == F.col("o.node")) & F.col("f.doc_id").eqNullSafe(F.col("o.doc_id"))
     return found.join(own, same).select("f.node", "f.z").dropDuplicates(["node"])
 
 
-def _pairs(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
 def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -338,96 +395,143 @@ def _of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and sketches leave room for a link."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+def candidates(n: np.ndarray, c: np.ndarray, visits: np.ndarray, sketches: list[bytes], percent: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, places, least difference) of a slice's nodes of different components that may be linked; of two visitors neither."""
+    level = np.array([len(x) for x in sketches])
+    kinds = np.unique(level).tolist()
+    planes = {k: rows_of([x for x in sketches if len(x) == k]) for k in kinds}
+    for p, x in enumerate(kinds):
+        for y in kinds[p : p + 2]:
+            if y > 2 * x:
+                continue
+            left, right = np.flatnonzero(level == x), np.flatnonzero(level == y)
+            other = planes[y] if x == y else folded(planes[y])
+            for i in range(0, len(left), block):
+                for j in range(i if x == y else 0, len(right), block):
+                    u, v = left[i : i + block], right[j : j + block]
+                    ok = (c[u, None] != c[None, v]) & ~(visits[u, None] & visits[None, v]) & (np.minimum(n[u, None], n[None, v]) * 100 >= np.maximum(n[u, None], n[None, v]) * percent)
+                    if x == y:
+                        ok &= u[:, None] < v[None]
+                    a, b = np.nonzero(ok)
+                    for lo in range(0, len(a), 8192):
+                        s, t = a[lo : lo + 8192], b[lo : lo + 8192]
+                        apart = differences(planes[x][i : i + block][s], other[j : j + block][t])
+                        keep = may_link(n[u[s]], n[v[t]], apart, percent)
+                        if keep.any():
+                            yield u[s[keep]], v[t[keep]], apart[keep]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each (gid, slice), which come one after the other."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*map(strings, batch.columns), strict=True):
+            if held and held[-1][:2] != row[:2]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _alive(percent: int):
+    """Of rows (gid, slice, node, n, c, visits, sketch): those that may have a link to another component of their slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
-            sa, sb = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            kind = np.array([len(x) << 32 | len(y) for x, y in zip(sa, sb, strict=True)], np.int64)
-            for k in np.unique(kind):
-                at = np.flatnonzero(kind == k)
-                ok = at[may_link(na[at], nb[at], differences(rows_of([sa[i] for i in at]), rows_of([sb[i] for i in at])), percent)]
-                yield _pairs(a[ok], b[ok])
+        for rows in _sliced(batches):
+            n, visits = np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], bool)
+            c = np.unique(np.array([r[4] for r in rows], "S16"), return_inverse=True)[1]
+            hit = np.zeros(len(rows), bool)
+            for s, t, _ in candidates(n, c, visits, [r[6] for r in rows], percent):
+                hit[s] = hit[t] = True
+            some = [rows[i] for i in np.flatnonzero(hit).tolist()]
+            if some:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*some, strict=True), kinds, strict=True)], names=["gid", "slice", "node", "n", "c", "visits", "sketch"])
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
-    return both.mapInArrow(run, "a long, b long")
+    return run
 
 
-def _between(percent: int, nearest: bool, block: int = 512):
-    """Of rows (gid, node, n, c, sketch) sorted by group: pairs (gid, a, b) of different components that may be linked.
+def _forest(percent: int, k: int, most_failed: int = 1_000_000):
+    """Of rows (gid, slice, node, n, c, visits, sketch, z): links that join the components of a slice, fewer than it has nodes.
 
-    All of them, or for each node the one that its sketch says is nearest.
+    Pairs are verified from the nearest on; a pair whose components are joined already needn't be.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        seen: set[tuple[int, int]] = set()
-
-        def triples(gid: int, a: list[int], b: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([gid] * len(a), a, b)], names=["gid", "a", "b"])
-
-        def between() -> Iterator[pa.RecordBatch]:
-            gid = held[0][0]
-            node, n, c = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
-            level = np.array([len(r[4]) for r in held])
-            kinds = np.unique(level).tolist()
-            sketches = {k: rows_of([r[4] for r in held if len(r[4]) == k]) for k in kinds}
-            best, partner = np.full(len(node), np.iinfo(np.int64).max), np.full(len(node), -1)
-            for p, x in enumerate(kinds):
-                for y in kinds[p : p + 2]:
-                    if y > 2 * x:
-                        continue
-                    left, right = np.flatnonzero(level == x), np.flatnonzero(level == y)
-                    other = sketches[y] if x == y else folded(sketches[y])
-                    for i in range(0, len(left), block):
-                        for j in range(i if x == y else 0, len(right), block):
-                            u, v = left[i : i + block], right[j : j + block]
-                            ok = (c[u, None] != c[None, v]) & (np.minimum(n[u, None], n[None, v]) * 100 >= np.maximum(n[u, None], n[None, v]) * percent)
-                            if x == y:
-                                ok &= u[:, None] < v[None]
-                            a, b = np.nonzero(ok)
-                            for lo in range(0, len(a), 8192):
-                                s, t = a[lo : lo + 8192], b[lo : lo + 8192]
-                                apart = differences(sketches[x][i : i + block][s], other[j : j + block][t])
-                                keep = may_link(n[u[s]], n[v[t]], apart, percent)
-                                s, t, apart = u[s[keep]], v[t[keep]], apart[keep]
-                                if nearest:
-                                    for one, two in ((s, t), (t, s)):
-                                        order = np.lexsort((apart, one))
-                                        order = order[np.flatnonzero(np.diff(one[order], prepend=-1))]
-                                        order = order[apart[order] < best[one[order]]]
-                                        best[one[order]], partner[one[order]] = apart[order], two[order]
-                                    continue
-                                found = {(min(e), max(e)) for e in zip(node[s].tolist(), node[t].tolist(), strict=True)} - seen
-                                if found:
-                                    if len(seen) < 1_000_000:
-                                        seen.update(found)
-                                    yield triples(gid, *zip(*found, strict=True))
-            if nearest and (partner >= 0).any():
-                at = np.flatnonzero(partner >= 0)
-                yield triples(gid, node[at].tolist(), node[partner[at]].tolist())
-
-        for batch in batches:
-            for row in zip(*map(strings, batch.columns), strict=True):
-                if held and held[-1][0] != row[0]:
-                    yield from between()
-                    held.clear()
-                held.append(row)
-        if held:
-            yield from between()
+        unzip = zstandard.ZstdDecompressor()
+        failed: set[tuple[bytes, bytes]] = set()
+        for rows in _sliced(batches):
+            n, visits = np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], bool)
+            root = np.unique(np.array([r[4] for r in rows], "S16"), return_inverse=True)[1]
+            found = list(candidates(n, root, visits, [r[6] for r in rows], percent))
+            if not found:
+                continue
+            s, t, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(apart, kind="stable")
+            s, t = s[order], t[order]
+            sets: dict[int, np.ndarray] = {}
+            size = 0
+
+            def known(i: int, rows: list[tuple] = rows, sets: dict[int, np.ndarray] = sets) -> np.ndarray:
+                nonlocal size
+                if i not in sets:
+                    if size > 2 * SLICE_SHINGLES:
+                        sets.clear()
+                        size = 0
+                    sets[i] = _unzipped(rows[i][7], unzip, k)
+                    size += len(sets[i])
+                return sets[i]
+
+            out, lo = [], 0
+            while lo < len(s):
+                i, j = int(s[lo]), int(t[lo])
+                lo += 1
+                if root[i] == root[j]:
+                    continue
+                pair = (min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2]))
+                if pair in failed:
+                    continue
+                if similar(known(i), known(j), percent):
+                    out.append(pair)
+                    root[root == root[j]] = root[i]
+                    apart = root[s[lo:]] != root[t[lo:]]
+                    s, t, lo = s[lo:][apart], t[lo:][apart], 0
+                elif len(failed) < most_failed:
+                    failed.add(pair)
+            if out:
+                yield _pairs(out)
 
     return run
 
 
+def _joined(groups: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame, rows: DataFrame, percent: int, k: int, parts: int) -> DataFrame:
+    """(a, b): links between the components that the links so far leave apart within a group."""
+    found = connected_components(links, "a", "b")
+    labelled = groups.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c")).join(nodes.select("node", "n", "sketch"), "node")
+    parted = labelled.groupBy("gid", "c").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
+    whole = parted.groupBy("gid").agg(F.max(F.struct("nodes", "c")).alias("largest"), F.sum("nodes").alias("nodes"), F.sum("n").alias("n"), F.count("*").alias("components"))
+    slices = F.greatest(F.ceil(F.col("nodes") / SLICE_NODES), F.ceil(F.col("n") / SLICE_SHINGLES)).cast("long")
+    whole = whole.where("components > 1").select("gid", F.col("largest.c").alias("largest"), slices.alias("slices"))
+    rest = labelled.join(whole, "gid").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
+    to = F.when(F.col("c") == F.col("largest"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+    rest = rest.withColumn("slice", F.explode(to)).select("gid", "slice", "node", "n", "c", (F.col("slice") != F.col("own")).alias("visits"), "sketch")
+    kind = "gid long, slice long, node binary, n long, c binary, visits boolean, sketch binary"
+    alive = written(rest.repartition(parts, "gid", "slice").sortWithinPartitions("gid", "slice").mapInArrow(_alive(percent), kind), "alive")
+    more = nodes.join(alive.select("node").distinct(), "node", "left_semi").join(texts.select("node"), "node", "left_anti")
+    texts = texts.unionByName(_texts(rows, more, k))
+    with_texts = alive.join(texts, "node").select(*alive.columns, "z")
+    return with_texts.repartition(parts, "gid", "slice").sortWithinPartitions("gid", "slice").mapInArrow(_forest(percent, k), "a binary, b binary")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id that links of ``percent`` or more reach.
 
     A text without words has no shingles and no links.  Rows with equal sets are linked,
     repeated rows and rows with null ids too; a component of null ids only has a null id.
-    Other columns are not looked at.  No rows give no rows.
+    A similarity of exactly ``percent`` is a link.  Other columns are not looked at.  A
+    text of any length is hashed in parts of bounded size; a task holds its set.  No rows
+    give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     frequent = frequent_shingles(rows, rows.count(), k)
@@ -440,29 +544,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     # the hub of a group is the node that most groups have: a text that others were made of
     degrees = groups.join(groups.groupBy("node").agg(F.count("*").alias("degree")), "node")
     hubs = degrees.groupBy("gid").agg(F.max(F.struct("degree", "node")).alias("hub")).select("gid", F.col("hub.node").alias("a"))
-    stars = groups.join(hubs, "gid").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    stars = written(_near(stars, nodes, percent), "stars")
+    stars = written(groups.join(hubs, "gid").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
+    parts = partitions(rows)
+    slices = max(1, min(stars.count() // SLICE_PAIRS, 1 << 16))
+    stars = written(_near(stars, nodes, percent, parts, slices), "near")
     texts = written(_texts(rows, _of(nodes, stars), k), "texts")
-    links = written(_verified(stars, texts, percent, k), "links")
-
-    # What the stars left apart is compared across components: each node with the nearest
-    # one first, then what is left with all.  A node of a group that has none near it is
-    # done with: sketches don't change.
-    alive, parts = groups, partitions(rows)
-    for turn in range(2):
-        found = connected_components(links, "a", "b")
-        labelled = alive.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c"))
-        apart = labelled.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("gid")
-        rest = labelled.join(apart, "gid").join(nodes.select("node", "n", "sketch"), "node").select("gid", "node", "n", "c", "sketch")
-        pairs = written(rest.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(_between(percent, turn == 0), "gid long, a long, b long"), "pairs")
-        if pairs.isEmpty():
-            break
-        if turn == 0:
-            alive = written(pairs.select("gid", F.col("a").alias("node")).distinct(), "alive")
-            more = _of(nodes, pairs).join(texts.select("node"), "node", "left_anti")
-            texts = texts.unionByName(written(_texts(rows, more, k), "texts"))
-        own = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(written(_verified(own, texts, percent, k), "links"))
+    links = written(_verified(stars, texts, percent, k, parts, slices), "links")
+    links = links.union(written(_joined(groups, nodes, links, texts, rows, percent, k, parts), "links"))
     final = connected_components(links, "a", "b")
 
     reached = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
