@@ -129,11 +129,9 @@ def node_of(shingles: np.ndarray) -> bytes:
     return mix(x).tobytes()
 
 
-def binaries(nodes: np.ndarray) -> pa.Array:
-    """Nodes (S16) as an Arrow column."""
-    nodes = np.ascontiguousarray(nodes)
-    offsets = np.arange(len(nodes) + 1, dtype=np.int32) * 16
-    return pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(nodes.tobytes())])
+def short(nodes: np.ndarray) -> np.ndarray:
+    """The first half of each node's name (S16), by which groups know nodes: two nodes of one short name only make a group larger."""
+    return np.ascontiguousarray(np.ascontiguousarray(nodes).view("<i8").reshape(-1, 2)[:, 0])
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
@@ -188,7 +186,7 @@ def frequent_shingles(docs: DataFrame, rows: int, k: int, sample: int = 5_000, l
 
 
 def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> DataFrame:
-    """One scan: (doc_id, n, node, sketch) of each document, and (gid, node) of signatures that several nodes have.
+    """One scan: (doc_id, n, node, sketch, short) of each document, and (gid, short) of signatures that several nodes have.
 
     Signatures travel as blobs: nodes, how many signatures each has there, and six bytes of
     each signature, whose other bits are the bucket.
@@ -203,7 +201,7 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
 
         def flushed() -> Iterator[pa.RecordBatch]:
             sig = np.concatenate(held)
-            named = np.frombuffer(b"".join(nodes), "S16")
+            named = short(np.frombuffer(b"".join(nodes), "S16"))
             node = np.repeat(np.arange(len(nodes)), [len(x) for x in held])
             bucket = (sig >> (np.uint64(64) - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -253,8 +251,7 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
 
         def met() -> Iterator[pa.RecordBatch]:
             sigs, nodes, counts = zip(*held, strict=True)
-            named, where = np.unique(np.frombuffer(b"".join(nodes), "S16"), return_inverse=True)
-            sig, node = np.concatenate(sigs), np.repeat(where, np.concatenate(counts))
+            sig, node = np.concatenate(sigs), np.repeat(np.frombuffer(b"".join(nodes), "<i8"), np.concatenate(counts))
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
@@ -262,13 +259,14 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
             group = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])) - 1
             several = np.bincount(group)[group] > 1
             if several.any():
-                yield from distinct_groups(group[several], node[several], named)
+                yield from distinct_groups(group[several], node[several])
 
         for batch in batches:
             plain = pa.compute.is_null(batch.column(1))
             if pa.compute.any(plain).as_py():
                 own = batch.filter(plain)
-                yield pa.RecordBatch.from_arrays([*own.columns[4:], pa.nulls(len(own), pa.int64())], names=["doc_id", "n", "node", "sketch", "gid"])
+                first = short(np.frombuffer(b"".join(x or bytes(16) for x in own.column(6).to_pylist()), "S16"))
+                yield pa.RecordBatch.from_arrays([*own.columns[4:], pa.nulls(len(own), pa.int64()), pa.array(first)], names=["doc_id", "n", "node", "sketch", "gid", "short"])
             for bucket, nodes, counts, sigs in zip(*(c.to_pylist() for c in batch.filter(pa.compute.invert(plain)).columns[:4]), strict=True):
                 if bucket != now and held:
                     yield from met()
@@ -281,14 +279,13 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
             yield from met()
 
     signed = docs.select("doc_id", "text").mapInArrow(sign, "bucket int, nodes binary, counts binary, sigs binary, doc_id long, n long, node binary, sketch binary")
-    return signed.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, n long, node binary, sketch binary, gid long")
+    return signed.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, n long, node binary, sketch binary, gid long, short long")
 
 
-def distinct_groups(group: np.ndarray, node: np.ndarray, named: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Groups of the same nodes are one; a group's id is a hash of its nodes, whose names are ``named[node]``."""
+def distinct_groups(group: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Groups of the same nodes (short names) are one; a group's id is a hash of its nodes."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    half = np.ascontiguousarray(named).view(np.uint64).reshape(-1, 2)
-    gid = mix(np.add.reduceat(mix(half[:, 0] ^ mix(half[:, 1] ^ C2))[node], starts))
+    gid = mix(np.add.reduceat(mix(node.view(np.uint64) ^ C2), starts))
     sizes = np.diff(starts, append=len(group))
     order = np.lexsort((node[starts], sizes, gid))
     alike = (np.diff(gid[order]) == 0) & (np.diff(sizes[order]) == 0) & (np.diff(node[starts][order]) == 0)
@@ -296,7 +293,8 @@ def distinct_groups(group: np.ndarray, node: np.ndarray, named: np.ndarray) -> I
     keep[order[np.concatenate([[True], ~alike])]] = True
     rows = np.repeat(keep, sizes)
     n = int(rows.sum())
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), binaries(named[node[rows]]), pa.nulls(n, pa.binary()), pa.array(np.repeat(gid, sizes)[rows].view(np.int64))], names=["doc_id", "n", "node", "sketch", "gid"])
+    none = lambda t: pa.nulls(n, t)
+    yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.binary()), pa.array(np.repeat(gid, sizes)[rows].view(np.int64)), pa.array(node[rows])], names=["doc_id", "n", "node", "sketch", "gid", "short"])
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -508,16 +506,23 @@ def _forest(percent: int, k: int, most_failed: int = 1_000_000):
 def _joined(groups: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame, rows: DataFrame, percent: int, k: int, parts: int) -> DataFrame:
     """(a, b): links between the components that the links so far leave apart within a group."""
     found = connected_components(links, "a", "b")
-    labelled = groups.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c")).join(nodes.select("node", "n", "sketch"), "node")
+    labelled = groups.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c")).join(nodes.select("node", "n"), "node")
     parted = labelled.groupBy("gid", "c").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
     whole = parted.groupBy("gid").agg(F.max(F.struct("nodes", "c")).alias("largest"), F.sum("nodes").alias("nodes"), F.sum("n").alias("n"), F.count("*").alias("components"))
     slices = F.greatest(F.ceil(F.col("nodes") / SLICE_NODES), F.ceil(F.col("n") / SLICE_SHINGLES)).cast("long")
     whole = whole.where("components > 1").select("gid", F.col("largest.c").alias("largest"), slices.alias("slices"))
     rest = labelled.join(whole, "gid").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
     to = F.when(F.col("c") == F.col("largest"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
-    rest = rest.withColumn("slice", F.explode(to)).select("gid", "slice", "node", "n", "c", (F.col("slice") != F.col("own")).alias("visits"), "sketch")
+    rest = rest.withColumn("slice", F.explode(to)).select("gid", "slice", "node", "c", (F.col("slice") != F.col("own")).alias("visits"))
+    # sketches come last: a node's rows lie side by side then, and are sent as good as once
+    rest = rest.join(nodes.select("node", "n", "sketch"), "node").select("gid", "slice", "node", "n", "c", "visits", "sketch")
     kind = "gid long, slice long, node binary, n long, c binary, visits boolean, sketch binary"
     alive = written(rest.repartition(parts, "gid", "slice").sortWithinPartitions("gid", "slice").mapInArrow(_alive(percent), kind), "alive")
+    # slices whose nodes that are left are the same ones are one
+    row = F.xxhash64("node", "visits"), F.xxhash64("visits", "node", F.lit(1))
+    same = alive.groupBy("gid", "slice").agg(F.count("*").alias("rows"), *(F.bit_xor(x).alias(c) for c, x in zip("xy", row, strict=True)))
+    one = same.groupBy("rows", "x", "y").agg(F.min(F.struct("gid", "slice")).alias("one")).select("one.*")
+    alive = alive.join(one, ["gid", "slice"], "left_semi")
     more = nodes.join(alive.select("node").distinct(), "node", "left_semi").join(texts.select("node"), "node", "left_anti")
     texts = texts.unionByName(_texts(rows, more, k))
     with_texts = alive.join(texts, "node").select(*alive.columns, "z")
@@ -537,10 +542,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     frequent = frequent_shingles(rows, rows.count(), k)
     signed = written(_signed(rows, Bands(percent), frequent, k), "signed")
     sets = signed.where("gid IS NULL").drop("gid")
-    groups = signed.where("gid IS NOT NULL").select("gid", "node").distinct()
-    nodes = sets.join(groups.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "nodes")
-    groups = written(groups, "groups")
+    members = signed.where("gid IS NOT NULL").select("gid", "short").distinct()
+    alike = sets.where("node IS NOT NULL").groupBy("short", "node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = written(alike.join(members.select("short").distinct(), "short", "left_semi"), "nodes")
+    groups = written(members.join(nodes.select("short", "node"), "short").select("gid", "node"), "groups")
+    nodes = nodes.drop("short")
     # the hub of a group is the node that most groups have: a text that others were made of
     degrees = groups.join(groups.groupBy("node").agg(F.count("*").alias("degree")), "node")
     hubs = degrees.groupBy("gid").agg(F.max(F.struct("degree", "node")).alias("hub")).select("gid", F.col("hub.node").alias("a"))

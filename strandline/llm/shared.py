@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_LEAN = False
+
+
+def lean() -> None:
+    """From now on this worker gives large freed blocks back to the system: an executor's workers share its memory with the JVM."""
+    global _LEAN
+    if not _LEAN:
+        _LEAN = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        except (AttributeError, OSError):  # another C library than glibc
+            pass
+
+
 def strings(column: pa.Array, step: int = 256) -> Iterator[str | None]:
     """The values of a batch's column, of which Python holds a few at a time."""
     for lo in range(0, len(column), step):

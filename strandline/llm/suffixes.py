@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from strandline.llm import shingles
 from strandline.llm.bitmaps import bitmap, is_set
-from strandline.llm.shared import NO_ID, fresh, partitions, written
+from strandline.llm.shared import NO_ID, fresh, lean, partitions, written
 from strandline.llm.shared import strings as values
 from strandline.llm.shingles import mix
 
@@ -316,6 +316,7 @@ def repeated_anchors(rows: DataFrame, length: int, levels: tuple[int, int]) -> D
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         owners, held, size = [], [], 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
@@ -361,6 +362,7 @@ def repeated_anchors(rows: DataFrame, length: int, levels: tuple[int, int]) -> D
             yield from flushed()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held: list[tuple] = []
         now = None
         names = ["id", "th", "at", "hot", "level"]
@@ -441,6 +443,7 @@ def repeated_spans(rows: DataFrame, lists: DataFrame, hot: DataFrame, length: in
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         (hot, bits), (hottest, most_bits) = shared.value
         zipper = zstandard.ZstdCompressor(level=1)
         entries: list[tuple[int, bytes, int, int, int, int]] = []
@@ -485,6 +488,7 @@ def repeated_spans(rows: DataFrame, lists: DataFrame, hot: DataFrame, length: in
             yield from sent()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         unzip = zstandard.ZstdDecompressor()
         runs: list[tuple[bytes, bytes, bytes]] = []
         now = None
@@ -543,6 +547,7 @@ def _numbered(code: np.ndarray, rest: bytes, base: int, unzip: zstandard.ZstdDec
 
 @F.arrow_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]))
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    lean()
     kept, size, removed, runs = [], [], [], []
     for t, s in zip(values(text), values(spans), strict=True):
         data, at, out, n = (t or "").encode("utf-8", "surrogatepass"), 0, [], 0
