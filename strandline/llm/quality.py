@@ -134,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, features: in
     def figures(text: pa.Array) -> pa.Array:
         return pa.array([statistics(t).tolist() for t in text.to_pylist()], pa.list_(pa.float64()))
 
-    rows = rows.select("key", "y", figures("text").alias("x")).coalesce(16)
-    rows = written(rows, "quality")
+    # the scan keeps its tasks; max_rows rows at most are dealt to few files
+    rows = written(rows.select("key", "y", figures("text").alias("x")).repartition(16, "key"), "quality")
     learn, calibrate = rows.where(fold(F.col("key")) != 3), rows.where(fold(F.col("key")) == 3)
     sums = [(np.frombuffer(bytes(r["sums"])).reshape(2, -1), r["n"]) for r in _batches(learn, None).collect()]
     n = sum(x[1] for x in sums)
