@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shingles import hashes, mix, words
+from strandline.llm.shared import strings
+from strandline.llm.shingles import hashes, mix
 
 #: Items are searched for in blocks of so many, so that what a task is sent is bounded.
 BLOCK_ITEMS = 20_000
@@ -40,7 +41,7 @@ class Index:
 
 
 def build(ids: list[int | None], texts: list[str | None], k: int, slots: int, seed: int = 11) -> Index:
-    sets = [np.unique(hashes(words(t), k)) for t in texts]
+    sets = [np.unique(hashes(t, k)) for t in texts]
     keep = [i for i, s in enumerate(sets) if len(s)]
     ids, sets = [ids[i] for i in keep], [sets[i] for i in keep]
     salts = np.random.default_rng(seed).integers(1, 1 << 63, slots, dtype=np.uint64)
@@ -101,7 +102,9 @@ def find_contained(
     An item of fewer than k words is one shingle, which only a document of the same words
     has; items and documents without words match nothing, null texts neither.  Repeated
     rows and rows with null ids match on their own.  Items are a stated query set: they are
-    read in blocks of ``BLOCK_ITEMS`` and each block is searched for in all documents.
+    read in blocks of ``BLOCK_ITEMS`` and each block is searched for in all documents.  An
+    item is contained at exactly ``percent`` too.  A text of any length is searched whole;
+    a task holds it and eight bytes a word.  Other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -113,7 +116,7 @@ def find_contained(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                found = [(key, index.ids[i], shared, n) for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, shared, n in matches(hashes(words(text), k), index, percent)]
+                found = [(key, index.ids[i], shared, n) for key, text in zip(*map(strings, batch.columns), strict=True) for i, shared, n in matches(hashes(text, k), index, percent)]
                 columns = zip(*found, strict=True) if found else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shared", "n_shingles"])
 

@@ -1,7 +1,10 @@
 """Hashed word shingles of whole texts.
 
 Words are runs of bytes other than space and 0x09-0x0D, after A-Z went to lower case.
-A shingle is hashed as one string, by differences of a polynomial prefix hash.
+A word's hash is a polynomial in its bytes, found as a difference of prefix sums; a
+shingle's is a polynomial in its words' hashes.  Texts are hashed in parts of bounded
+size, and a word that lies in several parts is carried on, so that a text needs little
+memory beside its own bytes and eight bytes a word.
 """
 
 from __future__ import annotations
@@ -9,8 +12,9 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-#: Words hashed at a time, so that a very long text doesn't need as much memory again.
-PART_WORDS = 1 << 18
+#: Bytes hashed at a time.
+PART_BYTES = 1 << 18
+LENGTH, NEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
 
@@ -32,30 +36,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word, in order."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    power, inverse = _powers(min(len(data), PART_BYTES) + 1)
+    found: list[np.ndarray] = []
+    held: tuple[int, int] | None = None  # hash and length of a word that goes on in the next part
+    for lo in range(0, len(data), PART_BYTES):
+        part = data[lo : lo + PART_BYTES]
+        word = (part != 32) & (part - np.uint8(9) > 4)
+        edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+        starts, ends = edges[::2], edges[1::2]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=prefix[1:])
+        h, n = (prefix[ends] - prefix[starts]) * inverse[starts], (ends - starts).astype(np.uint64)
+        if held is not None:
+            if word[0]:
+                h[:1] = h[:1] * np.full(1, pow(BASE, held[1], 1 << 64), np.uint64) + np.full(1, held[0], np.uint64)
+                n[:1] += np.uint64(held[1])
+            else:
+                found.append(mix(np.full(1, held[0], np.uint64) + np.full(1, held[1], np.uint64) * LENGTH))
+            held = None
+        if word[-1] and lo + PART_BYTES < len(data):
+            held, h, n = (int(h[-1]), int(n[-1])), h[:-1], n[:-1]
+        found.append(mix(h + n * LENGTH))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def hashes(tokens: list[bytes], k: int = 5) -> np.ndarray:
+def hashes(text: str | None, k: int = 5) -> np.ndarray:
     """A hash for each run of k words, in order; of fewer words, one for all of them; none without words."""
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    k = min(k, len(tokens))
-    out = []
-    for lo in range(0, len(tokens) - k + 1, PART_WORDS):
-        part = tokens[lo : lo + PART_WORDS + k - 1]
-        data = np.frombuffer(b" ".join(part), np.uint8)
-        power, inverse = _powers(len(data) + 1)
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-        gaps = np.flatnonzero(data == 32)
-        starts = np.concatenate([[0], gaps + 1])
-        ends = np.concatenate([gaps, [len(data)]])
-        a, b = starts[: len(starts) - k + 1], ends[k - 1 :]
-        out.append(mix((prefix[b] - prefix[a]) * inverse[a] + (b - a).astype(np.uint64)))
-    return np.concatenate(out) if len(out) > 1 else out[0]
+    w = word_hashes(text)
+    if not len(w):
+        return w
+    k = min(k, len(w))
+    out = np.full(len(w) - k + 1, k, np.uint64)
+    for j in range(k):
+        out *= NEXT
+        out += w[j : j + len(out)]
+    return mix(out)
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     """The distinct shingles of a text, sorted."""
-    return np.unique(hashes(words(text), k))
+    return np.unique(hashes(text, k))
