@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.shared import NO_ID, partitions, strings, written
+from strandline.llm.shared import NO_ID, fresh, partitions, strings, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 DROP, EDGE, SUMMARY = 0, 1, 2
@@ -153,11 +153,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     A key that ``min_docs`` documents have stays in the one with the largest id only.  A null
     text is one empty line and stays null; a null id is below all others, and rows without
     one are one document.  Repeated rows are one document, and each of them is changed alike.
-    Columns named like the new ones are replaced; all others are kept.  No rows give no rows.
+    Columns named like the new ones are replaced; all others are kept.  A text of any length
+    is split whole; a task holds it and its lines.  No rows give no rows.
     """
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col)
-    bitmaps = bitmaps.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("bitmap").alias("__bitmap"))
-    on = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"))
-    out = docs.join(bitmaps.hint("shuffle_hash"), on, "left").withColumn("__kept", _kept(F.col(text_col).cast("string"), "__bitmap"))
-    out = out.withColumns({text_col: F.col("__kept.text"), "n_lines": F.col("__kept.n_lines"), "n_dropped": F.col("__kept.n_dropped")})
-    return out.drop("__id", "__th", "__bitmap", "__kept")
+    key, th, bitmap, kept = (fresh(docs, c) for c in ("id", "th", "bitmap", "kept"))
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).select(F.col("id").alias(key), F.col("th").alias(th), F.col("bitmap").alias(bitmap))
+    on = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(th))
+    out = docs.join(bitmaps.hint("shuffle_hash"), on, "left").withColumn(kept, _kept(F.col(text_col).cast("string"), bitmap))
+    out = out.withColumns({text_col: F.col(f"{kept}.text"), "n_lines": F.col(f"{kept}.n_lines"), "n_dropped": F.col(f"{kept}.n_dropped")})
+    return out.drop(key, th, bitmap, kept)
