@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.bitmaps import bitmap, is_set
-from strandline.llm.shared import partitions, strings, written
+from strandline.llm.shared import lean, partitions, strings, written
 from strandline.llm.shingles import mix, shingle_set
 from strandline.operators.graph import connected_components
 
@@ -47,6 +47,8 @@ FLUSH = 500_000
 MOST_REGIONS = 14
 #: Nodes, and shingles, of a slice of a group; pairs of a star's slice.
 SLICE_NODES, SLICE_SHINGLES, SLICE_PAIRS = 2048, 1 << 21, 200_000
+#: Bytes of sketches that are compared at a time.
+BLOCK_BYTES = 1 << 22
 C1, C2, C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -150,15 +152,25 @@ def planes(counts: np.ndarray) -> np.ndarray:
 
 def folded(sketches: np.ndarray) -> np.ndarray:
     """Sketches of half as many regions."""
-    m = len(sketches)
-    return planes(np.unpackbits(sketches, axis=1).reshape(m, 2, -1).sum(1).reshape(m, -1, 2).sum(2))
+    out = np.empty((len(sketches), sketches.shape[1] // 2), np.uint8)
+    step = max(1, BLOCK_BYTES // (8 * sketches.shape[1]))
+    for lo in range(0, len(sketches), step):
+        part = sketches[lo : lo + step]
+        counts = np.unpackbits(part, axis=1).reshape(len(part), 2, -1).sum(1, dtype=np.uint8)
+        out[lo : lo + step] = planes(counts.reshape(len(part), -1, 2).sum(2, dtype=np.uint8))
+    return out
 
 
 def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many elements the sets differ at least, of which these are sketches (rows of bytes)."""
+    """In how many elements the sets differ at least, of which these are sketches (rows of bytes; ``a`` may be one row for all)."""
     while a.shape[1] != b.shape[1]:
         a, b = (folded(a), b) if a.shape[1] > b.shape[1] else (a, folded(b))
-    return np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)).sum(1, dtype=np.int64)
+    a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+    out = np.empty(len(b), np.int64)
+    step = max(1, BLOCK_BYTES // (8 * b.shape[1]))
+    for lo in range(0, len(b), step):
+        out[lo : lo + step] = np.bitwise_count((a if len(a) == 1 else a[lo : lo + step]) ^ b[lo : lo + step]).sum(1, dtype=np.int64)
+    return out
 
 
 def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -196,6 +208,7 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
     bits = np.uint64(count.bit_length() - 1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, nodes, size, seen = [], [], 0, set()
         names = ["bucket", "nodes", "counts", "sigs", "doc_id", "n", "node", "sketch"]
 
@@ -246,6 +259,7 @@ def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> Data
             yield from flushed()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held: list[tuple[np.ndarray, bytes, np.ndarray]] = []
         now = None
 
@@ -322,6 +336,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int, parts: i
     """Those of the pairs (a, b) whose sets are similar; texts has (node, z) with the zipped text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         unzip, hub = zstandard.ZstdDecompressor(), np.zeros(0, np.uint64)
         for batch in batches:
             out = []
@@ -340,6 +355,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, parts: int, slices:
     """The pairs whose sizes and sketches leave room for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         hub = None
         for batch in batches:
             out, block = [], []
@@ -347,7 +363,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, parts: int, slices:
             def near() -> Iterator[tuple[bytes, bytes]]:
                 for size in {len(r[4]) for r in block}:
                     own = [r for r in block if len(r[4]) == size]
-                    apart = differences(rows_of([hub[1]]).repeat(len(own), 0), rows_of([r[4] for r in own]))
+                    apart = differences(rows_of([hub[1]]), rows_of([r[4] for r in own]))
                     ok = may_link(np.full(len(own), hub[0]), np.array([r[3] for r in own]), apart, percent)
                     yield from ((r[0], r[2]) for r, x in zip(own, ok, strict=True) if x)
 
@@ -369,6 +385,7 @@ def _texts(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         zipper = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             h = batch.column(2).to_numpy().view(np.uint64)
@@ -411,8 +428,9 @@ def candidates(n: np.ndarray, c: np.ndarray, visits: np.ndarray, sketches: list[
                     if x == y:
                         ok &= u[:, None] < v[None]
                     a, b = np.nonzero(ok)
-                    for lo in range(0, len(a), 8192):
-                        s, t = a[lo : lo + 8192], b[lo : lo + 8192]
+                    few = max(64, BLOCK_BYTES // x)
+                    for lo in range(0, len(a), few):
+                        s, t = a[lo : lo + few], b[lo : lo + few]
                         apart = differences(planes[x][i : i + block][s], other[j : j + block][t])
                         keep = may_link(n[u[s]], n[v[t]], apart, percent)
                         if keep.any():
@@ -436,6 +454,7 @@ def _alive(percent: int):
     """Of rows (gid, slice, node, n, c, visits, sketch): those that may have a link to another component of their slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for rows in _sliced(batches):
             n, visits = np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], bool)
             c = np.unique(np.array([r[4] for r in rows], "S16"), return_inverse=True)[1]
@@ -457,6 +476,7 @@ def _forest(percent: int, k: int, most_failed: int = 1_000_000):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         unzip = zstandard.ZstdDecompressor()
         failed: set[tuple[bytes, bytes]] = set()
         for rows in _sliced(batches):
