@@ -113,40 +113,44 @@ class Encoder:
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         self._store(pieces, np.fromiter((i for ids in coded for i in ids), np.uint32, int(lengths.sum())), np.cumsum(lengths) - lengths)
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """The pieces' numbers; those of new ones are encoded.  None is asked for twice."""
-        index, found = self.index, list(map(self.index.get, pieces))
-        new = [p for p, n in zip(pieces, found, strict=True) if n is None]
+    def _look_up(self, pieces: list[str]) -> np.ndarray:
+        """The pieces' numbers; -1 for new ones."""
+        return np.fromiter(map(self.index.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+
+    def _add(self, new: list[str]) -> np.ndarray:
+        """Encodes new pieces, each named once; their numbers."""
+        base = len(self.index)
+        self.index.update(zip(new, range(base, base + len(new)), strict=True))
         if new:
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
             self._learn(new)
-            found = map(index.__getitem__, pieces)
-        return np.fromiter(found, np.int64, len(pieces))
+        return np.arange(base, base + len(new))
 
     def _learn(self, new: list[str]) -> None:
         """Encodes pieces.  A word with punctuation after it is two pre-tokens, and both are known sooner."""
-        index, mark = self.index, "\x00" if self.mode == "byte" else ""
+        index, mark, byte, words = self.index, "\x00" if self.mode == "byte" else "", self.mode == "byte", self.words
         simple, rest, alone, ended, parts = [], [], [], [], []
 
-        def sort_in(p: str) -> None:
+        def odd(p: str) -> None:
+            (alone if "\x00" in p or "\x02" in p or not p else rest).append(p)
+
+        def plain(p: str) -> bool:
             # letters below U+0250 are left as they are by normalization; capitals only by byte level
-            if self.words and p.isalpha() and (p.isascii() or (max(p) < "\u0250" and (self.mode == "byte" or p.islower()))):
-                simple.append(p)
-            else:
-                (alone if "\x00" in p or "\x02" in p or not p else rest).append(p)
+            return words and (p.isascii() or (max(p) < "\u0250" and (byte or p.islower())))
 
         def number(p: str) -> int:
             if (n := index.get(p)) is None:
                 n = index[p] = len(index)
-                sort_in(p)
+                simple.append(p) if p.isalpha() and plain(p) else odd(p)
             return n
 
         for p in new:
-            if not p.isalpha() and (word := p.rstrip(string.punctuation)) != p and word.isalpha():
+            if p.isalpha():
+                simple.append(p) if plain(p) else odd(p)
+            elif (word := p.rstrip(string.punctuation)) != p and word.isalpha():
                 ended.append(p)
                 parts += (number(word), number(mark + p[len(word) :]))
             else:
-                sort_in(p)
+                odd(p)
         if simple:
             self._whole_words(simple)
         for i in range(0, len(rest), 256):
@@ -209,22 +213,26 @@ class Encoder:
         coded = lists.values.dictionary_encode()
         pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         index = self.index
-        barred = np.fromiter((p not in index and self._barred(p) for p in pieces), bool, len(pieces))
+        number = self._look_up(pieces)
+        fresh = np.flatnonzero(number < 0)
+        barred = np.zeros(len(pieces), bool)
+        barred[fresh] = [self._barred(pieces[i]) for i in fresh.tolist()]
         bad = np.logical_or.reduceat(barred[codes], bounds[:-1])
         if self.mode == "byte":
             bad |= [not c or c.isspace() for c in pc.utf8_slice_codeunits(texts, -1).to_pylist()]
-        known = ~barred
         if bad.any():
-            known[:] = False
+            known = np.zeros(len(pieces), bool)
             known[codes[np.repeat(~bad, np.diff(bounds))]] = True
-        chosen = np.flatnonzero(known)
-        number = np.zeros(len(pieces), np.int64)
-        number[chosen] = self._numbers(pieces if len(chosen) == len(pieces) else [pieces[i] for i in chosen.tolist()])
+            fresh = fresh[known[fresh]]
+        number[fresh] = self._add([pieces[i] for i in fresh.tolist()])
         at = number[codes]
         if self.mode == "byte":
             good = np.flatnonzero(~bad)
             first, which = np.unique(codes[bounds[good]], return_inverse=True)
-            at[bounds[good]] = self._numbers(["\x00" + pieces[c] for c in first.tolist()])[which]
+            opening = ["\x00" + pieces[c] for c in first.tolist()]
+            numbers = self._look_up(opening)
+            numbers[numbers < 0] = self._add([p for p, n in zip(opening, numbers.tolist(), strict=True) if n < 0])
+            at[bounds[good]] = numbers[which]
         if len(self.hits) < len(index):
             self.hits = np.concatenate([self.hits, np.zeros(len(index), np.int64)])
         for lo in range(0, len(texts), 256):  # what is strung together at a time
