@@ -122,5 +122,27 @@ def multiclass(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return s.withColumns({"precision": rounded(p), "recall": rounded(r), "f1": rounded(_ratio(2.0 * F.col("hits"), F.col("support") + F.col("predicted")))})
 
 
+def multiclass_summary(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """One row: n, accuracy, precision, recall and F1 as means over the classes that occur, and MCC over all classes; 0 for 0/0."""
+    s = multiclass(df, label, predicted)
+    square = lambda a, b: F.sum(F.col(a).cast("double") * F.col(b))
+    p, r = _ratio(F.col("hits"), F.col("predicted")), _ratio(F.col("hits"), F.col("support"))
+    f1 = _ratio(2.0 * F.col("hits"), F.col("support") + F.col("predicted"))
+    out = s.agg(F.sum("support").alias("n"), F.sum("hits").alias("c"), F.avg(p).alias("p"), F.avg(r).alias("r"), F.avg(f1).alias("f"), square("support", "predicted").alias("tp"), square("support", "support").alias("tt"), square("predicted", "predicted").alias("pp"))
+    n = F.col("n").cast("double")
+    under = F.sqrt(n * n - F.col("pp")) * F.sqrt(n * n - F.col("tt"))
+    mcc = F.when(under == 0, 0.0).otherwise((F.col("c") * n - F.col("tp")) / under)
+    return out.select("n", rounded(F.col("c") / n).alias("accuracy"), *(rounded(F.col(x)).alias(name) for x, name in (("p", "precision_macro"), ("r", "recall_macro"), ("f", "f1_macro"))), rounded(mcc).alias("mcc"))
+
+
+def confusion_cells(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """(truth, predicted, n) for each pair of classes that occur, 0 among them; there are as many cells as classes squared."""
+    cells = df.groupBy(F.col(label).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    classes = cells.select(F.explode(F.array("truth", "predicted")).alias("x")).distinct()
+    all_of = classes.agg(F.collect_set("x").alias("xs"))  # a row of all classes
+    grid = all_of.select(F.explode("xs").alias("truth"), "xs").select("truth", F.explode("xs").alias("predicted"))
+    return grid.join(cells, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def verdict(value: Column, low: float = 0.90, high: float = 0.98) -> Column:
     return F.when(value.isNull(), "FAIL").when(value < low, "FAIL").when(value > high, "WARN").otherwise("PASS")

@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
-import itertools
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.sequence import kmers
 
 
 def kmer_vector(seq: Column, k: int = 3) -> Column:
-    """Counts of all 4**k words in alphabetical order, as floats."""
-    words = ["".join(p) for p in itertools.product("ACGT", repeat=k)]
-    # runs of equal k-mers in sorted order are counted once, not once a word
-    return F.transform(F.array(*map(F.lit, words)), lambda w: F.size(F.filter(kmers(seq, k), lambda x: x == w)).cast("float"))
+    """Counts of all 4**k words in alphabetical order, as floats; words with other letters count to none.
+
+    Null gives null.  In Arrow batches, as there is no built-in function that counts into
+    an array by number: one that filters the words goes through them 4**k times.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(seqs: pa.Array) -> pa.Array:
+        number = np.full(256, -1, np.int64)
+        number[list(b"ACGT")] = range(4)
+        out = []
+        for s in seqs:
+            if (text := s.as_py()) is None:
+                out.append(None)
+                continue
+            letters = number[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+            n = max(len(letters) - k + 1, 0)
+            code, plain = np.zeros(n, np.int64), np.ones(n, bool)
+            for i in range(k if n else 0):
+                code, plain = code * 4 + letters[i : i + n], plain & (letters[i : i + n] >= 0)
+            out.append(np.bincount(code[plain], minlength=4**k).astype(np.float32))
+        return pa.array(out, pa.list_(pa.float32()))
+
+    return vectors(seq)
 
 
 def kmer_counts(df: DataFrame, id_col: str, seq: str, k: int = 3) -> DataFrame:

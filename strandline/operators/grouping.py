@@ -64,30 +64,58 @@ def strict(split: DataFrame) -> DataFrame:
 
 
 def group_summary(split: DataFrame) -> DataFrame:
-    """Members, sources and splits of each group, the largest first and of equal ones the smallest name."""
+    """(group, n, n_sources, first_window), in any order; ``reports.largest_group`` has the largest one."""
     return split.groupBy("group").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.min("window_id").alias("first_window"))
 
 
-def leak_checks(rows: DataFrame, width: int) -> DataFrame:
-    """One row (check, violations) per rule on (dataset, window_id, group, seq, label): all must be 0."""
-    per = rows.groupBy("dataset", "window_id").agg(F.count("*").alias("n"))
-    in_sets = rows.groupBy("window_id").agg(F.collect_set("dataset").alias("d"))
-    touch = lambda d, names: F.arrays_overlap(d, F.array(*map(F.lit, names)))
-    kinds_hit = lambda d: touch(d, ("train",)).cast("int") + touch(d, DEV).cast("int") + touch(d, TEST).cast("int")
-    group_sets = rows.groupBy("group").agg(F.collect_set("dataset").alias("d"))
-    parts = [
-        per.agg(F.lit("duplicate_ids").alias("check"), F.count_if(F.expr("n > 1")).alias("violations")),
-        in_sets.agg(F.lit("ids_across_splits"), F.count_if(kinds_hit(F.col("d")) > 1)),
-        group_sets.agg(F.lit("strict_test_groups"), F.count_if(touch(F.col("d"), ("test_strict",)) & touch(F.col("d"), ("train", "dev")))),
-        group_sets.agg(F.lit("strict_dev_groups"), F.count_if(touch(F.col("d"), ("dev_strict",)) & touch(F.col("d"), ("train",)))),
-        rows.agg(F.lit("length"), F.count_if(F.length("seq") != width)),
-        rows.agg(F.lit("alphabet"), F.count_if(F.translate("seq", "ACGT", "") != "")),
-        rows.agg(F.lit("labels"), F.count_if(~F.col("label").isin(0, 1))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+SETS = ("train", "dev", "dev_strict", "test", "test_strict")
+
+
+def leak_checks(rows: DataFrame, width: int, mode: str = "hash", purged: bool = False) -> DataFrame:
+    """(check, violations, mandatory) on (dataset, window_id, group, chrom, holdout, dev_chrom, seq, label).
+
+    Mandatory ones must be 0 before anything is written.  Train and dev may share a group
+    where dev goes by chromosome, and test may share one with them unless groups of test
+    were purged; both are counted all the same.  One pass: rows to windows, windows to
+    groups, groups to one row.
+    """
+    within = lambda *names: F.col("dataset").isin(*names)
+    place = F.create_map(*(x for i, s in enumerate(SETS) for x in (F.lit(s), F.lit(1 << i))))
+    has = lambda column, *names: F.col(column).bitwiseAND(sum(1 << SETS.index(n) for n in names)) > 0
+    genomic = F.col("chrom") != ""
+    own = {
+        "holdout_outside_test": within("train", "dev", "dev_strict") & F.col("holdout"),
+        "genomic_not_holdout_in_test": within("test", "test_strict") & genomic & ~F.col("holdout"),
+        "dev_chrom_outside_dev": within("train", "test", "test_strict") & F.col("dev_chrom"),
+        "genomic_not_dev_chrom_in_dev": within("dev", "dev_strict") & genomic & ~F.col("dev_chrom") & F.lit(mode != "hash"),
+        "invalid_sequence": (F.length("seq") != width) | (F.translate("seq", "ACGT", "") != ""),
+        "invalid_label": ~F.col("label").isin(0, 1),
+    }
+    windows = rows.groupBy("window_id").agg(F.bit_or(place[F.col("dataset")]).alias("w"), F.collect_set("group").alias("groups"), F.count("*").alias("n"), F.countDistinct("dataset").alias("sets"), *(F.count_if(c).alias(k) for k, c in own.items()))
+    of_window = {
+        "window_in_train_and_other": has("w", "train") & has("w", "dev", "dev_strict", "test", "test_strict"),
+        "window_in_dev_and_test": has("w", "dev", "dev_strict") & has("w", "test", "test_strict"),
+        "repeated_in_a_set": F.col("n") > F.col("sets"),
+    }
+    windows = windows.select("w", "groups", *own, *(c.cast("long").alias(k) for k, c in of_window.items()))
+    names = [*own, *of_window]
+    # what is counted for a window goes with its first group
+    spread = windows.select("w", F.posexplode_outer("groups").alias("at", "group"), *names)
+    groups = spread.groupBy("group").agg(F.bit_or("w").alias("g"), *(F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, F.col(k)).otherwise(0)).alias(k) for k in names))
+    of_group = {
+        "group_in_train_and_dev": has("g", "train") & has("g", "dev"),
+        "group_in_dev_strict_and_train": has("g", "dev_strict") & has("g", "train"),
+        "group_in_test_strict_and_train_dev": has("g", "test_strict") & has("g", "train", "dev"),
+        "group_in_test_and_train_dev": has("g", "test") & has("g", "train", "dev"),
+    }
+    one = groups.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in names), *(F.count_if(c & F.col("group").isNotNull()).alias(k) for k, c in of_group.items()))
+    optional = {"group_in_train_and_dev": mode == "hash", "group_in_test_and_train_dev": purged}
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("violations"), F.lit(optional.get(k, True)).alias("mandatory")) for k in (*names, *of_group)))).alias("r")).select("r.*")
+
+
+def failed_checks(checks: DataFrame) -> list[str]:
+    """The mandatory checks that do not hold: a row per rule."""
+    return [f"{r['check']} = {r['violations']}" for r in checks.where("mandatory AND violations > 0").orderBy("check").collect()]
 
 
 def orientation_pairs(rows: DataFrame) -> DataFrame:
@@ -98,3 +126,17 @@ def orientation_pairs(rows: DataFrame) -> DataFrame:
     for kind in (("train",), DEV, TEST):
         sets = sets.where(F.size(F.array_except("d", F.array(*map(F.lit, kind)))) > 0)
     return bad.union(sets.select("window_id", F.lit("*").alias("dataset")))
+
+
+def shared_sequences(train: DataFrame, test: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """(sequence, rows): sequences of both sides, with (name, label) of every test row that has one, sorted; nulls match nothing.
+
+    Only sequences that the training rows have, once each, meet the test rows.
+    """
+    hit = test.join(train.select(sequence).distinct(), sequence, "left_semi")
+    return hit.groupBy(sequence).agg(F.array_sort(F.collect_list(F.struct("name", "label"))).alias("rows"))
+
+
+def without_shared(train: DataFrame, test: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """The training rows whose sequence no test row has; a null sequence stays."""
+    return train.join(test.select(sequence).distinct(), sequence, "left_anti")

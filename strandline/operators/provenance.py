@@ -25,6 +25,22 @@ def verified(manifest: DataFrame, found: DataFrame, key: str = "dataset") -> Dat
     return out.withColumn("problem", problem).where("problem IS NOT NULL").select(key, "problem")
 
 
+def problems(manifest: DataFrame, found: DataFrame, rows: DataFrame, labels: tuple[int, ...] = (0, 1), key: str = "dataset") -> DataFrame:
+    """(dataset, problem): all that keeps a training run from starting: the manifest's, and labels outside of those allowed."""
+    allowed = F.coalesce(F.col("label").isin(*labels), F.lit(False))
+    wrong = rows.where(~allowed).select(key, F.lit("label").alias("problem")).distinct()
+    return verified(manifest, found, key).unionByName(wrong)
+
+
+def unchanged(wanted: dict, found: dict | None, hashes: DataFrame, key: str = "dataset") -> bool:
+    """Whether an earlier run made the same: equal settings, and its manifest ({key: sha256} below "sha256") holds."""
+    if found is None or found.get("settings") != wanted:
+        return False
+    rows = [(str(k), str(v)) for k, v in (found.get("sha256") or {}).items()]
+    manifest = hashes.sparkSession.createDataFrame(rows, f"{key} string, sha256 string")
+    return bool(rows) and verified(manifest, hashes, key).isEmpty()
+
+
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Splits whose keys and hashes no earlier run has."""
     return wanted.join(done, keys, "left_anti")

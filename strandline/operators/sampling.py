@@ -8,20 +8,40 @@ from pyspark.sql import functions as F
 from strandline.functions.sequence import hash_fraction
 
 
-def histogram(df: DataFrame, role: str, bin_col: str, bins: int = 50) -> DataFrame:
-    """(role, bin, frac): shares by bin; a role without rows takes the shares of all rows."""
-    counts = df.groupBy(role, bin_col).agg(F.count("*").alias("n"))
-    total = counts.groupBy(role).agg(F.sum("n").alias("total"))
-    return counts.join(total, role).select(role, bin_col, (F.col("n") / F.col("total")).alias("frac"))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan reads; leaves of unknown size (exabytes, Spark says) count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return sum(x for x in sizes if x < 1 << 60)
+
 
+def histogram(df: DataFrame, role: str, bin_col: str, roles: tuple[str, ...] = ()) -> DataFrame:
+    """(role, bin, frac): shares by bin; each of ``roles`` that has no rows takes the shares of all rows.
 
-def take_by_hash(df: DataFrame, keys: list[str], id_col: str, quota: DataFrame, seed: str = "42", salt: int = 64) -> DataFrame:
+    A null bin counts to no histogram.  No rows give no rows, whatever the roles.
+    """
+    counts = df.where(F.col(bin_col).isNotNull()).groupBy(role, bin_col).agg(F.count("*").alias("n"))
+    total = counts.groupBy(role).agg(F.sum("n").alias("total"))
+    of = total.withColumnRenamed(role, "__role")
+    out = counts.join(of, F.col(role).eqNullSafe(F.col("__role"))).select(role, bin_col, (F.col("n") / F.col("total")).alias("frac"))
+    if not roles:
+        return out
+    named = df.sparkSession.createDataFrame([(r,) for r in roles], f"{role} {df.schema[role].dataType.simpleString()}")
+    whole = counts.groupBy(bin_col).agg(F.sum("n").alias("n")).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # one row
+    # each named role meets every bin; of those that have rows of their own nothing is taken
+    lacking = named.join(of.select("__role"), F.col(role) == F.col("__role"), "left_anti")
+    return out.unionByName(whole.select(bin_col, (F.col("n") / F.col("total")).alias("frac")).crossJoin(F.broadcast(lacking)).select(role, bin_col, "frac"))  # the named roles
+
+
+def take_by_hash(df: DataFrame, keys: list[str], id_col: str, quota: DataFrame, seed: str = "42", salt: int | None = None) -> DataFrame:
     """The first ``quota`` rows of each key in hash order; quota has (keys, quota).
 
     The hash's range is cut into ``salt`` slices that are ranked on their own, so that a key
     with most of the rows isn't sorted in one task; what the slices before a row's hold is
-    carried in.
+    carried in.  Without ``salt`` there are as many as the input has blocks of 16 MB, and 64
+    at least.
     """
+    salt = salt or max(64, min(input_bytes(df) >> 24, 1 << 20))
     df = df.withColumn("__u", hash_fraction(F.lit(seed), F.col(id_col).cast("string"))).withColumn("__s", F.floor(F.col("__u") * salt))
     sizes = df.groupBy(*keys, "__s").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,6 +103,21 @@ def dev_cut(rows: DataFrame, sequence: str, label: str, order: str, fraction: fl
     return rows.join(dev, sequence, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+def hash_ranks(df: DataFrame, id_col: str, seed: str = "42", slices: int = 64) -> DataFrame:
+    """Adds ``rank``, from 0 on in the order of the id's hash: slices of its range are ranked on their own."""
+    own = df.withColumn("__u", hash_fraction(F.lit(seed), F.col(id_col).cast("string"))).withColumn("__s", F.floor(F.col("__u") * slices))
+    sizes = own.groupBy("__s").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    sizes = sizes.select("__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__s").orderBy("__u", id_col)) - 1 + F.col("__before")
+    return own.join(F.broadcast(sizes), "__s").withColumn("rank", rank).drop("__u", "__s", "__before")  # a row a slice
+
+
+def balanced_labels(df: DataFrame, id_col: str, seed: str = "42") -> DataFrame:
+    """Adds ``label``: as many ones as zeros in hash order; of an odd number of rows the odd one is 0."""
+    return hash_ranks(df, id_col, seed).withColumn("label", (F.col("rank") % 2).cast("int")).drop("rank")
+
+
 def shuffled(df: DataFrame, id_col: str, epoch: Column | int) -> DataFrame:
     """Rows with ``position`` hash: an epoch's order."""
     return df.withColumn("position", hash_fraction((F.lit(epoch) if isinstance(epoch, int) else epoch).cast("string"), F.col(id_col).cast("string")))

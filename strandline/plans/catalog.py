@@ -37,10 +37,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from strandline.plans import composed  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from strandline.plans import composed  # noqa: F401  registers its own
+
     return dict(_ORACLES)
 
 
@@ -204,9 +208,8 @@ def gc_summary(spark, d):
     return x.groupBy("source").agg(F.bround(100 * F.sum("gc") / F.sum(F.length("seq")), 2).alias("gc_percent"), F.bround(F.avg(F.col("gc") / F.length("seq")), 4).alias("mean_of_ratios"))
 
 
-@query("SELECT doc_id, item_id FROM documents CROSS JOIN benchmark b WHERE contains(documents.text, substr(b.text, 1, 60))")
+@query("SELECT doc_id, item_id FROM documents CROSS JOIN benchmark b WHERE contains(documents.text, b.text)")
 def motif_containment(spark, d):
-    """Whole items; they are stated, and each document is looked through once for each block of them."""
     return contained_items(V.table(spark, d, "documents"), V.table(spark, d, "benchmark"))
 
 
@@ -326,14 +329,6 @@ def group_summary(spark, d, edges=V.edges):
     return grouping.group_summary(_members(spark, d, edges))
 
 
-@query("SELECT * FROM (VALUES ('alphabet', 0), ('duplicate_ids', 0), ('ids_across_splits', 0), ('labels', 0), ('length', 0), ('strict_dev_groups', 0), ('strict_test_groups', 0)) AS t(\"check\", violations)")
-def leak_checks(spark, d, edges=V.edges):
-    split = grouping.strict(grouping.purge(grouping.assign_splits(_members(spark, d, edges))))
-    seq = V.dna(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("window_id"), "seq")
-    rows = split.join(seq, "window_id").select("window_id", "group", "seq", F.lit(1).alias("label"), F.explode(F.array_compact(F.array("split", F.when(F.col("is_test_strict"), "test_strict"), F.when(F.col("is_dev_strict"), "dev_strict")))).alias("dataset"))
-    return grouping.leak_checks(rows, 1024)
-
-
 def _held(f: Callable) -> Query:
     """The query over the test items that documents hold, without SQL."""
 
@@ -344,7 +339,7 @@ def _held(f: Callable) -> Query:
     return query()(run)
 
 
-for _f in (components, split_by_hash, split_by_chromosome, strict_sets, purge_groups, group_summary, leak_checks):
+for _f in (components, split_by_hash, split_by_chromosome, strict_sets, purge_groups, group_summary):
     _held(_f)
 
 
@@ -373,8 +368,8 @@ def similar_pairs(spark, d):
 @query(
     f"""WITH {V.DNA}, k AS (SELECT DISTINCT doc_id AS id, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 14), lambda i: substr(seq, i, 16))) AS f FROM dna)),
 n AS (SELECT id, count(*) AS n FROM k GROUP BY id), s AS (SELECT a.id AS q, b.id AS t, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer WHERE a.id % 10 = 1 AND b.id % 10 <> 1 GROUP BY ALL),
-m AS (SELECT q, max(pow(shared / least(x.n, y.n), 1 / 16)) AS i FROM s JOIN n x ON x.id = q JOIN n y ON y.id = t GROUP BY q)
-SELECT doc_id AS query, CASE WHEN i >= 0.8 THEN round_even(i, 6) ELSE 0 END AS max_id FROM documents LEFT JOIN m ON q = doc_id WHERE doc_id % 10 = 1"""
+m AS (SELECT q, max(pow(shared / least(x.n, y.n), 1 / 16)) AS i FROM s JOIN n x ON x.id = q JOIN n y ON y.id = t WHERE least(x.n, y.n) >= 0.19 * greatest(x.n, y.n) GROUP BY q)
+SELECT doc_id AS query, CASE WHEN i >= 0.5 THEN round_even(i, 6) ELSE 0 END AS max_id FROM documents LEFT JOIN m ON q = doc_id WHERE doc_id % 10 = 1"""
 )
 def identity_to_train(spark, d):
     x = V.dna(spark, d)
@@ -402,11 +397,6 @@ def identity_bands(spark, d):
     return x.select("source").distinct().select("source", bands).join(found, ["source", "band"], "left").select("source", "band", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH {V.PRED} SELECT count(*) FILTER (WHERE max_id_train < 0.90) AS below, count(*) FILTER (WHERE max_id_train < 0.90 AND prob >= 0.5) AS below_but_scored, count(*) FILTER (WHERE max_id_train IS NULL) AS without FROM pred")
-def identity_summary(spark, d):
-    return V.predictions(spark, d).agg(F.count_if(F.expr("max_id_train < 0.90")).alias("below"), F.count_if(F.expr("max_id_train < 0.90 AND prob >= 0.5")).alias("below_but_scored"), F.count_if(F.expr("max_id_train IS NULL")).alias("without"))
-
-
 # evaluation
 
 
@@ -451,7 +441,17 @@ def window_rollup(spark, d):
     return evaluation.by_window(V.predictions(spark, d), ["source"])
 
 
-@query()
+REPORT = f"""lv AS (SELECT 'row' AS level, window_id, label, prob FROM pred UNION ALL SELECT 'window', window_id, any_value(label), avg(prob) FROM pred GROUP BY window_id), dv AS (SELECT * FROM lv WHERE window_id % 3 = 0), mn AS (SELECT * FROM lv WHERE window_id % 3 <> 0),
+t AS (SELECT level, prob, sum(sum(label)) OVER (PARTITION BY level ORDER BY prob DESC)::DOUBLE AS tp, sum(sum(1 - label)) OVER (PARTITION BY level ORDER BY prob DESC)::DOUBLE AS fp FROM dv GROUP BY level, prob), z AS (SELECT level, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS n FROM dv GROUP BY level),
+c AS (SELECT level, prob, CASE WHEN tp + fp = 0 OR p + n - tp - fp = 0 THEN 0 ELSE (tp * (n - fp) - fp * (p - tp)) / (sqrt(tp + fp) * sqrt(p) * sqrt(n) * sqrt(p + n - tp - fp)) END AS mcc FROM t JOIN z USING (level)),
+best AS (SELECT level, prob AS threshold FROM (SELECT *, max(mcc) OVER (PARTITION BY level) AS top FROM c) WHERE mcc >= top - 1e-12 QUALIFY row_number() OVER (PARTITION BY level ORDER BY abs(prob - 0.5), prob DESC) = 1),
+limits AS (SELECT level, 'dev' AS "at", threshold FROM best UNION ALL SELECT level, '0.5', 0.5 FROM best),
+conf AS (SELECT level, "at", threshold, count(*) FILTER (WHERE label = 1 AND prob >= threshold)::DOUBLE AS tp, count(*) FILTER (WHERE label = 0 AND prob >= threshold)::DOUBLE AS fp, count(*) FILTER (WHERE label = 1 AND prob < threshold)::DOUBLE AS fn, count(*) FILTER (WHERE label = 0 AND prob < threshold)::DOUBLE AS tn FROM mn JOIN limits USING (level) GROUP BY level, "at", threshold),
+ranked AS (SELECT level, label, rank() OVER (PARTITION BY level ORDER BY prob) + (count(*) OVER (PARTITION BY level, prob) - 1) / 2 AS r FROM mn), auc AS (SELECT level, (sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)) AS auroc FROM ranked GROUP BY level),
+steps AS (SELECT level, prob, sum(label) AS pos, sum(sum(label)) OVER (PARTITION BY level ORDER BY prob DESC) AS tp, sum(count(*)) OVER (PARTITION BY level ORDER BY prob DESC) AS n FROM mn GROUP BY level, prob), ap AS (SELECT level, sum(pos / p * tp / n) AS auprc FROM steps JOIN (SELECT level, sum(label) AS p FROM mn GROUP BY level) USING (level) GROUP BY level)"""
+
+
+@query(f"WITH {V.PRED}, {REPORT} SELECT level, \"at\", threshold, {FIGURES.split('SELECT ', 1)[1].split(' FROM conf')[0]} FROM conf JOIN auc USING (level) JOIN ap USING (level)")
 def full_report(spark, d):
     x = V.predictions(spark, d)
     return evaluation.full_report(x.where("window_id % 3 <> 0"), x.where("window_id % 3 = 0"))

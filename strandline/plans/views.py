@@ -62,6 +62,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").alias("label"),
         F.concat(F.lit("g"), F.pmod(F.regexp_extract("source", r"(\d+)", 1).cast("int"), F.lit(5)).cast("string")).alias("source"),
         F.when(F.col("doc_id") % 7 != 0, F.floor((hash_fraction(F.col("doc_id").cast("string"), F.lit("id")) * 0.4 + 0.6) * 10000) / 10000).alias("max_id_train"),
+        F.when(F.col("doc_id") % 5 != 0, F.floor((hash_fraction(F.col("doc_id").cast("string"), F.lit("local")) * 0.2 + 0.8) * 10000) / 10000).alias("max_id_train_local"),
         ((F.floor((hash_fraction(F.col("doc_id").cast("string"), F.col("orientation")) * 500)) + 300 * F.col("quality")) / 1000).alias("prob"),
     )
 
@@ -70,6 +71,7 @@ FRACTION = "(('0x' || substr(sha256({0}), 1, 15))::BIGINT / 1152921504606846976.
 PRED = f"""pred AS (SELECT l.doc_id * 2 + (o = 'rc')::INT AS row_idx, l.doc_id AS window_id, o AS orientation, quality AS label,
   'g' || (regexp_extract(source, '([0-9]+)', 1)::INT % 5) AS source,
   CASE WHEN l.doc_id % 7 <> 0 THEN floor(({FRACTION.format("l.doc_id || ':id'")} * 0.4::DOUBLE + 0.6::DOUBLE) * 10000) / 10000 END AS max_id_train,
+  CASE WHEN l.doc_id % 5 <> 0 THEN floor(({FRACTION.format("l.doc_id || ':local'")} * 0.2::DOUBLE + 0.8::DOUBLE) * 10000) / 10000 END AS max_id_train_local,
   (floor({FRACTION.format("l.doc_id || ':' || o")} * 500) + 300 * quality) / 1000 AS prob
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id, (VALUES ('fwd'), ('rc')) AS v(o))"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Columns of the dataset contract, chromosomes, classes of repeats.
+# Columns of the dataset contract, chromosomes, classes of repeats, the pattern of polymerase products.
 CONTRACT = ("sequence", "label", "source", "detail", "window_id", "orientation", "chrom", "start", "end", "strand", "group", "gc", "max_id_train", "max_id_train_local")
 CHROMOSOMES = tuple(f"chr{x}" for x in (*range(1, 23), "X", "Y"))
 SIMPLE = ("Simple_repeat", "Low_complexity")
@@ -102,6 +102,42 @@ def checked_dataset(raw: DataFrame, with_sequence: bool = True) -> DataFrame:
     return raw.select(*seq, label.alias("label"), "source", "window_id", "orientation", figure("max_id_train"), figure("max_id_train_local"))
 
 
+def labelled_rows(raw: DataFrame) -> DataFrame:
+    """(sequence, label) of a table of strings: any whole number is a label, other columns are passed over."""
+    whole = F.trim("label").rlike(r"^[+-]?\d+$")
+    label = F.when(whole, F.trim("label").cast("long")).otherwise(F.raise_error(F.concat(F.lit("label: "), F.coalesce("label", F.lit("null")))).cast("long"))
+    return raw.select("sequence", label.alias("label"))
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.option("header", True).csv(path)
+    lacking = [c for c in ("sequence", "label") if c not in raw.columns]
+    if lacking:
+        raise ValueError(f"{path} lacks {lacking}")
+    return labelled_rows(raw)
+
+
+def aligned_embeddings(vectors: DataFrame, index: DataFrame, rows: DataFrame, dims: int | None = None) -> DataFrame:
+    """The dataset's rows with their embeddings, by the row's number.
+
+    A number that one of the three lacks, another window, orientation or label in the index,
+    or a vector of another length is an error: the embeddings are of another file.
+    """
+    key = lambda df, side: df.select("row_idx", F.struct(F.col("window_id").cast("string"), F.col("orientation").cast("string"), F.col("label").cast("string")).alias(side))
+    both = rows.join(key(index, "__index").join(vectors, "row_idx", "full_outer"), "row_idx", "full_outer")
+    own = F.struct(F.col("window_id").cast("string"), F.col("orientation").cast("string"), F.col("label").cast("string"))
+    right = F.col("__index").eqNullSafe(own) & F.col("embedding").isNotNull()
+    if dims is not None:
+        right &= F.size("embedding") == dims
+    bad = F.raise_error(F.concat(F.lit("embeddings don't fit the rows, first at "), F.col("row_idx").cast("string")))
+    return both.withColumn("embedding", F.when(right, F.col("embedding")).otherwise(bad.cast(vectors.schema["embedding"].dataType))).drop("__index")
+
+
+def read_embeddings(spark: SparkSession, path: str, rows: DataFrame, dims: int | None = None) -> DataFrame:
+    index = spark.read.option("header", True).csv(f"{path}/index").withColumn("row_idx", F.col("row_idx").cast("long"))
+    return aligned_embeddings(spark.read.parquet(f"{path}/vectors"), index, rows, dims)
+
+
 def read_benchmark(spark: SparkSession, path: str, task: str | None = None) -> DataFrame:
     """A Parquet benchmark (sequence string, label integer); nulls and another task are errors."""
     df = spark.read.parquet(path)

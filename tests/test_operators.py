@@ -240,9 +240,9 @@ def test_files_round_trip(spark, tmp_path):
     sinks.publish(spark, {"t": w}, path, none, {"a": 1})
     with pytest.raises(ValueError, match="nothing published"):
         sinks.publish(spark, {"t": w.limit(0)}, path, some)
-    assert spark.read.parquet(f"{path}/t").count() == 1
+    assert spark.read.parquet(f"{sinks.published(spark, path)}/t").count() == 1
     sinks.publish(spark, {"t": w.limit(0)}, path, none)
-    assert spark.read.parquet(f"{path}/t").count() == 0
+    assert spark.read.parquet(f"{sinks.published(spark, path)}/t").count() == 0
     assert readers.read_metadata(spark, str(tmp_path / "nowhere")) is None
 
 
