@@ -63,3 +63,147 @@ def test_pipeline_judges_rows(spark):
     want = [(1, texts["a"]), (1, texts["b"]), (None, texts["c"]), (3, texts["d"])]
     assert kept(p.drop_contaminated(spark, docs, DATA)) == sorted((r for r in rows if item not in r[1]), key=repr)
     assert kept(p.drop_contaminated(spark, p.keep_one_of_near(spark, docs, DATA), DATA)) == sorted(want, key=repr)
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names and no rows at all."""
+    import corpus_pipeline as p
+    from strandline.llm.shared import table
+
+    item = table(spark, DATA, "benchmark").first()["text"]
+    line = "a line that is held by more than three documents"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, row_key string, id string, th string, kept string, component_id string, item_id string, score string"
+    texts = [(1, None), (None, None), (2, ""), (2, ""), (3, "w " * 30_000), (4, f"{line}\nx"), (5, f"{line}\ny"), (6, f" {line.upper()} \nz"), (6, f" {line.upper()} \nz"), (7, f"{item} q"), (None, f"{item} r"), (8, "one"), (9, "one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, *(f"{c}{k}" for c in "abcdefgh")) for k, (i, t) in enumerate(texts)], kind)
+    found = {}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        found[name] = out.collect()
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert len(found["line_bitmaps"]) == len(texts)
+    assert {r["n_lines"] for r in found["line_bitmaps"]} == {f"a{k}" for k in range(len(texts))}
+    lines = {r["n_lines"]: r["text"] for r in found["line_bitmaps"]}
+    assert (lines["a5"], lines["a6"], lines["a7"], lines["a0"]) == ("x", "y", f" {line.upper()} \nz", None)
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in found["partenum_jaccard"])
+    assert [k[0] for k in kept if k[1] == "one"] == [8] and sum(k == (2, "") for k in kept) == 1 and len(kept) == 9 + (0 if item.count(" ") > 8 else 1)
+    assert sorted(r["n_lines"] for r in found["minhash_containment"]) == sorted(f"a{k}" for k in range(len(texts)) if k not in (9, 10))
+    packed = p.STAGES[-1][1](spark, docs, DATA)
+    assert packed.where("start = 0").count() == len(texts) and p.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
+
+
+@pytest.fixture(scope="module")
+def documents():
+    con = duckdb.connect()
+    return con.execute(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
+
+
+def test_registered_packing_and_records(spark, documents):
+    import zlib
+
+    import numpy as np
+    from strandline.llm import queries, tokens
+
+    ids = {}
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t = tokens.Encoder(tokens.vocabulary(name)).tokenizer
+        ids[name] = {i: np.array([*e.ids, 1], "<u4") for (i, _), e in zip(documents, t.encode_batch([x or "" for _, x in documents], add_special_tokens=False), strict=True)}
+    own = ids["byte_bpe_50k.json"]
+    room = {}
+    pieces = {}
+    for r in queries.op2_cost_balanced_packing(spark, DATA).collect():
+        assert r["doc_tokens"] == len(own[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(own[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for of, total in ((pieces, {i: len(x) for i, x in own.items()}), (room, None)):
+        for key, spans in of.items():
+            at = 0
+            for start, n in sorted(spans):
+                assert start == at
+                at += n
+            assert at == total[key] if total else at <= 2048
+    own, start, want = ids["word_bpe_49k.json"], 0, []
+    for i in sorted(own):
+        want.append((i, start, len(own[i]), zlib.crc32(own[i].tobytes())))
+        start += len(own[i])
+    have = queries.op5_record_files(spark, DATA).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, have)) == want
+
+
+def test_registered_near_copies(spark, documents):
+    from strandline.llm import queries
+
+    from test_llm_operators import sets
+
+    own = [(i, s) for i, s in sets(documents)]
+    of = {i: i for i, _ in own}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for k, (i, a) in enumerate(own):
+        for j, b in own[:k]:
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                of[y] = x
+    have = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op3_partenum_jaccard(spark, DATA).collect()}
+    assert have == {i: (len(s), root(i)) for i, s in own}
+
+
+def test_registered_repeats_and_secrets(spark, documents):
+    import hashlib
+    import re
+
+    from strandline.llm import queries
+
+    from test_llm_operators import brute_repeats, brute_spans
+
+    want = {(i, n, gone, runs, hashlib.sha256(kept).hexdigest()) for i, n, gone, runs, kept in brute_repeats(documents, 400)}
+    assert {tuple(r) for r in queries.op9_suffix_merge(spark, DATA).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()} == want
+    for r in queries.op10_secret_ownership(spark, DATA).collect():
+        base = brute_spans(dict(documents)[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert {*filter(None, base.split(","))} <= {*filter(None, r["spans"].split(","))}
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [len(re.findall(f"(?:^|,){k}:", base)) for k in ("assign", "access", "hex")]
+
+
+def test_registered_classifiers(spark, documents):
+    import zlib
+
+    from strandline.llm import queries
+
+    for name, columns in (("op6_quality_rff", {"score", "predicted"}), ("op8_language_ftrl", {"lang_pred", "score"})):
+        out = queries.queries()[name](spark, DATA).collect()
+        assert sorted(r["doc_id"] for r in out) == sorted(i for i, _ in documents) and {"doc_id", "held_out"} | columns <= {*out[0].asDict()}
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in out)
+        if name == "op6_quality_rff":
+            assert all(r["predicted"] == (r["score"] >= 0.7) for r in out)
+    truth = dict(duckdb.connect().execute(f"SELECT doc_id, lang FROM '{DATA}/documents.parquet' WHERE lang IS NOT NULL").fetchall())
+    held = [r for r in out if r["held_out"] and r["doc_id"] in truth and r["lang_pred"] != "und"]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.9 * len(held)
+
+
+def test_registered_audio(spark):
+    """Classes, links and best matches of the search against all pairs of fingerprints."""
+    import numpy as np
+    from strandline.llm import audio, queries
+
+    rows = duckdb.connect().execute(f"SELECT vec_id, embedding FROM '{DATA}/embeddings.parquet'").fetchall()
+    own = {i: audio.prints(audio.played(v)) for i, v in rows}
+
+    def near(a, b):
+        best = None
+        for o in range(-len(b) + 1, len(a)):
+            lo, hi = max(o, 0), min(len(a), o + len(b))
+            if hi - lo >= min(16, len(a), len(b)):
+                e = np.bitwise_count(a[lo:hi] ^ b[lo - o : hi - o]).sum() / (32 * (hi - lo))
+                best = e if best is None else min(best, e)
+        return best is not None and best <= 0.08
+
+    have = {r["vec_id"]: r["n_links"] for r in queries.op1_chroma_search(spark, DATA).collect() if r["is_query"]}
+    asked = [i for i in own if i % 20 == 0]
+    links = {i: sum(j != i and near(own[j], own[i]) for j in own) for i in asked}
+    assert {*have} == {*asked} and sum(min(have[i], links[i]) for i in asked) >= 0.9 * sum(links.values())
+    assert all(have[i] <= links[i] for i in asked)
