@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,11 @@ def _folder(df: DataFrame) -> str:
 CONTRACT_BYTES, CONTRACT_NODES = 8 << 20, 1_000_000
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _contracted(edges: DataFrame, held: int) -> DataFrame:
     """(u, v): a forest that connects what each task's edges (u, v) connect, v being the smallest node that the task knows."""
 
@@ -89,6 +94,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small.write.parquet(f"{root}/{n}")
         now = spark.read.schema(both.schema).parquet(f"{root}/{n}")
         seen = now.agg(*sums).first()
+        _remove(spark, f"{root}/{n - 1}")  # nothing reads it any more
         if seen == before:
             break
         before = seen
