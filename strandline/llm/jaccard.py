@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.bitmaps import bitmap, is_set
-from strandline.llm.shared import lean, partitions, strings, written
+from strandline.llm.shared import lean, partitions, remove, strings, written
 from strandline.llm.shingles import mix, shingle_set
 from strandline.operators.graph import connected_components
 
@@ -182,7 +182,7 @@ def rows_of(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
 
 
-def frequent_shingles(docs: DataFrame, rows: int, k: int, sample: int = 5_000, least: int = 5, most: int = 200_000) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, rows: int, k: int, sample: int = 20_000, least: int = 5, most: int = 500_000) -> np.ndarray:
     """Shingles that ``least`` texts of a sample have, ``most`` of them at most, sorted.  They steer what is signed, not what is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +193,8 @@ def frequent_shingles(docs: DataFrame, rows: int, k: int, sample: int = 5_000, l
     share = F.pmod(F.xxhash64("text", F.lit("frequent")), F.lit(1 << 20)) < F.lit(min(1.0, sample / max(rows, 1)) * (1 << 20))
     # equal texts fall into the sample together, and are one there
     counted = docs.where(share).select("text").distinct().mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(most).collect()
-    return np.unique(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
+    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return np.unique(top["shingle"].to_numpy().view(np.uint64))
 
 
 def _signed(docs: DataFrame, bands: Bands, frequent: np.ndarray, k: int) -> DataFrame:
@@ -351,6 +351,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int, parts: i
     return _by_hub(pairs, texts, parts, slices).mapInArrow(run, "a binary, b binary")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, node) of the groups' rows, each group's hub first: the node that most groups have, a text that others were made of."""
+    lean()
+    gid = hub = None
+    for batch in batches:
+        out = []
+        for g, node in zip(*map(strings, batch.columns[:2]), strict=True):
+            if g != gid:
+                gid, hub = g, node
+            else:
+                out.append((hub, node))
+        yield _pairs(out)
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int, parts: int, slices: int) -> DataFrame:
     """The pairs whose sizes and sketches leave room for a link."""
 
@@ -523,26 +537,27 @@ def _forest(percent: int, k: int, most_failed: int = 1_000_000):
     return run
 
 
-def _joined(groups: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame, rows: DataFrame, percent: int, k: int, parts: int) -> DataFrame:
+def _joined(groups: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame, rows: DataFrame, percent: int, k: int, parts: int, done: list[str]) -> DataFrame:
     """(a, b): links between the components that the links so far leave apart within a group."""
     found = connected_components(links, "a", "b")
-    labelled = groups.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c")).join(nodes.select("node", "n"), "node")
-    parted = labelled.groupBy("gid", "c").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
-    whole = parted.groupBy("gid").agg(F.max(F.struct("nodes", "c")).alias("largest"), F.sum("nodes").alias("nodes"), F.sum("n").alias("n"), F.count("*").alias("components"))
+    sized = found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", F.col("component").alias("c"), "size")
+    known = nodes.select("node", "n").join(sized, "node", "left").select("node", "n", F.coalesce("c", "node").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+    labelled = groups.select("gid", "node").join(known, "node")
+    whole = labelled.groupBy("gid").agg(F.max(F.struct("size", "c")).alias("largest"), F.count("*").alias("nodes"), F.sum("n").alias("n"), (F.min("c") != F.max("c")).alias("apart"))
     slices = F.greatest(F.ceil(F.col("nodes") / SLICE_NODES), F.ceil(F.col("n") / SLICE_SHINGLES)).cast("long")
-    whole = whole.where("components > 1").select("gid", F.col("largest.c").alias("largest"), slices.alias("slices"))
+    whole = whole.where("apart").select("gid", F.col("largest.c").alias("largest"), slices.alias("slices"))
     rest = labelled.join(whole, "gid").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
     to = F.when(F.col("c") == F.col("largest"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
     rest = rest.withColumn("slice", F.explode(to)).select("gid", "slice", "node", "c", (F.col("slice") != F.col("own")).alias("visits"))
     # sketches come last: a node's rows lie side by side then, and are sent as good as once
     rest = rest.join(nodes.select("node", "n", "sketch"), "node").select("gid", "slice", "node", "n", "c", "visits", "sketch")
     kind = "gid long, slice long, node binary, n long, c binary, visits boolean, sketch binary"
-    alive = written(rest.repartition(parts, "gid", "slice").sortWithinPartitions("gid", "slice").mapInArrow(_alive(percent), kind), "alive")
+    alive = written(rest.repartition(parts, "gid", "slice").sortWithinPartitions("gid", "slice").mapInArrow(_alive(percent), kind), "alive", done)
     # slices whose nodes that are left are the same ones are one
     row = F.xxhash64("node", "visits"), F.xxhash64("visits", "node", F.lit(1))
     same = alive.groupBy("gid", "slice").agg(F.count("*").alias("rows"), *(F.bit_xor(x).alias(c) for c, x in zip("xy", row, strict=True)))
     one = same.groupBy("rows", "x", "y").agg(F.min(F.struct("gid", "slice")).alias("one")).select("one.*")
-    alive = alive.join(one, ["gid", "slice"], "left_semi")
+    alive = written(alive.join(one, ["gid", "slice"], "left_semi"), "alive", done)
     more = nodes.join(alive.select("node").distinct(), "node", "left_semi").join(texts.select("node"), "node", "left_anti")
     texts = texts.unionByName(_texts(rows, more, k))
     with_texts = alive.join(texts, "node").select(*alive.columns, "z")
@@ -561,23 +576,25 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     frequent = frequent_shingles(rows, rows.count(), k)
     signed = written(_signed(rows, Bands(percent), frequent, k), "signed")
+    done: list[str] = []  # tables that the result doesn't read
     sets = signed.where("gid IS NULL").drop("gid")
-    members = signed.where("gid IS NOT NULL").select("gid", "short").distinct()
+    members = signed.where("gid IS NOT NULL").select("gid", "short")
     alike = sets.where("node IS NOT NULL").groupBy("short", "node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = written(alike.join(members.select("short").distinct(), "short", "left_semi"), "nodes")
-    groups = written(members.join(nodes.select("short", "node"), "short").select("gid", "node"), "groups")
+    nodes = written(alike.join(members.select("short").distinct(), "short", "left_semi"), "nodes", done)
+    listed = members.join(nodes.select("short", "node"), "short").groupBy("short", "node").agg(F.collect_set("gid").alias("gids"))
+    groups = written(listed.select("node", F.size("gids").alias("degree"), F.explode("gids").alias("gid")), "groups", done)
     nodes = nodes.drop("short")
-    # the hub of a group is the node that most groups have: a text that others were made of
-    degrees = groups.join(groups.groupBy("node").agg(F.count("*").alias("degree")), "node")
-    hubs = degrees.groupBy("gid").agg(F.max(F.struct("degree", "node")).alias("hub")).select("gid", F.col("hub.node").alias("a"))
-    stars = written(groups.join(hubs, "gid").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
     parts = partitions(rows)
+    ordered = groups.select("gid", "node", "degree").repartition(parts, "gid").sortWithinPartitions("gid", F.desc("degree"), F.desc("node"))
+    stars = written(ordered.mapInArrow(_stars, "a binary, b binary").distinct(), "stars", done)
     slices = max(1, min(stars.count() // SLICE_PAIRS, 1 << 16))
-    stars = written(_near(stars, nodes, percent, parts, slices), "near")
-    texts = written(_texts(rows, _of(nodes, stars), k), "texts")
+    stars = written(_near(stars, nodes, percent, parts, slices), "near", done)
+    texts = written(_texts(rows, _of(nodes, stars), k), "texts", done)
     links = written(_verified(stars, texts, percent, k, parts, slices), "links")
-    links = links.union(written(_joined(groups, nodes, links, texts, rows, percent, k, parts), "links"))
+    links = links.union(written(_joined(groups, nodes, links, texts, rows, percent, k, parts, done), "links"))
     final = connected_components(links, "a", "b")
+    for path in done:
+        remove(rows.sparkSession, path)
 
     reached = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     reached = reached.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))

@@ -35,11 +35,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: no task repeats what made them."""
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """The rows, written once to the shared folder and read from there: no task repeats what made them.
+
+    The folder is added to ``paths``, for ``remove`` once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
