@@ -169,7 +169,10 @@ def fit(
     """Learns from rows with text and language outside fold 2; None if there are none.
 
     ``max_rows`` bounds the sampled rows of each language, chosen by hash of the id;
-    document frequencies are counted over all rows to learn from.
+    document frequencies are counted over all rows to learn from.  The model has a row of
+    weights a language, and the driver holds the samples' n-grams of all languages, so their
+    number must be that of a language's table, not of the rows.  Of languages with equal
+    probability the first by name is predicted.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").where(F.coalesce(fold(F.col("key")), F.lit(0)) != 2)

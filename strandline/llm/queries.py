@@ -47,6 +47,23 @@ def op3_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WS}), '[\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(length(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle
+  FROM w WHERE words IS NOT NULL AND words <> ['']
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT DISTINCT x AS doc_id, x AS other FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x),
+m AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+
 def op4_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.contamination import find_contained
 
@@ -120,6 +137,19 @@ def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+REPEATS_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), z AS (SELECT doc_id, b, octet_length(b) AS n FROM b),
+s AS (SELECT doc_id, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 399)) AS i FROM z WHERE n >= 400)),
+g AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+f AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS f FROM s SEMI JOIN g USING (h)),
+k AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM k GROUP BY doc_id, k),
+p AS (SELECT doc_id, hi AS lo, coalesce(lead(lo) OVER (PARTITION BY doc_id ORDER BY lo), n) AS hi FROM r JOIN z USING (doc_id) UNION ALL SELECT doc_id, 0, coalesce((SELECT min(lo) FROM r WHERE r.doc_id = z.doc_id), n) FROM z),
+kept AS (SELECT doc_id, unhex(string_agg(hex(b[lo + 1:hi]), '' ORDER BY lo)) AS kept FROM p JOIN z USING (doc_id) GROUP BY doc_id)
+SELECT z.doc_id, n AS n_bytes, coalesce((SELECT sum(hi - lo) FROM r WHERE r.doc_id = z.doc_id), 0)::BIGINT AS n_removed, (SELECT count(*) FROM r WHERE r.doc_id = z.doc_id) AS n_spans, sha256(kept) AS kept_sha256 FROM z JOIN kept USING (doc_id)
+"""
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.secrets import find_secrets
 
@@ -131,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_containment": CONTAINMENT_SQL, "op7_line_bitmaps": LINES_SQL}
+    return {"op3_partenum_jaccard": JACCARD_SQL, "op4_minhash_containment": CONTAINMENT_SQL, "op7_line_bitmaps": LINES_SQL, "op9_suffix_merge": REPEATS_SQL}
