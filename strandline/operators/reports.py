@@ -66,8 +66,8 @@ def gc_balance(rows: DataFrame, width: int) -> DataFrame:
 
     A side without rows is null, and so is then the difference.
     """
-    mean = lambda y: F.bround(100 * F.sum(F.when(F.col("label") == y, F.col("gc"))) / (F.count_if(F.col("label") == y) * width), 2)
-    sides = rows.groupBy("dataset").agg(*(F.when(F.count_if(F.col("label") == y) > 0, F.try_divide(100 * F.sum(F.when(F.col("label") == y, F.col("gc"))), F.count_if(F.col("label") == y) * width)).alias(name) for y, name in ((1, "p"), (0, "q"))))
+    mean = lambda y: F.try_divide(100 * F.sum(F.when(F.col("label") == y, F.col("gc"))), F.count_if(F.col("label") == y) * width)
+    sides = rows.groupBy("dataset").agg(mean(1).alias("p"), mean(0).alias("q"))
     out = sides.select("dataset", F.bround("p", 2).alias("positives"), F.bround("q", 2).alias("negatives"))
     return out.withColumn("difference", F.bround(F.col("negatives") - F.col("positives"), 2))
 
@@ -118,3 +118,12 @@ def metadata(reports: dict[str, DataFrame], settings: dict) -> str:
     """
     rows = lambda df: [json.loads(r["j"]) for r in df.orderBy(*(F.col(c).cast("string") for c in df.columns[:2])).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
     return json.dumps({"settings": settings, **{name: rows(df) for name, df in reports.items()}}, sort_keys=True)
+
+
+def printed(report: DataFrame, title: str, order: list[str], most: int = 1000) -> str:
+    """A report's rows as a table of text, ordered; beyond ``most`` rows it says how many there are."""
+    rows = [[("-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in report.orderBy(*order).limit(most + 1).collect()]
+    lines = [report.columns, *rows[:most]]
+    widths = [max(len(line[i]) for line in lines) for i in range(len(report.columns))]
+    text = [f"=== {title} ===", *("  ".join(cell.ljust(w) for cell, w in zip(line, widths, strict=True)).rstrip() for line in lines)]
+    return "\n".join([*text, f"... {report.count()} rows"] if len(rows) > most else text)

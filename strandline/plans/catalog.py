@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.operators import evaluation, features, grouping, intervals, markov, provenance, sampling, similarity
+from strandline.operators import evaluation, extraction, features, grouping, intervals, markov, provenance, sampling, similarity
 from strandline.operators.containment import contained_items
 from strandline.operators.graph import connected_components
 from strandline.plans import views as V
@@ -118,11 +118,8 @@ s AS (SELECT chrom, "start", "end", cls, sum(bp) AS bp, string_agg(DISTINCT stra
 SELECT chrom, "start", "end", string_agg(cls || ':' || regions, ';' ORDER BY cls) AS detail, arg_min(cls, (-bp, cls)) AS principal FROM s GROUP BY ALL"""
 )
 def describe_windows(spark, d):
-    hits = intervals.overlaps(V.probes(spark, d), V.intervals(spark, d))
-    key = ["chrom", "start", "end"]
-    per = hits.groupBy(*key, F.col("cls_b").alias("cls")).agg(F.sum("overlap").alias("bp"), F.array_join(F.sort_array(F.collect_set("strand_b")), ",").alias("regions"))
-    detail = F.array_join(F.sort_array(F.collect_list(F.concat("cls", F.lit(":"), "regions"))), ";")
-    return per.groupBy(*key).agg(detail.alias("detail"), F.min_by("cls", F.struct(-F.col("bp"), "cls")).alias("principal"))
+    regions = V.intervals(spark, d).withColumnsRenamed({"cls": "subfamily", "strand": "region"})
+    return extraction.described(V.probes(spark, d), regions)
 
 
 @query(f"""WITH {V.IV} SELECT chrom, "start", "end", strand, cls FROM iv QUALIFY row_number() OVER (PARTITION BY chrom, "start" ORDER BY "end", strand, cls) = 1""")

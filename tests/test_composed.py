@@ -215,3 +215,19 @@ def test_reports_of_empty_tables(spark):
     rows = spark.createDataFrame([("ACGTx", 1, ["<unk>"])], "sequence string, label int, tokens array<string>")
     assert tuple(reports.diagnosis(rows, epochs).first()) == (1, 1, 1, 1, "nan", 1)
     assert reports.diagnosis(rows, epochs.limit(0)).first()["loss_trend"] is None
+
+
+def test_reports_are_printed(spark):
+    df = spark.createDataFrame([("b", 0.5, None), ("a", 1.0, 3)], "name string, x double, n int")
+    assert reports.printed(df, "figures", ["name"]) == "=== figures ===\nname  x       n\na     1.0000  3\nb     0.5000  -"
+    assert reports.printed(df, "figures", ["name"], 1).endswith("... 2 rows")
+
+
+def test_perceptron_learns(spark):
+    rows = [([float(i % 7), float(i % 5)], int(i % 7 > 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "features array<double>, label int")
+    model = features.mlp_probe(df, 2, hidden=8)
+    from pyspark.ml.functions import array_to_vector
+
+    out = model.transform(df.withColumn("__v", array_to_vector("features")))
+    assert out.where("prediction = label").count() > 180
