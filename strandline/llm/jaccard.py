@@ -46,7 +46,7 @@ FLUSH = 500_000
 #: A sketch has 2 ** MOST_REGIONS regions at most.
 MOST_REGIONS = 14
 #: Nodes, and shingles, of a slice of a group; pairs of a star's slice.
-SLICE_NODES, SLICE_SHINGLES, SLICE_PAIRS = 2048, 1 << 21, 200_000
+SLICE_NODES, SLICE_SHINGLES, SLICE_PAIRS = 2048, 1 << 21, 4_000
 #: Bytes of sketches that are compared at a time.
 BLOCK_BYTES = 1 << 22
 C1, C2, C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
