@@ -526,3 +526,39 @@ def test_repositories_count_too(spark):
     assert all(by[i]["spans"] == "" and by[i]["n_copied"] == 1 and (by[i]["n_owners"], by[i]["n_repositories"]) == ([1], [4]) for i in range(4))
     assert all(by[10 + i]["n_live"] == 2 and (by[10 + i]["n_owners"], by[10 + i]["n_repositories"]) == ([1, 1], [3, 3]) for i in range(6))
     assert secrets.find_secrets(df.select("doc_id", F.lit("none").alias("text"), "source", "lang")).first()["n_owners"] == []
+
+
+# long texts and ties
+
+
+def test_very_long_texts(spark):
+    """Two copies of a text of 2 MB, and a word of 1 MB, go through every operator whole."""
+    rng = random.Random(12)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(150_000)) + "\npassword: abcdef123\n" + "y" * 1_000_000
+    rows = [(0, long), (1, long), (2, "z" * 1_000_000), (3, "short text")]
+    df = table(spark, rows)
+    n = len(long.encode())
+    out = {r["doc_id"]: r for r in suffixes.remove_repeats(df).collect()}
+    assert [(out[i]["n_removed"], out[i]["n_spans"]) for i in range(4)] == [(n, 1), (n, 1), (1_000_000, 1), (0, 0)]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()}
+    size = len(shingles.shingle_set(long))
+    assert size > 140_000 and out == {0: (size, 0), 1: (size, 0), 2: (1, 2), 3: (1, 3)}
+    item = spark.createDataFrame([(7, " ".join(long.split(" ")[70_000:70_040]))], "item_id long, text string")
+    assert sorted(map(tuple, contamination.find_contained(df, item).collect())) == [(0, 7, 36, 36), (1, 7, 36, 36)]
+    out = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(df, min_docs=2).select("doc_id", "n_lines", "n_dropped").collect()}
+    assert out == {0: ("3", "3"), 1: ("3", "0"), 2: ("1", "0"), 3: ("1", "0")} or out == {0: (3, 3), 1: (3, 0), 2: (1, 0), 3: (1, 0)}
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.find_secrets(df).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+    rows = [(0, long[:400_000]), (1, "b" * 5_000)]
+    want = {i: len(x) for i, x in ids_of(rows, "byte_bpe_50k.json")}
+    packed = packing.pack(table(spark, rows), tokens.vocabulary("byte_bpe_50k.json"), "byte").collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in packed} == want and sum(r["length"] for r in packed) == sum(want.values())
+
+
+def test_ties_have_one_result():
+    n = np.full(40, 700)
+    rows = packing.place(n, 2048, 1.0, 1 / 2048)
+    assert rows == packing.place(n, 2048, 1.0, 1 / 2048) and [r[0] for r in rows[:3]] == [0, 1, 2]
+    assert [r[3] for r in rows[:3]] == [0, 1, 2]  # of sequences of equal cost the first
+    prints = np.array([5, 5, 5, 5], np.uint32)
+    query, offset, _, _ = audio.align(np.array([5, 5, 5, 5, 5], np.uint32), audio.postings([1], [prints]), 0.0, 1)
+    assert (query[0], offset[0]) == (0, 0)  # of offsets with equal votes the smallest
