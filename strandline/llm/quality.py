@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.shared import fold, written
+from strandline.llm.shared import fold, strings, written
 
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STATISTICS = 18 + len(MARKS)
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, features: in
 
     @F.arrow_udf(kind)
     def figures(text: pa.Array) -> pa.Array:
-        return pa.array([statistics(t).tolist() for t in text.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([statistics(t).tolist() for t in strings(text)], pa.list_(pa.float64()))
 
     # the scan keeps its tasks; max_rows rows at most are dealt to few files
     rows = written(rows.select("key", "y", figures("text").alias("x")).repartition(16, "key"), "quality")
@@ -162,7 +162,7 @@ def score(text: Column, model: Model | None) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def scored(text: pa.Array) -> pa.Array:
-        x = np.array([statistics(t) for t in text.to_pylist()]).reshape(-1, STATISTICS)
+        x = np.array([statistics(t) for t in strings(text)]).reshape(-1, STATISTICS)
         return pa.array(np.clip(model.score(x), 0, 1))
 
     return scored(text.cast("string"))

@@ -95,12 +95,14 @@ def lean() -> None:
 
 def strings(column: pa.Array, step: int = 256) -> Iterator[str | None]:
     """The values of a batch's column, of which Python holds a few at a time."""
+    lean()
     for lo in range(0, len(column), step):
         yield from column.slice(lo, step).to_pylist()
 
 
 def blocks(column: pa.Array, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.Array]:
     """Slices of a text column, nulls as empty texts: of bounded rows and bytes, or one text."""
+    lean()
     column = column.fill_null("")
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
