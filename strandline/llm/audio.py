@@ -137,17 +137,21 @@ def postings(classes: list[int], fingerprints: list[np.ndarray]) -> Queries:
 
 
 def _votes(prints: np.ndarray, q: Queries, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query * span + offset + span // 2, votes): for each mask, each pair of prints that are equal under it has a vote.
+    """(query * span + offset + span // 2, ascending; votes): for each mask, each pair of prints that are equal under it has a vote.
 
     Pairs are counted a bounded number at a time, so that a print that a recording and the
     queries have very often (silence) costs time, not memory.
     """
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+    size = 0
 
-    def add(key: np.ndarray, n: np.ndarray) -> None:
-        both, where = np.unique(np.concatenate([keys[0], key]), return_inverse=True)
-        counts[0] = np.bincount(where, np.concatenate([counts[0], n]), minlength=len(both)).astype(np.int64)
-        keys[0] = both
+    def counted() -> None:
+        nonlocal keys, votes, held, size
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        both, where = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        keys, votes = both, np.bincount(where, np.concatenate([votes, n]), minlength=len(both)).astype(np.int64)
+        held, size = [], 0
 
     for mask, values, order in zip(MASKS, q.values, q.orders, strict=True):
         lo, hi = (np.searchsorted(values, prints & mask, side=s) for s in ("left", "right"))
@@ -155,17 +159,38 @@ def _votes(prints: np.ndarray, q: Queries, span: int) -> tuple[np.ndarray, np.nd
         while at < len(prints):
             upto = np.cumsum(hi[at:] - lo[at:])
             if upto[0] > PAIRS:  # one print with many postings
-                for begin in range(int(lo[at]), int(hi[at]), PAIRS):
-                    own = order[begin : min(begin + PAIRS, int(hi[at]))]
-                    add(*np.unique(q.owner[own] * span + at - q.place[own] + span // 2, return_counts=True))
-                at += 1
-                continue
-            end = at + max(int(np.searchsorted(upto, PAIRS, side="right")), 1)
-            n = hi[at:end] - lo[at:end]
-            own = order[np.repeat(lo[at:end] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            add(*np.unique(q.owner[own] * span + np.repeat(np.arange(at, end), n) - q.place[own] + span // 2, return_counts=True))
+                end = at + 1
+                parts = [(np.full(min(PAIRS, int(hi[at]) - x), at), order[x : min(x + PAIRS, int(hi[at]))]) for x in range(int(lo[at]), int(hi[at]), PAIRS)]
+            else:
+                end = at + max(int(np.searchsorted(upto, PAIRS, side="right")), 1)
+                n = hi[at:end] - lo[at:end]
+                parts = [(np.repeat(np.arange(at, end), n), order[np.repeat(lo[at:end] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])]
+            for place, own in parts:
+                held.append(q.owner[own] * span + place - q.place[own] + span // 2)
+                size += len(own)
+                if size >= PAIRS:
+                    counted()
             at = end
-    return keys[0], counts[0]
+    if len(keys):
+        counted()
+        return keys, votes
+    return np.unique(np.concatenate(held), return_counts=True) if held else (keys, votes)
+
+
+def _wrong_bits(prints: np.ndarray, q: Queries, query: np.ndarray, offset: np.ndarray, first: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Differing bits where each query overlaps, some overlaps at a time."""
+    out = np.zeros(len(query), np.int64)
+    ends = np.cumsum(overlap)
+    lo = 0
+    while lo < len(query):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        n = overlap[lo:hi]
+        rows = np.repeat(np.arange(lo, hi), n)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[rows]
+        bits = np.bitwise_count(prints[place] ^ q.flat[q.starts[query][rows] + place - offset[rows]])
+        out[lo:hi] = np.bincount(rows - lo, bits, minlength=hi - lo)
+        lo = hi
+    return out
 
 
 def align(prints: np.ndarray, q: Queries, max_error: float, min_overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,12 +203,18 @@ def align(prints: np.ndarray, q: Queries, max_error: float, min_overlap: int) ->
     span = 2 * (len(prints) + int(q.lengths.max(initial=0))) + 2
     key, votes = _votes(prints, q, span)
     query, offset = key // span, key % span - span // 2
-    order = np.lexsort((offset, np.abs(offset), -votes, query))  # the offset with most votes, the smaller of equals
-    order = order[np.concatenate([[True], query[order][1:] != query[order][:-1]])] if len(order) else order
+    if not len(query):
+        return query, offset, votes, np.zeros(0)
+    # the offset with most votes, the smaller of equals
+    begin = np.flatnonzero(np.diff(query, prepend=-1))
+    most = votes == np.repeat(np.maximum.reduceat(votes, begin), np.diff(begin, append=len(query)))
+    query, offset, votes = query[most], offset[most], votes[most]
+    order = np.lexsort((offset, np.abs(offset), query))
+    order = order[np.diff(query[order], prepend=-1) > 0]
     query, offset, votes = query[order], offset[order], votes[order]
     first, last = np.maximum(offset, 0), np.minimum(len(prints), offset + q.lengths[query])
     overlap = last - first
-    wrong = np.array([np.bitwise_count(prints[f : f + n] ^ q.flat[s + f - o : s + f - o + n]).sum() for f, n, s, o in zip(first, overlap, q.starts[query], offset, strict=True)], np.float64)
+    wrong = _wrong_bits(prints, q, query, offset, first, overlap)
     error = wrong / np.maximum(32 * overlap, 1)
     ok = (error <= max_error) & (overlap >= np.minimum(min_overlap, np.minimum(len(prints), q.lengths[query])))
     return query[ok], offset[ok], votes[ok], error[ok]
