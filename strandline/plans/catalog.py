@@ -327,13 +327,13 @@ def group_summary(spark, d, edges=V.edges):
 
 
 def _held(f: Callable) -> Query:
-    """The query over the test items that documents hold, without SQL."""
+    """The query over the test items that documents hold, and its SQL over them."""
 
     def run(spark, d):
         return f(spark, d, V.held_edges)
 
     run.__name__ = f"{f.__name__}_held"
-    return query()(run)
+    return query(_ORACLES[f.__name__].replace(V.EDGES, V.HELD_EDGES))(run)
 
 
 for _f in (components, split_by_hash, split_by_chromosome, strict_sets, purge_groups, group_summary):
@@ -482,14 +482,6 @@ def markov_initials(spark, d):
     return markov.initials(V.dna(spark, d))
 
 
-@query()
-def markov_generate(spark, d):
-    x = V.dna(spark, d)
-    made = markov.generate(markov.transitions(x), markov.initials(x), 400, 256)
-    hist = sampling.histogram(_binned(spark, d).withColumn("role", F.lit(1)), "role", "bin")
-    return markov.matched_to(made, hist, 100, 256)
-
-
 @query("SELECT dim, round_even(avg(x), 6) AS mean, round_even(greatest(stddev_pop(x), 1e-6), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY dim")
 def feature_moments(spark, d):
     out = features.moments(V.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v")), "v")

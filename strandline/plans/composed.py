@@ -11,7 +11,7 @@ from strandline.functions import options, tokens
 from strandline.functions import sequence as S
 from strandline.operators import evaluation, extraction, features, grouping, intervals, markov, planted, provenance, reports, sampling, similarity, staged
 from strandline.plans import views as V
-from strandline.plans.catalog import BAND, COMPONENTS, GC, GROUPED, MERGED, RAW, _binned, _held, _members, _raw, _split_sql, query
+from strandline.plans.catalog import BAND, BINNED, COMPONENTS, GC, GROUPED, MERGED, RAW, _binned, _held, _members, _raw, _split_sql, query
 from strandline.sources import readers, sinks
 
 LENGTH, CHUNK, WIDTH, STRIDE, LEAST = 850_000, 256, 256, 128, 50
@@ -382,22 +382,39 @@ def planted_motifs(spark, d):
     return made.agg(F.count("*").alias("rows"), F.count_if(~F.when(F.col("label") == 1, has[1]).otherwise(has[0])).cast("int").alias("without_motif"), F.count_if(F.length("sequence") != 300).cast("int").alias("other_width"))
 
 
-GENERATED = f"""b AS (SELECT seq AS s FROM dna UNION ALL SELECT reverse(translate(seq, 'ACGT', 'TGCA')) FROM dna), tr AS (SELECT substr(s, i, 3) AS state, substr(s, i + 3, 1) AS x, count(*) AS n FROM (SELECT s, unnest(range(1, length(s) - 2)) AS i FROM b) GROUP BY ALL),
-l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), st AS (SELECT a.x || b.x || c.x AS state FROM l a, l b, l c), full_counts AS (SELECT st.state, l.x, 1 + coalesce(n, 0) AS n FROM st CROSS JOIN l LEFT JOIN tr ON tr.state = st.state AND tr.x = l.x),
+def _generated(k: int, width: int, n: int) -> str:
+    """SQL that draws n sequences from a model of order k, letter by letter."""
+    states = ", ".join(f"l l{i}" for i in range(k))
+    spelled = " || ".join(f"l{i}.x" for i in range(k))
+    return f"""b AS (SELECT seq AS s FROM dna UNION ALL SELECT reverse(translate(seq, 'ACGT', 'TGCA')) FROM dna), tr AS (SELECT substr(s, i, {k}) AS state, substr(s, i + {k}, 1) AS x, count(*) AS n FROM (SELECT s, unnest(range(1, length(s) - {k - 1})) AS i FROM b) GROUP BY ALL),
+l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), st AS (SELECT {spelled} AS state FROM {states}), full_counts AS (SELECT st.state, l.x, 1 + coalesce(n, 0) AS n FROM st CROSS JOIN l LEFT JOIN tr ON tr.state = st.state AND tr.x = l.x),
 model AS MATERIALIZED (SELECT state, sum(n) FILTER (WHERE x = 'A') AS a, sum(n) FILTER (WHERE x <= 'C') AS c, sum(n) FILTER (WHERE x <= 'G') AS g, sum(n) AS t FROM full_counts GROUP BY state),
-ini AS MATERIALIZED (SELECT state, sum(count(*)) OVER (ORDER BY state) AS upto, sum(count(*)) OVER () AS total FROM (SELECT substr(s, 1, 3) AS state FROM b) GROUP BY state),
-made AS (SELECT row, 0 AS i, (SELECT min_by(state, upto) FROM ini WHERE ('0x' || substr(sha256('42:' || row || ':0'), 1, 8))::BIGINT::HUGEINT * total < upto * 4294967296::HUGEINT) AS seq FROM range(200) r(row)
+ini AS MATERIALIZED (SELECT state, sum(count(*)) OVER (ORDER BY state) AS upto, sum(count(*)) OVER () AS total FROM (SELECT substr(s, 1, {k}) AS state FROM b) GROUP BY state),
+made AS (SELECT row, 0 AS i, (SELECT min_by(state, upto) FROM ini WHERE ('0x' || substr(sha256('42:' || row || ':0'), 1, 8))::BIGINT::HUGEINT * total < upto * 4294967296::HUGEINT) AS seq FROM range({n}) r(row)
   UNION ALL SELECT row, i + 1, seq || CASE WHEN u * t < a * 4294967296::HUGEINT THEN 'A' WHEN u * t < c * 4294967296::HUGEINT THEN 'C' WHEN u * t < g * 4294967296::HUGEINT THEN 'G' ELSE 'T' END
-  FROM (SELECT row, i, seq, ('0x' || substr(sha256('42:' || row || ':' || ((i + 1) // 8)), 1 + 8 * ((i + 1) % 8), 8))::BIGINT::HUGEINT AS u FROM made WHERE i < 61) m JOIN model ON model.state = right(seq, 3))"""
+  FROM (SELECT row, i, seq, ('0x' || substr(sha256('42:' || row || ':' || ((i + 1) // 8)), 1 + 8 * ((i + 1) % 8), 8))::BIGINT::HUGEINT AS u FROM made WHERE i < {width - k}) m JOIN model ON model.state = right(seq, {k}))"""
 
 
-@query(f"WITH RECURSIVE {V.DNA}, {GENERATED} SELECT row, seq FROM made WHERE i = 61")
+@query(f"WITH RECURSIVE {V.DNA}, {_generated(3, 64, 200)} SELECT row, seq FROM made WHERE i = 61")
 def markov_sequences(spark, d):
     """200 sequences of 64 letters from a model of order 3."""
     x = V.dna(spark, d)
     return markov.generate(markov.transitions(x, 3), markov.initials(x, 3), 200, 64, 3)
 
 
+@query(
+    f"""WITH RECURSIVE {V.DNA}, {_generated(5, 256, 400)}, {GC}, {BINNED}, quota AS (SELECT bin, round_even(count(*) / sum(count(*)) OVER () * 100, 0)::BIGINT AS quota FROM binned GROUP BY bin),
+m AS (SELECT row, seq, least((length(seq) - length(translate(seq, 'GC', ''))) * 50 // 256, 49)::INT AS bin FROM made WHERE i = 251)
+SELECT row, seq, m.bin FROM m JOIN quota q ON m.bin = q.bin QUALIFY row_number() OVER (PARTITION BY m.bin ORDER BY {V.FRACTION.format("'42:' || row")}, row) <= any_value(quota) OVER (PARTITION BY m.bin)"""
+)
+def markov_generate(spark, d):
+    """400 sequences of 256 letters from a model of order 5, of which 100 follow the documents' GC histogram."""
+    x = V.dna(spark, d)
+    made = markov.generate(markov.transitions(x), markov.initials(x), 400, 256)
+    hist = sampling.histogram(_binned(spark, d).withColumn("role", F.lit(1)), "role", "bin")
+    return markov.matched_to(made, hist, 100, 256)
+
+
 # evaluation
 
 

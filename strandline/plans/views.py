@@ -99,3 +99,5 @@ def held_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = """edges AS (SELECT 'd' || d.doc_id AS src, 'd' || s.least AS dst FROM documents d JOIN (SELECT text, min(doc_id) AS least FROM documents GROUP BY text) s ON d.text = s.text WHERE d.doc_id > s.least
   UNION ALL SELECT 'd' || doc_id, 'd' || (doc_id - 1) FROM documents WHERE doc_id % 10 = 1
   UNION ALL SELECT 'd' || doc_id, 'k' || (doc_id % 97) || ':' || source FROM documents WHERE ('d' || doc_id) LIKE '%7')"""
+HELD_EDGES = """edges AS (SELECT 'd' || d.doc_id AS src, 'd' || s.least AS dst FROM documents d JOIN (SELECT text, min(doc_id) AS least FROM documents GROUP BY text) s ON d.text = s.text WHERE d.doc_id > s.least
+  UNION ALL SELECT 'd' || doc_id, 'k' || item_id FROM documents d, benchmark b WHERE contains(d.text, b.text))"""

