@@ -156,9 +156,69 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.whitening import by_component, whiten
+
+    return by_component(whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op12_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.windows import remove_windows
+
+    out = remove_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+WINDOWS_SQL = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS i FROM w WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p, true AS gone FROM r),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM w)
+SELECT w.doc_id, any_value(len(w.w))::BIGINT AS n_words, count(gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY t.p) FILTER (WHERE word IS NOT NULL AND gone IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN t ON t.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = t.doc_id AND g.p = t.p GROUP BY w.doc_id
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.audit import audit
+
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+AUDIT_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), m AS (
+  SELECT part, concat(
+      CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+      CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN t.doc_id > first THEN 'E' END) AS f,
+    count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic
+  FROM t LEFT JOIN labels USING (doc_id) GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x AND a.x <> e.x AND b.x <> c.x AND b.x <> d.x AND b.x <> e.x AND c.x <> d.x AND c.x <> e.x AND d.x <> e.x
+), s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS letter, filter_order[1:step - 1] AS before FROM o, range(1, 6) r(step)),
+c AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, f, contains(f, letter) AS here, length(translate(before, f, '')) < length(before) AS gone FROM m, s
+), k AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (WHERE NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE here AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE here AND gone), 0) AS redundant, coalesce(sum(n) FILTER (WHERE f = letter), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE here AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE here AND NOT gone), 0) AS toxic_lost
+  FROM c GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chroma_search, op1_chroma_pairs, op2_cost_balanced_packing, op3_partenum_jaccard, op4_minhash_containment, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership)}
+    return {f.__name__: f for f in (op1_chroma_search, op1_chroma_pairs, op2_cost_balanced_packing, op3_partenum_jaccard, op4_minhash_containment, op5_record_files, op6_quality_rff, op7_line_bitmaps, op8_language_ftrl, op9_suffix_merge, op10_secret_ownership, op11_embedding_whitening, op12_window_dedup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_partenum_jaccard": JACCARD_SQL, "op4_minhash_containment": CONTAINMENT_SQL, "op7_line_bitmaps": LINES_SQL, "op9_suffix_merge": REPEATS_SQL}
+    return {"op3_partenum_jaccard": JACCARD_SQL, "op4_minhash_containment": CONTAINMENT_SQL, "op7_line_bitmaps": LINES_SQL, "op9_suffix_merge": REPEATS_SQL, "op12_window_dedup": WINDOWS_SQL, "op13_filter_audit": AUDIT_SQL}

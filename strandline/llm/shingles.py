@@ -36,9 +36,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A hash of each word, in order."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+def word_hashes(text: str | None, cased: bool = False) -> np.ndarray:
+    """A hash of each word, in order; ``cased`` tells A-Z and a-z apart."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw if cased else raw.lower(), np.uint8)
     power, inverse = _powers(min(len(data), PART_BYTES) + 1)
     found: list[np.ndarray] = []
     held: tuple[int, int] | None = None  # hash and length of a word that goes on in the next part
