@@ -14,15 +14,15 @@ def test_all_are_registered():
     import __spark_entry__
 
     names = {*__spark_entry__.queries()}
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op3_partenum_jaccard", "op4_minhash_containment", "op7_line_bitmaps", "op9_suffix_merge"])
+@pytest.mark.parametrize("name", ["op3_partenum_jaccard", "op4_minhash_containment", "op7_line_bitmaps", "op9_suffix_merge", "op12_window_dedup", "op13_filter_audit"])
 def test_equals_sql(spark, name):
     from strandline.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     have, want = queries.queries()[name](spark, DATA).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     key = sorted(have.columns)
