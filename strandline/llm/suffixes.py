@@ -20,6 +20,11 @@ equal places.
 Where a gram is very common, entries at more places with a longer gram and fewer bytes
 before stand for its anchor (``widths``), up to every string on its own.  They are sorted,
 front-coded and merged like all others; the groups are finer and the results the same.
+
+In a stretch of period p, p below a gram's length, each p bytes have an anchor.  If it is
+``length + p`` bytes long, each of its strings repeats the one p bytes on, so the stretch
+goes as a whole; of its anchors only those near its ends are needed, for strings that reach
+beyond it and, once each, for those within it (``runs``, ``stretches``).
 """
 
 from __future__ import annotations
@@ -88,6 +93,69 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(found)[first]
 
 
+def runs(data: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> np.ndarray:
+    """Which anchors to keep: all but those inside of a stretch that repeats itself.
+
+    Of anchors a, a + p, a + 2p ... with equal grams and p below a gram's length, a string
+    whose anchor is ``gram + p`` bytes and more from both ends lies within the stretch, and
+    is equal to one that begins in the first p bytes, whose anchor stays.
+    """
+    gram, keep = length // 2, np.ones(len(at), bool)
+    step = np.diff(at)
+    alike = (h[1:] == h[:-1]) & (step < gram)
+    # chains of equal steps
+    on = np.flatnonzero(np.concatenate([[False], alike[1:] & alike[:-1] & (step[1:] == step[:-1])]))
+    for chain in np.split(on, np.flatnonzero(np.diff(on) != 1) + 1):
+        if not len(chain):
+            continue
+        lo, hi = int(chain[0]) - 1, int(chain[-1]) + 1
+        p, a, b = int(step[lo]), int(at[lo]), int(at[hi]) + gram
+        inside = slice(*np.searchsorted(at, [a + gram + p + 1, b - gram - p]).tolist())
+        if inside.start < inside.stop and np.array_equal(data[a : b - p], data[a + p : b]):
+            keep[inside] = False
+    return keep
+
+
+def stretches(data: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """(start, end) of the stretches around equal anchors that repeat themselves and are long enough that all of them goes."""
+    gram, out, ends = length // 2, [], {}
+    step = np.diff(at)
+    for i in np.flatnonzero((h[1:] == h[:-1]) & (step < gram)).tolist():
+        p, a = int(step[i]), int(at[i])
+        if a < ends.get(p, 0):
+            continue
+        start, end = a, a + p
+        while end < len(data):  # on, in blocks, as long as each byte is the one p before
+            n = min(len(data) - end, 1 << 16)
+            other = np.flatnonzero(data[end : end + n] != data[end - p : end - p + n])
+            end += int(other[0]) if len(other) else n
+            if len(other):
+                break
+        while start > 0:
+            n = min(start, 1 << 16)
+            other = np.flatnonzero(data[start - n : start] != data[start - n + p : start + p])
+            start -= n - 1 - int(other[-1]) if len(other) else n
+            if len(other):
+                break
+        ends[p] = end
+        if end - start >= length + p:
+            out.append((start, end))
+    return out
+
+
+def joined(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of the same owner that touch are one; sorted."""
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    first = np.concatenate([[True], owner[1:] != owner[:-1]])
+    # owners' ends are kept apart by adding more than any end holds
+    far = (np.cumsum(first) - 1) * (int(end.max()) + 1)
+    most = np.maximum.accumulate(end + far)
+    new = np.flatnonzero(first | np.concatenate([[True], start[1:] + far[1:] > most[:-1]]))
+    last = np.concatenate([new[1:], [len(start)]]) - 1
+    return owner[new], start[new], most[last] - far[last]
+
+
 def common(a: bytes, b: bytes, known: int) -> int:
     """The length of the common prefix, of which ``known`` bytes needn't be looked at."""
     lo, hi = known, min(len(a), len(b))
@@ -350,8 +418,11 @@ def repeated_anchors(rows: DataFrame, length: int, levels: tuple[int, int]) -> D
 
         for batch in batches:
             for key, th, text in zip(*map(values, batch.columns[:2]), _texts(batch.column(2)), strict=True):
-                at, h = anchors(np.frombuffer(text, np.uint8), length)
+                data = np.frombuffer(text, np.uint8)
+                at, h = anchors(data, length)
                 if len(at):
+                    keep = runs(data, at, h, length)
+                    at, h = at[keep], h[keep]
                     owners.append((key, th))
                     held.append((at, h))
                     size += len(at)
@@ -450,8 +521,10 @@ def repeated_spans(rows: DataFrame, lists: DataFrame, hot: DataFrame, length: in
         size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
+            whole = [x for x in entries if not x[1]]
+            out, lo = [(bucket, SPAN, key, th, *span, None, None, None) for bucket, _, _, key, th, span in whole], 0
+            entries[:] = [x for x in entries if x[1]]
             entries.sort()
-            out, lo = [], 0
             while lo < len(entries):
                 bucket, strings, owner = entries[lo][0], [], []
                 while lo < len(entries) and entries[lo][0] == bucket:
@@ -474,6 +547,7 @@ def repeated_spans(rows: DataFrame, lists: DataFrame, hot: DataFrame, length: in
                 both = np.concatenate([np.frombuffer(x, "<u8").reshape(2, -1) for x in lists], axis=1)
                 at, first = np.unique(both[0].astype(np.int64), return_index=True)
                 h = both[1][first]
+                entries += [(zlib.crc32(b"%d" % a) & (count - 1), b"", 0, key, th, (a, b)) for a, b in stretches(np.frombuffer(raw, np.uint8), at, h, length)]
                 level = is_set(hot, h, bits).astype(np.int64)
                 level[level > 0] += is_set(hottest, h[level > 0], most_bits)
                 for q, v in places(at, level, len(raw), length):
@@ -504,7 +578,9 @@ def repeated_spans(rows: DataFrame, lists: DataFrame, hot: DataFrame, length: in
             def told() -> pa.RecordBatch:
                 i, least, most = np.array(groups.spans, np.int64).T
                 groups.spans = []
-                return spans(key[i], th[i], place[i] - most, place[i] + length - least)
+                who, of = np.unique(np.stack([key[i], th[i]], 1), axis=0, return_inverse=True)
+                of, start, end = joined(of.ravel(), place[i] - most, place[i] + length - least)
+                return spans(who[of, 0], who[of, 1], start, end)
 
             iterators, base = [], 0
             for codes, rest, _ in runs:
@@ -540,6 +616,45 @@ def repeated_spans(rows: DataFrame, lists: DataFrame, hot: DataFrame, length: in
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "id long, th long, start long, end long")
 
 
+def merged_spans(spans: DataFrame, id_col: str, th_col: str, name: str) -> DataFrame:
+    """(id, th, ``name``): each document's intervals, those that touch as one, as pairs of longs.
+
+    The rows of a document come sorted and are merged as they come: what is held is the
+    merged intervals of one document.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        now, held = None, []
+
+        def told() -> tuple:
+            return (*now, np.concatenate(held).astype("<i8").tobytes())
+
+        for batch in batches:
+            key, th, start, end = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (th[1:] != th[:-1])])) if len(key) else []
+            out = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(key)], strict=True):
+                mine = (int(key[lo]), int(th[lo]))
+                if now is not None and mine != now:
+                    out.append(told())
+                    held = []
+                now = mine
+                _, a, b = joined(np.zeros(hi - lo, np.int64), start[lo:hi], end[lo:hi])
+                part = np.stack([a, b], 1)
+                if held and a[0] <= held[-1][-1, 1]:
+                    _, a, b = joined(np.zeros(len(part) + 1, np.int64), np.append(held[-1][-1, 0], a), np.append(held[-1][-1, 1], b))
+                    part, held[-1] = np.stack([a, b], 1), held[-1][:-1]
+                held.append(part)
+            if out:
+                yield _batch(["id", "th", "spans"], [pa.int64(), pa.int64(), pa.binary()], out)
+        if now is not None:
+            yield _batch(["id", "th", "spans"], [pa.int64(), pa.int64(), pa.binary()], [told()])
+
+    dealt = spans.repartition(partitions(spans), "id", "th").sortWithinPartitions("id", "th", "start")
+    return dealt.mapInArrow(merge, "id long, th long, spans binary").select(F.col("id").alias(id_col), F.col("th").alias(th_col), F.col("spans").alias(name))
+
+
 def _numbered(code: np.ndarray, rest: bytes, base: int, unzip: zstandard.ZstdDecompressor) -> Iterator[tuple[int, bytes, int]]:
     for i, (n, s) in enumerate(decoded(code, unzip.decompress(rest)), base):
         yield n, s, i
@@ -551,11 +666,10 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
     kept, size, removed, runs = [], [], [], []
     for t, s in zip(values(text), values(spans), strict=True):
         data, at, out, n = (t or "").encode("utf-8", "surrogatepass"), 0, [], 0
-        for x in sorted(s or [], key=lambda x: (x["start"], x["end"])):
-            if x["start"] > at or not n:
-                out.append(data[at : x["start"]])
-                n += 1
-            at = max(at, x["end"])
+        for start, end in np.frombuffer(s, "<i8").reshape(-1, 2).tolist() if s else []:
+            out.append(data[at:start])
+            n += 1
+            at = end
         out.append(data[at:])
         kept.append(b"".join(out))
         size.append(len(data))
@@ -584,6 +698,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, levels: tuple[int, int] =
     listed = dealt.join(own.hint("shuffle_hash"), [key, th]).select(*used, "lists").withColumn(text_col, F.col(text_col).cast("string"))
     spans = repeated_spans(listed, own, found.where("level IS NOT NULL").select("hot", "level"), length, key, th, text_col)
     runs, cut = fresh(docs, "runs"), fresh(docs, "cut")
-    spans = spans.groupBy(F.col("id").alias(key), F.col("th").alias(th)).agg(F.collect_list(F.struct("start", "end")).alias(runs))
+    spans = merged_spans(spans, key, th, runs)
     out = dealt.join(spans.hint("shuffle_hash"), [key, th], "left").withColumn(cut, _cut(F.col(text_col).cast("string"), runs))
     return out.withColumns({c: F.col(f"{cut}.{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")}).drop(key, th, runs, cut)

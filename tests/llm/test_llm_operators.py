@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -444,6 +445,45 @@ def test_repeats(spark, rows, length, levels, paired, monkeypatch):
     assert suffixes.remove_repeats(table(spark, []), length).count() == 0
 
 
+PERIODIC = [(0, "z" * 1_000_000), (1, "q" + "abc" * 300_000 + "w"), (2, "z" * 400), (3, "bca" * 200), (4, "z" * 399), (5, "x" * 300 + "z" * 403 + "y" * 300), (6, "".join(chr(97 + i % 7) for i in range(70_000)))]
+
+
+def test_stretches_that_repeat_themselves(spark):
+    """Runs of one character and of short periods of up to 1 MB: few anchors, and nothing but the stretch goes."""
+    for _, text in PERIODIC[:2] + PERIODIC[6:]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        at, h = suffixes.anchors(data, 400)
+        assert suffixes.runs(data, at, h, 400).sum() < 1000 < len(at)
+    began = time.time()
+    out = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_repeats(table(spark, PERIODIC)).collect()}
+    assert time.time() - began < 60
+    assert out == {0: (1_000_000, 1, b""), 1: (900_000, 1, b"qw"), 2: (400, 1, b""), 3: (600, 1, b""), 4: (0, 0, b"z" * 399), 5: (403, 1, b"x" * 300 + b"y" * 300), 6: (70_000, 1, b"")}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_short_periods_equal_brute_force(spark, seed):
+    """Texts of short periods whose ends and lengths vary, with the same stretches elsewhere."""
+    rng = random.Random(seed)
+    parts = [rng.choice(["a", "ab", "aab", "abcd", "ab" * 7 + "c"]) for _ in range(4)]
+    rows = [(i, "".join((p * 200)[rng.randrange(5) :][: rng.choice([20, 39, 40, 41, 45, 90, 300])] + rng.choice(["", "#", f"<{i}>"]) for p in (rng.choice(parts) for _ in range(rng.randrange(1, 6))))) for i in range(30)]
+    want = brute_repeats(rows, 40)
+    out = suffixes.remove_repeats(table(spark, rows), 40).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out) == sorted(want)
+
+
+def test_touching_intervals_are_one(spark):
+    rng = np.random.default_rng(3)
+    start = rng.integers(0, 900, 400)
+    rows = [(int(rng.integers(3)), 7, int(a), int(a + rng.integers(1, 9))) for a in start]
+    covered = collections.defaultdict(set)
+    for i, _, a, b in rows:
+        covered[i] |= {*range(a, b)}
+    out = {r["i"]: np.frombuffer(r["s"], "<i8").reshape(-1, 2).tolist() for r in suffixes.merged_spans(spark.createDataFrame(rows, "id long, th long, start long, end long").repartition(5), "i", "t", "s").collect()}
+    for i, spans in out.items():
+        assert {x for a, b in spans for x in range(a, b)} == covered[i] and all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+    assert len(out) == 3
+
+
 def test_groups_are_settled_alike():
     rng = random.Random(5)
     length = 40
@@ -546,7 +586,7 @@ def test_very_long_texts(spark):
     item = spark.createDataFrame([(7, " ".join(long.split(" ")[70_000:70_040]))], "item_id long, text string")
     assert sorted(map(tuple, contamination.find_contained(df, item).collect())) == [(0, 7, 36, 36), (1, 7, 36, 36)]
     out = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(df, min_docs=2).select("doc_id", "n_lines", "n_dropped").collect()}
-    assert out == {0: ("3", "3"), 1: ("3", "0"), 2: ("1", "0"), 3: ("1", "0")} or out == {0: (3, 3), 1: (3, 0), 2: (1, 0), 3: (1, 0)}
+    assert out == {0: (3, 2), 1: (3, 0), 2: (1, 0), 3: (1, 0)}  # the password's line has 19 characters, one too few for a key
     assert {r["doc_id"]: r["n_assign"] for r in secrets.find_secrets(df).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
     rows = [(0, long[:400_000]), (1, "b" * 5_000)]
     want = {i: len(x) for i, x in ids_of(rows, "byte_bpe_50k.json")}
