@@ -37,13 +37,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from strandline.plans import composed  # noqa: F401  registers its own
+    from strandline.plans import composed, searched  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from strandline.plans import composed  # noqa: F401  registers its own
+    from strandline.plans import composed, searched  # noqa: F401  register their own
 
     return dict(_ORACLES)
 

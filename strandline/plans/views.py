@@ -101,3 +101,18 @@ EDGES = """edges AS (SELECT 'd' || d.doc_id AS src, 'd' || s.least AS dst FROM d
   UNION ALL SELECT 'd' || doc_id, 'k' || (doc_id % 97) || ':' || source FROM documents WHERE ('d' || doc_id) LIKE '%7')"""
 HELD_EDGES = """edges AS (SELECT 'd' || d.doc_id AS src, 'd' || s.least AS dst FROM documents d JOIN (SELECT text, min(doc_id) AS least FROM documents GROUP BY text) s ON d.text = s.text WHERE d.doc_id > s.least
   UNION ALL SELECT 'd' || doc_id, 'k' || item_id FROM documents d, benchmark b WHERE contains(d.text, b.text))"""
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every tenth sequence the whole, 400 letters of it reversed and complemented, or 150 letters of it: (id, seq)."""
+    x = dna(spark, sf_dir).where("doc_id % 10 = 1")
+    other = "reverse(translate(substr(seq, 301, 400), 'ACGT', 'TGCA'))"
+    return x.selectExpr("concat('q', doc_id) AS id", f"CASE doc_id % 3 WHEN 0 THEN seq WHEN 1 THEN {other} ELSE substr(seq, 501, 150) END AS seq")
+
+
+#: (query, target) with the places that fragments take, and how many letters differ: no gaps, so a distance of letters says all.
+FRAGMENT_HITS = """frag AS (SELECT doc_id, seq AS whole, CASE doc_id % 3 WHEN 0 THEN seq WHEN 1 THEN substr(seq, 301, 400) ELSE substr(seq, 501, 150) END AS seq FROM dna WHERE doc_id % 10 = 1),
+near AS (SELECT q.doc_id AS q, t.doc_id AS t, length(q.seq) AS n, hamming(q.seq, CASE q.doc_id % 3 WHEN 0 THEN t.seq WHEN 1 THEN substr(t.seq, 301, 400) ELSE substr(t.seq, 501, 150) END) AS differ
+  FROM frag q, dna t WHERE t.doc_id % 10 <> 1),
+fragment_hits AS (SELECT 'q' || q AS query, 't' || t AS target, CASE WHEN q % 3 = 1 THEN '-' ELSE '+' END AS strand, (2 * n - 5 * differ)::BIGINT AS score, (n - differ) / n AS fident, n::BIGINT AS alnlen, 1.0::DOUBLE AS qcov, n / 1024 AS tcov
+  FROM near WHERE differ * 10 <= n AND n / 1024 >= 0.19)"""
