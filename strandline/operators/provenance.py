@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import package_name
+from strandline.sources.ranges import digests, listed
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, size) of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    """(path, sha256, size) of whole files, which tasks stream in bounded parts, so that a file may have any length.
+
+    The path is a file, a folder or a pattern of them; empty files count too.
+    """
+    found = spark.createDataFrame([(x,) for x in listed(spark, path)], "path string")
+    return digests(found).select("path", "sha256", F.col("bytes").alias("size"))
 
 
 def combined_hash(train: Column, dev: Column, test: Column) -> Column:

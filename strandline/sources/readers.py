@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.operators.similarity import _written
+from strandline.sources.ranges import block_lines
+
 # Columns of the dataset contract, chromosomes, classes of repeats, the pattern of polymerase products.
 CONTRACT = ("sequence", "label", "source", "detail", "window_id", "orientation", "chrom", "start", "end", "strand", "group", "gc", "max_id_train", "max_id_train_local")
 CHROMOSOMES = tuple(f"chr{x}" for x in (*range(1, 23), "X", "Y"))
@@ -46,10 +49,13 @@ def repeat_flags(df: DataFrame, te_classes: tuple[str, ...]) -> DataFrame:
     return df.withColumns({"is_l1": l1, "is_ltr_sva": ~l1 & ltr, "is_te": ~l1 & ~ltr & F.col("class").isin(*te_classes), "is_interspersed": ~F.col("class").isin(*SIMPLE)})
 
 
-def read_repeats(spark: SparkSession, path: str, te_classes: tuple[str, ...], chromosomes: tuple[str, ...] = CHROMOSOMES) -> DataFrame:
-    """A tab-separated repeat table, gzip or not; a gzip file is one task, so convert it to Parquet once."""
+def read_repeats(spark: SparkSession, path: str, te_classes: tuple[str, ...], chromosomes: tuple[str, ...] = CHROMOSOMES, blocks: bool = False) -> DataFrame:
+    """A tab-separated repeat table; ``blocks`` says that it is a file of gzip blocks, which many tasks read.
+
+    Any other gzip file is one task, so convert it once, to blocks or to Parquet.
+    """
     f = F.split("value", "\t", 14)
-    df = spark.read.text(path).select(f[5].alias("chrom"), f[6].cast("long").alias("start"), f[7].cast("long").alias("end"), f[9].alias("strand"), f[10].alias("name"), f[11].alias("class"), f[12].alias("family"))
+    df = (block_lines(spark, path) if blocks else spark.read.text(path)).select(f[5].alias("chrom"), f[6].cast("long").alias("start"), f[7].cast("long").alias("end"), f[9].alias("strand"), f[10].alias("name"), f[11].alias("class"), f[12].alias("family"))
     return repeat_flags(df.where(F.col("chrom").isin(*chromosomes)), te_classes)
 
 
@@ -72,8 +78,16 @@ def chunked(records: DataFrame, size: int = 1 << 16) -> DataFrame:
 
 
 def fetch(chunks: DataFrame, ranges: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """The ranges (name, start, end; 0-based half-open) with ``seq``; short where the record ends."""
+    """The ranges (name, start, end; 0-based half-open) with ``seq``; short where the record ends.
+
+    The wanted (name, chunk) are written, so that Spark knows their size: if they are few it
+    sends them to the scan of the chunks, and letters of other chunks aren't even made;
+    if not, both sides are shuffled.
+    """
     want = ranges.select("name", "start", "end").distinct().withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.greatest("end", F.col("start") + 1) - 1) / size))))
+    want = _written(want)
+    needed = want.select(F.col("name").alias("__name"), F.col("chunk").alias("__chunk")).distinct()
+    chunks = chunks.join(needed, (F.col("name") == F.col("__name")) & (F.col("chunk") == F.col("__chunk")), "left_semi")
     lo, hi = F.greatest(F.col("start") - F.col("chunk") * size, F.lit(0)), F.least(F.col("end") - F.col("chunk") * size, F.lit(size))
     part = want.join(chunks, ["name", "chunk"]).withColumn("part", F.substring("seq", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")))
     return part.groupBy("name", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("seq"))
