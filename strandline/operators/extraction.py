@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import accession, centred_start, coverage_class, discard_reason, gap_starts, gc_count, window_starts
 from strandline.operators import intervals
+from strandline.operators.similarity import _written
 from strandline.sources import readers
 
 
@@ -37,7 +38,11 @@ def chromosome_role(chrom: Column, holdout: list[str], dev: list[str]) -> Column
 
 
 def with_sequence(windows: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
-    """Windows (chrom, start, end) with ``seq``, empty where the sequence has ended."""
+    """Windows (chrom, start, end) with ``seq``, empty where the sequence has ended.
+
+    Windows are written first: they are read for their ranges and again for their columns.
+    """
+    windows = _written(windows)
     ranges = windows.select(F.col("chrom").alias("name"), "start", "end")
     found = readers.fetch(chunks, ranges, size).withColumnRenamed("name", "chrom")
     return windows.join(found, ["chrom", "start", "end"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
