@@ -266,3 +266,40 @@ def test_sessions_stream(spark, tmp_path):
     q = sessions(stream).writeStream.format("memory").queryName("s").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert got(spark.table("s"), "n_events", "total") == [(1, 4.0), (2, 3.0)]  # the last is still open
+
+
+def test_overlaps_of_all_lengths_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+
+    def draw(n):
+        out = []
+        for _ in range(n):
+            length = int(4 ** rng.uniform(0, 14)) - 1
+            start = rng.randrange(0, 1 << 28 if rng.random() < 0.5 else 1 << 14)
+            out.append((start, start + length))
+        return out + [(0, 1 << 28), (0, 1 << 28), (4096, 8192), (4095, 4096), (5, 5), ((1 << 28) - 1, 1 << 28)]
+
+    a, b = draw(150), draw(150)
+    want = sorted((*x, *y, min(x[1], y[1]) - max(x[0], y[0])) for x in a for y in b if x[1] > x[0] and y[1] > y[0] and min(x[1], y[1]) > max(x[0], y[0]))
+    for bucket in (1, 64, intervals.BIN):
+        if bucket == 1:  # bins of one base: the top level's are of 2^16, and longer intervals lie on more of them
+            few = [(x, y) for x, y in a if y - x < 1 << 16 and y < 1 << 20]
+            assert got(intervals.overlaps(iv(spark, *few), iv(spark, *b), bucket=bucket), "start", "end", "start_b", "end_b", "overlap") == [w for w in want if w[:2] in set(few)]
+        else:
+            assert got(intervals.overlaps(iv(spark, *a), iv(spark, *b), bucket=bucket), "start", "end", "start_b", "end_b", "overlap") == want
+    assert got(intervals.overlaps(iv(spark, *a), iv(spark).where("false"))) == []
+
+
+def test_rows_dealt_grow_with_the_intervals_and_not_with_their_lengths(spark):
+    spans = [(i, i + (1 << 27)) for i in range(50)]
+    long, short = iv(spark, *spans), iv(spark, *((i * 5000, i * 5000 + 100) for i in range(1000)))
+    held = F.lit(0b1001)
+    assert intervals._dealt(long, "start", "end", intervals.BIN, held, 0).count() <= 50 * (intervals.SPREAD + 1)
+    assert intervals._dealt(short, "start", "end", intervals.BIN, held, 1).count() <= 1000 * 4
+    assert intervals.overlaps(long, short).count() == sum(a < y and x < b for a, b in spans for x, y in ((i * 5000, i * 5000 + 100) for i in range(1000)))
+
+
+def test_the_first_list_that_touches(spark):
+    w = iv(spark, (0, 10), (20, 30), (40, 50), (60, 70), (60, 70), (80, 80))
+    out = intervals.untouched(w, [("p", iv(spark, (5, 6), (65, 66), (0, 3))), ("q", iv(spark, (0, 45), (80, 90)))])
+    assert sorted((r["start"], r["reason"] or "") for r in out.collect()) == [(0, "p"), (20, "q"), (40, "q"), (60, "p"), (60, "p"), (80, "")]
