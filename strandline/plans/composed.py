@@ -25,11 +25,15 @@ GC_SQL = "(length(seq) - length(translate(seq, 'GC', '')))"
 
 
 def _genome(iv: DataFrame) -> DataFrame:
-    """Chunks of a made-up chromosome of 850,000 letters for each name; some begin with N or R."""
+    """Chunks of a made-up chromosome of 850,000 letters for each name; some begin with N or R.
+
+    The names are few and lie in one task; chunks are dealt before their letters are made,
+    by the columns that a fetch joins on.
+    """
     k = F.col("chunk")
     parts = [F.translate(F.sha2(F.concat("name", F.lit(":"), k.cast("string"), F.lit(f":{i}")).cast("binary"), 256), "0123456789abcdef", "ACGTACGTACGTACGT") for i in range(4)]
     odd = F.when(k % 13 == 7, "N").when(k % 17 == 5, "R")
-    whole = iv.select(F.col("chrom").alias("name")).distinct().select("name", F.explode(F.sequence(F.lit(0), F.lit((LENGTH - 1) // CHUNK))).alias("chunk")).withColumn("seq", F.concat(*parts))
+    whole = iv.select(F.col("chrom").alias("name")).distinct().select("name", F.explode(F.sequence(F.lit(0), F.lit((LENGTH - 1) // CHUNK))).alias("chunk")).repartition("name", "chunk").withColumn("seq", F.concat(*parts))
     return whole.withColumn("seq", F.substring(F.concat(F.coalesce(odd, F.substring("seq", 1, 1)), F.substring("seq", 2, CHUNK)), F.lit(1), F.least(F.lit(CHUNK), LENGTH - k * CHUNK).cast("int")))
 
 
