@@ -81,9 +81,10 @@ def positives(elements: DataFrame, regions: DataFrame, lengths: DataFrame, chunk
     """Windows over elements, with coverage by the merged regions, sequence, description and ``reason``.
 
     Less than ``least`` covered bases put a window into the grey zone, none at all outside.
+    Places are written once; coverage, letters and description each read them.
     """
-    windows = intervals.coverage(element_windows(elements, lengths, width, stride), intervals.merged(regions))
-    known = with_sequence(windows, chunks, size).join(described(windows, regions), ["chrom", "start", "end"], "left")
+    windows = _written(element_windows(elements, lengths, width, stride))
+    known = with_sequence(intervals.coverage(windows, intervals.merged(regions)), chunks, size).join(described(windows, regions), ["chrom", "start", "end"], "left")
     covered = coverage_class(F.col("covered"), least)
     reason = F.when(covered == "none", "l1_uncovered").when(covered == "grey", "l1_grey").otherwise(sequence_reason(F.col("seq"), width, "l1"))
     return known.withColumns({"window_id": genomic_id("l1", F.col("chrom"), F.col("start"), F.col("end")), "gc": gc_count(F.col("seq")), "reason": reason})
@@ -100,7 +101,7 @@ def transposon_candidates(elements: DataFrame, near: DataFrame, excluded: DataFr
     own = own.withColumn("start", centred_start(F.col("from"), F.col("to"), width, F.col("length"))).select("chrom", "start", *order)
     counted = own.groupBy("chrom", "start").agg((F.count("*") - 1).alias("duplicates"))
     first = intervals.first_of(own, ["chrom", "start"], order).join(counted, ["chrom", "start"]).withColumn("end", F.col("start") + width)
-    touched = intervals.untouched(first, [("neg_touches_l1", near), ("te_touches_ltr_sva", excluded)])
+    touched = intervals.untouched(_written(first), [("neg_touches_l1", near), ("te_touches_ltr_sva", excluded)])
     known = with_sequence(touched, chunks, size)
     return known.withColumns({"gc": gc_count(F.col("seq")), "reason": F.coalesce("reason", sequence_reason(F.col("seq"), width, "te"))}).drop("from", "to")
 

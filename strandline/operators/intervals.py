@@ -121,7 +121,7 @@ def gaps(cover: DataFrame, spans: DataFrame, bucket: int = BUCKET, bins: int = B
     inner = hit.select(*key, F.greatest("start", "start_b").alias("s"), F.least("end", "end_b").alias("e"))
     edges = inner.select(*key, F.col("e").alias("at"), F.lit(1).alias("opens")).union(inner.select(*key, F.col("s"), F.lit(0)))
     edges = edges.union(spans.select(*key, F.col("start"), F.lit(1))).union(spans.select(*key, F.col("end"), F.lit(0)))
-    edges = edges.groupBy(*key, "opens", "at").agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("at") / bucket))
+    edges = _written(edges.groupBy(*key, "opens", "at").agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("at") / bucket)))
     from strandline.operators.scan import running_sums
 
     # the n-th opening edge and the n-th closing edge of a span belong together
