@@ -1,7 +1,7 @@
 """Labelled windows out of annotations and sequences: each function says for every candidate why it stays or goes.
 
-Sequences come as ``chunks`` (name, chunk, seq) of fixed size, so that a window reads the
-few rows that it lies on.  ``reason`` is null for a window that stays.
+Sequences come as ``chunks`` (name, chunk, seq) of fixed size, or as a function that gives
+the asked ones, so that a window reads the few rows that it lies on.  ``reason`` is null for a window that stays.
 """
 
 from __future__ import annotations
@@ -37,13 +37,14 @@ def chromosome_role(chrom: Column, holdout: list[str], dev: list[str]) -> Column
     return F.when(chrom.isin(*holdout), "test").when(chrom.isin(*dev), "dev").otherwise("train")
 
 
-def with_sequence(windows: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+def with_sequence(windows: DataFrame, lengths: DataFrame, chunks: readers.Chunks, size: int) -> DataFrame:
     """Windows (chrom, start, end) with ``seq``, empty where the sequence has ended.
 
     Windows are written first: they are read for their ranges and again for their columns.
+    Those that begin past their chromosome's end are not fetched.
     """
     windows = _written(windows)
-    ranges = windows.select(F.col("chrom").alias("name"), "start", "end")
+    ranges = windows.join(lengths, "chrom").where(F.col("start") < F.col("length")).select(F.col("chrom").alias("name"), "start", "end")
     found = readers.fetch(chunks, ranges, size).withColumnRenamed("name", "chrom")
     return windows.join(found, ["chrom", "start", "end"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
@@ -77,20 +78,20 @@ def element_windows(elements: DataFrame, lengths: DataFrame, width: int, stride:
     return listed.select("chrom", "start", (F.col("start") + width).alias("end"), F.col("of")[0]["strand"].alias("strand"), F.transform("of", lambda x: F.concat(F.lit("elem:"), x["element"])).alias("elements"))
 
 
-def positives(elements: DataFrame, regions: DataFrame, lengths: DataFrame, chunks: DataFrame, size: int, width: int = 1024, stride: int = 512, least: int = 200) -> DataFrame:
+def positives(elements: DataFrame, regions: DataFrame, lengths: DataFrame, chunks: readers.Chunks, size: int, width: int = 1024, stride: int = 512, least: int = 200) -> DataFrame:
     """Windows over elements, with coverage by the merged regions, sequence, description and ``reason``.
 
     Less than ``least`` covered bases put a window into the grey zone, none at all outside.
     Places are written once; coverage, letters and description each read them.
     """
     windows = _written(element_windows(elements, lengths, width, stride))
-    known = with_sequence(intervals.coverage(windows, intervals.merged(regions)), chunks, size).join(described(windows, regions), ["chrom", "start", "end"], "left")
+    known = with_sequence(intervals.coverage(windows, intervals.merged(regions)), lengths, chunks, size).join(described(windows, regions), ["chrom", "start", "end"], "left")
     covered = coverage_class(F.col("covered"), least)
     reason = F.when(covered == "none", "l1_uncovered").when(covered == "grey", "l1_grey").otherwise(sequence_reason(F.col("seq"), width, "l1"))
     return known.withColumns({"window_id": genomic_id("l1", F.col("chrom"), F.col("start"), F.col("end")), "gc": gc_count(F.col("seq")), "reason": reason})
 
 
-def transposon_candidates(elements: DataFrame, near: DataFrame, excluded: DataFrame, lengths: DataFrame, chunks: DataFrame, size: int, width: int = 1024) -> DataFrame:
+def transposon_candidates(elements: DataFrame, near: DataFrame, excluded: DataFrame, lengths: DataFrame, chunks: readers.Chunks, size: int, width: int = 1024) -> DataFrame:
     """Windows centred on elements (chrom, start, end, strand, name, class, family), one per place, with gc and ``reason``.
 
     Of elements that give the same window the first one (by all its columns) is kept, and
@@ -102,7 +103,7 @@ def transposon_candidates(elements: DataFrame, near: DataFrame, excluded: DataFr
     counted = own.groupBy("chrom", "start").agg((F.count("*") - 1).alias("duplicates"))
     first = intervals.first_of(own, ["chrom", "start"], order).join(counted, ["chrom", "start"]).withColumn("end", F.col("start") + width)
     touched = intervals.untouched(_written(first), [("neg_touches_l1", near), ("te_touches_ltr_sva", excluded)])
-    known = with_sequence(touched, chunks, size)
+    known = with_sequence(touched, lengths, chunks, size)
     return known.withColumns({"gc": gc_count(F.col("seq")), "reason": F.coalesce("reason", sequence_reason(F.col("seq"), width, "te"))}).drop("from", "to")
 
 
@@ -111,12 +112,12 @@ def blocked(*lists: DataFrame) -> DataFrame:
     return intervals.merged(reduce(DataFrame.unionByName, [x.select("chrom", "start", "end") for x in lists]))
 
 
-def background_candidates(cover: DataFrame, lengths: DataFrame, chunks: DataFrame, size: int, width: int = 1024) -> DataFrame:
+def background_candidates(cover: DataFrame, lengths: DataFrame, chunks: readers.Chunks, size: int, width: int = 1024) -> DataFrame:
     """Windows side by side in what merged intervals leave free, with gc and ``reason``."""
     spans = lengths.select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("length").alias("end"))
     free = intervals.gaps(cover, spans)
     tiles = free.select("chrom", F.explode(gap_starts(F.col("gap_start"), F.col("gap_end"), width)).alias("start")).withColumn("end", F.col("start") + width)
-    known = with_sequence(tiles, chunks, size)
+    known = with_sequence(tiles, lengths, chunks, size)
     return known.withColumns({"gc": gc_count(F.col("seq")), "reason": sequence_reason(F.col("seq"), width, "background")})
 
 

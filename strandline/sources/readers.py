@@ -5,6 +5,8 @@ Each parser works on a DataFrame of lines or columns; the reader beside it adds
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ CONTRACT = ("sequence", "label", "source", "detail", "window_id", "orientation",
 CHROMOSOMES = tuple(f"chr{x}" for x in (*range(1, 23), "X", "Y"))
 SIMPLE = ("Simple_repeat", "Low_complexity")
 PRODUCT = r"(?i)\bpol\b|polymerase|reverse transcriptase"
+#: Chunks (name, chunk, seq), or what gives those of a table of (name, chunk).
+Chunks = DataFrame | Callable[[DataFrame], DataFrame]
 ANNOTATION = "chrom string, start long, end long, subfamily string, region string, strand string, mismatches long, deletions long, insertions long, locus_length long, identity double, similarity double"
 
 
@@ -77,17 +81,22 @@ def chunked(records: DataFrame, size: int = 1 << 16) -> DataFrame:
     return at.select("name", "chunk", F.substring("seq", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("seq"))
 
 
-def fetch(chunks: DataFrame, ranges: DataFrame, size: int = 1 << 16) -> DataFrame:
+def fetch(chunks: Chunks, ranges: DataFrame, size: int = 1 << 16) -> DataFrame:
     """The ranges (name, start, end; 0-based half-open) with ``seq``; short where the record ends.
 
+    ``chunks`` may be a function that gives the chunks of a table of (name, chunk), each once.
+
     The wanted (name, chunk) are written, so that Spark knows their size: if they are few it
     sends them to the scan of the chunks, and letters of other chunks aren't even made;
     if not, both sides are shuffled.
     """
     want = ranges.select("name", "start", "end").distinct().withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.greatest("end", F.col("start") + 1) - 1) / size))))
     want = _written(want)
-    needed = want.select(F.col("name").alias("__name"), F.col("chunk").alias("__chunk")).distinct()
-    chunks = chunks.join(needed, (F.col("name") == F.col("__name")) & (F.col("chunk") == F.col("__chunk")), "left_semi")
+    if callable(chunks):
+        chunks = chunks(want.select("name", "chunk").distinct())
+    else:
+        needed = want.select(F.col("name").alias("__name"), F.col("chunk").alias("__chunk")).distinct()
+        chunks = chunks.join(needed, (F.col("name") == F.col("__name")) & (F.col("chunk") == F.col("__chunk")), "left_semi")
     lo, hi = F.greatest(F.col("start") - F.col("chunk") * size, F.lit(0)), F.least(F.col("end") - F.col("chunk") * size, F.lit(size))
     part = want.join(chunks, ["name", "chunk"]).withColumn("part", F.substring("seq", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")))
     return part.groupBy("name", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("seq"))
