@@ -16,12 +16,9 @@ from strandline.functions.sequence import gc_bin, gc_count, reverse_complement
 from strandline.operators.sampling import take_by_hash
 
 
-def transitions(seqs: DataFrame, k: int = 5, seq: str = "seq") -> DataFrame:
-    """(state, next, n) over both strands; a sequence of w letters has w - k transitions a strand.
-
-    Runs of k + 1 letters are counted within each batch and summed; a null sequence has
-    none.  The other strand's runs are the reverse complements of the same ones.
-    """
+def run_counts(seqs: DataFrame, length: int, seq: str = "seq") -> DataFrame:
+    """(run, n): runs of so many letters, counted within each batch and summed; a null sequence has none."""
+    k = length - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,7 +41,15 @@ def transitions(seqs: DataFrame, k: int = 5, seq: str = "seq") -> DataFrame:
                 total.update(dict(zip(spelled, n.tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["run", "n"])
 
-    runs = seqs.select(F.col(seq).cast("string")).mapInArrow(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return seqs.select(F.col(seq).cast("string")).mapInArrow(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def transitions(seqs: DataFrame, k: int = 5, seq: str = "seq") -> DataFrame:
+    """(state, next, n) over both strands; a sequence of w letters has w - k transitions a strand.
+
+    The other strand's runs are the reverse complements of the same ones.
+    """
+    runs = run_counts(seqs, k + 1, seq)
     both = runs.select(F.explode(F.array(F.col("run"), reverse_complement(F.col("run")))).alias("run"), "n")
     return both.groupBy(F.substring("run", 1, k).alias("state"), F.substring("run", k + 1, 1).alias("next")).agg(F.sum("n").alias("n"))
 
