@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.functions.sequence import kmers
-
 
 def kmer_vector(seq: Column, k: int = 3) -> Column:
     """Counts of all 4**k words in alphabetical order, as floats; words with other letters count to none.
@@ -39,8 +37,32 @@ def kmer_vector(seq: Column, k: int = 3) -> Column:
 
 
 def kmer_counts(df: DataFrame, id_col: str, seq: str, k: int = 3) -> DataFrame:
-    """(id, kmer, n)."""
-    return df.select(id_col, F.explode(kmers(F.col(seq), k)).alias("kmer")).groupBy(id_col, "kmer").agg(F.count("*").alias("n"))
+    """(id, kmer, n).
+
+    A sequence's words are counted in Arrow batches, so that a row for each word that occurs
+    is made and summed, not one for each place; a null sequence has none.
+    """
+    of = T.ArrayType(T.StructType([T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())]))
+
+    @F.arrow_udf(of)
+    def counted(seqs: pa.Array) -> pa.Array:
+        names, counts, ends = [], [], [0]
+        for s in seqs:
+            letters = np.frombuffer((s.as_py() or "").encode("utf-32-le"), np.uint32)
+            kinds, where = np.unique(letters, return_inverse=True)
+            code = np.zeros(max(len(letters) - k + 1, 0), np.int64)
+            for i in range(k if len(code) else 0):
+                code = code * len(kinds) + where[i : i + len(code)]
+            found, n = np.unique(code, return_counts=True)
+            spelled = kinds[found[:, None] // len(kinds) ** np.arange(k - 1, -1, -1) % len(kinds)] if len(found) else np.zeros((0, k), np.uint32)
+            names += [x.tobytes().decode("utf-32-le") for x in spelled]
+            counts.append(n)
+            ends.append(len(names))
+        rows = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["kmer", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    own = df.select(id_col, F.explode(counted(F.col(seq).cast("string"))).alias("w"))
+    return own.groupBy(id_col, F.col("w.kmer").alias("kmer")).agg(F.sum("w.n").alias("n"))
 
 
 def moments(df: DataFrame, vector: str, floor: float = 1e-6) -> DataFrame:
