@@ -27,6 +27,8 @@ from strandline.llm.shingles import hashes, mix
 #: Items are searched for in blocks of so many, so that what a task is sent is bounded.
 BLOCK_ITEMS = 20_000
 SLOTS = 128
+#: Hash values that a task makes at a time; a document of more shingles is sketched slot by slot.
+PART = 1 << 18
 
 
 @dataclass
@@ -38,6 +40,7 @@ class Index:
     shingles: np.ndarray  # of all items, sorted
     salts: np.ndarray
     partitions: list[tuple[int, np.ndarray, list[np.ndarray], list[np.ndarray]]]  # largest size, items, per slot: sorted values and their items
+    every: list[tuple[int, np.ndarray]]  # of each partition: smallest size, the values of all slots, sorted
 
 
 def build(ids: list[int | None], texts: list[str | None], k: int, slots: int, seed: int = 11) -> Index:
@@ -45,14 +48,15 @@ def build(ids: list[int | None], texts: list[str | None], k: int, slots: int, se
     keep = [i for i, s in enumerate(sets) if len(s)]
     ids, sets = [ids[i] for i in keep], [sets[i] for i in keep]
     salts = np.random.default_rng(seed).integers(1, 1 << 63, slots, dtype=np.uint64)
-    parts = []
+    parts, every = [], []
     level = np.array([len(s).bit_length() for s in sets])
     for p in np.unique(level):
         items = np.flatnonzero(level == p)
         sketch = np.array([[mix(sets[i] ^ salt).min() for salt in salts] for i in items], np.uint64)
         order = np.argsort(sketch, axis=0, kind="stable")
         parts.append((max(len(sets[i]) for i in items), items, [sketch[order[:, j], j] for j in range(slots)], [items[order[:, j]] for j in range(slots)]))
-    return Index(np.array(ids, object), sets, np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64), salts, parts)
+        every.append((min(len(sets[i]) for i in items), np.unique(sketch)))
+    return Index(np.array(ids, object), sets, np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64), salts, parts, every)
 
 
 def matches(run: np.ndarray, index: Index, percent: int) -> list[tuple[int, int, int]]:
@@ -63,21 +67,31 @@ def matches(run: np.ndarray, index: Index, percent: int) -> list[tuple[int, int,
     known = np.flatnonzero(index.shingles[at] == run)
     if not len(known):
         return []
+    own = np.unique(run[known])
+    # windows of each partition, the whole document first; none if even its smallest item has too many shingles that the document lacks
+    asked: list[list[tuple[int, int]]] = []
+    for (largest, *_), (smallest, _) in zip(index.partitions, index.every, strict=True):
+        windows: list[tuple[int, int]] = []
+        if 100 * len(own) >= percent * smallest:
+            at = np.unique(np.concatenate([known // largest, np.maximum(known // largest - 1, 0)])) * largest
+            windows = list(dict.fromkeys([(0, len(run)), *((lo, min(lo + 2 * largest, len(run))) for lo in at.tolist())]))
+        asked.append(windows)
     candidates: set[int] = set()
-    for largest, _, values, items in index.partitions:
-        width = 2 * largest
-        windows = {(0, len(run))}
-        for w in np.unique(np.concatenate([known // largest, np.maximum(known // largest - 1, 0)])).tolist():
-            windows.add((w * largest, min(w * largest + width, len(run))))
-        for lo, hi in windows:
-            part = run[lo:hi]
-            for j, salt in enumerate(index.salts):
-                least = mix(part ^ salt).min()
-                a, b = np.searchsorted(values[j], least), np.searchsorted(values[j], least, side="right")
-                candidates.update(items[j][a:b].tolist())
+    step = max(1, PART // len(run))
+    for first in range(0, len(index.salts) if any(asked) else 0, step):
+        mixed = mix(run ^ index.salts[first : first + step, None])
+        whole = mixed.min(axis=1)
+        for (_, _, values, items), (_, every), windows in zip(index.partitions, index.every, asked, strict=True):
+            if not windows:
+                continue
+            least = np.stack([whole, *(mixed[:, lo:hi].min(axis=1) for lo, hi in windows[1:])])
+            # few least values are an item's in any slot; those are looked up in their own
+            held = every[np.minimum(np.searchsorted(every, least), len(every) - 1)] == least
+            for w, j in zip(*(x.tolist() for x in np.nonzero(held)), strict=True):
+                a, b = np.searchsorted(values[first + j], least[w, j]), np.searchsorted(values[first + j], least[w, j], side="right")
+                candidates.update(items[first + j][a:b].tolist())
     if not candidates:
         return []
-    own = np.unique(run[known])
     out = []
     for i in sorted(candidates):
         n, shared = len(index.sets[i]), len(np.intersect1d(index.sets[i], own, assume_unique=True))
