@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import accession, centred_start, coverage_class, discard_reason, gap_starts, gc_count, window_starts
 from strandline.operators import intervals
+from strandline.operators.scan import ends_before
 from strandline.operators.similarity import _written
 from strandline.sources import readers
 
@@ -37,14 +38,16 @@ def chromosome_role(chrom: Column, holdout: list[str], dev: list[str]) -> Column
     return F.when(chrom.isin(*holdout), "test").when(chrom.isin(*dev), "dev").otherwise("train")
 
 
-def with_sequence(windows: DataFrame, lengths: DataFrame, chunks: readers.Chunks, size: int) -> DataFrame:
+def with_sequence(windows: DataFrame, lengths: DataFrame, chunks: readers.Chunks, size: int, places: DataFrame | None = None) -> DataFrame:
     """Windows (chrom, start, end) with ``seq``, empty where the sequence has ended.
 
-    Windows are written first: they are read for their ranges and again for their columns.
-    Those that begin past their chromosome's end are not fetched.
+    Windows are read for their ranges and again for their columns: ``places`` is a written
+    table that has their ranges too, or else they are written first.  Those that begin past
+    their chromosome's end are not fetched.
     """
-    windows = _written(windows)
-    ranges = windows.join(lengths, "chrom").where(F.col("start") < F.col("length")).select(F.col("chrom").alias("name"), "start", "end")
+    if places is None:
+        windows = places = _written(windows)
+    ranges = places.join(lengths, "chrom").where(F.col("start") < F.col("length")).select(F.col("chrom").alias("name"), "start", "end")
     found = readers.fetch(chunks, ranges, size).withColumnRenamed("name", "chrom")
     return windows.join(found, ["chrom", "start", "end"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
@@ -62,9 +65,31 @@ def described(windows: DataFrame, regions: DataFrame) -> DataFrame:
     """
     key = ["chrom", "start", "end"]
     hits = intervals.overlaps(windows.select(*key).distinct(), regions.select("chrom", "start", "end", "subfamily", "region"))
-    own = hits.groupBy(*key, F.col("subfamily_b").alias("subfamily")).agg(F.sum("overlap").alias("bases"), F.array_join(F.sort_array(F.collect_set("region_b")), ",").alias("regions"))
+    return _listed(hits, key)
+
+
+def _listed(hits: DataFrame, key: list[str], *more: Column) -> DataFrame:
+    regions = F.array_join(F.sort_array(F.collect_set("region_b")), ",").alias("regions")
+    own = hits.groupBy(*key, F.col("subfamily_b").alias("subfamily")).agg(F.sum("overlap").alias("bases"), regions, *more)
     detail = F.array_join(F.sort_array(F.collect_list(F.concat("subfamily", F.lit(":"), "regions"))), ";")
-    return own.groupBy(*key).agg(detail.alias("detail"), F.min_by("subfamily", F.struct(-F.col("bases"), "subfamily")).alias("principal"))
+    total = [F.sum("covered").alias("covered")] if more else []
+    return own.groupBy(*key).agg(detail.alias("detail"), F.min_by("subfamily", F.struct(-F.col("bases"), "subfamily")).alias("principal"), *total)
+
+
+def covered_and_described(windows: DataFrame, regions: DataFrame) -> DataFrame:
+    """(chrom, start, end, detail, principal, covered) of the written windows that regions touch, each window given once.
+
+    Each base that regions cover is counted for the first region over it, so that one join
+    gives all three.  Its rows go to their window once: both sums, and a join by the
+    window's place, are made where they have come to.
+    """
+    key = ["chrom", "start", "end"]
+    own = ends_before(regions.select(*key, "subfamily", "region").where("end > start"), ["chrom"], "start", "end", intervals.BUCKET)
+    own = own.withColumn("fresh", F.greatest("start", "before")).drop("before")
+    hits = intervals.overlaps(windows.select(*key), _written(own))
+    fresh = F.greatest(F.least("end", "end_b") - F.greatest("start", "fresh_b"), F.lit(0))
+    hits = hits.select(*key, "subfamily_b", "region_b", "overlap", fresh.alias("fresh")).repartition(*key)
+    return _listed(hits, key, F.sum("fresh").alias("covered"))
 
 
 def element_windows(elements: DataFrame, lengths: DataFrame, width: int, stride: int) -> DataFrame:
@@ -82,10 +107,12 @@ def positives(elements: DataFrame, regions: DataFrame, lengths: DataFrame, chunk
     """Windows over elements, with coverage by the merged regions, sequence, description and ``reason``.
 
     Less than ``least`` covered bases put a window into the grey zone, none at all outside.
-    Places are written once; coverage, letters and description each read them.
+    Windows are written once, and meet letters and regions in joins by the same key.
     """
+    lengths = _written(lengths)
     windows = _written(element_windows(elements, lengths, width, stride))
-    known = with_sequence(intervals.coverage(windows, intervals.merged(regions)), lengths, chunks, size).join(described(windows, regions), ["chrom", "start", "end"], "left")
+    known = windows.join(covered_and_described(windows, regions), ["chrom", "start", "end"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    known = with_sequence(known, lengths, chunks, size, windows)
     covered = coverage_class(F.col("covered"), least)
     reason = F.when(covered == "none", "l1_uncovered").when(covered == "grey", "l1_grey").otherwise(sequence_reason(F.col("seq"), width, "l1"))
     return known.withColumns({"window_id": genomic_id("l1", F.col("chrom"), F.col("start"), F.col("end")), "gc": gc_count(F.col("seq")), "reason": reason})

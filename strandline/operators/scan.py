@@ -36,6 +36,15 @@ def running_sums(df: DataFrame, keys: list[str], bucket: str, order: list, colum
     return out.withColumns({n: F.sum(c).over(within) + F.coalesce(f"__c_{n}", F.lit(0)) for n, c in columns.items()}).drop(b, *(f"__c_{n}" for n in columns))
 
 
+def ends_before(df: DataFrame, keys: list[str], start: str, end: str, width: int) -> DataFrame:
+    """Adds ``before``: the largest end of a key's rows before this one, in order of start and end; null for the first."""
+    df = df.withColumn("__b", F.floor(F.col(start) / width))
+    on = [*keys, "__b"]
+    out = _with(df, _carried(df, keys, "__b", {"__top": F.max(end)}, F.max), on)
+    within = Window.partitionBy(*on).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumn("before", F.greatest(F.max(end).over(within), "__top")).drop("__b", "__top")
+
+
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int, width: int) -> DataFrame:
     """Adds ``island``: rows of a key whose start is at most ``gap`` past the largest end before it share one."""
     df = df.withColumn("__b", F.floor(F.col(start) / width))
