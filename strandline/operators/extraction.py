@@ -47,11 +47,15 @@ def with_sequence(windows: DataFrame, lengths: DataFrame, chunks: readers.Chunks
     """
     if places is None:
         windows = places = _written(windows)
-    ranges = places.join(lengths, "chrom").where(F.col("start") < F.col("length")).select(F.col("chrom").alias("name"), "start", "end")
-    found = readers.fetch(chunks, ranges, size).withColumnRenamed("name", "chrom")
+    found = readers.fetch(chunks, _ranges(places, lengths), size).withColumnRenamed("name", "chrom")
     return windows.join(found, ["chrom", "start", "end"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
+def _ranges(places: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(name, start, end) of the windows that begin before their chromosome's end."""
+    return places.join(lengths, "chrom").where(F.col("start") < F.col("length")).select(F.col("chrom").alias("name"), "start", "end")
+
+
 def sequence_reason(seq: Column, width: int, prefix: str) -> Column:
     """Cut off by the sequence's end, or with other letters."""
     return F.when(F.length(seq) != width, f"{prefix}_edge").otherwise(F.concat(F.lit(f"{prefix}_"), discard_reason(seq)))
@@ -84,22 +88,46 @@ def covered_and_described(windows: DataFrame, regions: DataFrame) -> DataFrame:
     window's place, are made where they have come to.
     """
     key = ["chrom", "start", "end"]
+    return _listed(_fresh_hits(windows, regions).repartition(*key), key, F.sum("fresh").alias("covered"))
+
+
+def _fresh_hits(windows: DataFrame, regions: DataFrame) -> DataFrame:
+    """(chrom, start, end, subfamily_b, region_b, overlap, fresh) of windows and the regions that touch them; ``fresh`` has the bases that no region before covers."""
+    key = ["chrom", "start", "end"]
     own = ends_before(regions.select(*key, "subfamily", "region").where("end > start"), ["chrom"], "start", "end", intervals.BUCKET)
     own = own.withColumn("fresh", F.greatest("start", "before")).drop("before")
     hits = intervals.overlaps(windows.select(*key), _written(own))
     fresh = F.greatest(F.least("end", "end_b") - F.greatest("start", "fresh_b"), F.lit(0))
-    hits = hits.select(*key, "subfamily_b", "region_b", "overlap", fresh.alias("fresh")).repartition(*key)
-    return _listed(hits, key, F.sum("fresh").alias("covered"))
+    return hits.select(*key, "subfamily_b", "region_b", "overlap", fresh.alias("fresh"))
+
+
+#: The stretch of ``intervals.BUCKET`` bases that a window begins in, and windows whose rows a task sorts.
+NEAR, SORTED = "__near", 200_000
+
+
+def _dealt_near(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows (chrom, start and others) dealt by chromosome and stretch, so that those beside each other travel, and are compressed, together."""
+    return rows.withColumn(NEAR, F.floor(F.col("start") / intervals.BUCKET)).repartition(tasks, "chrom", NEAR)
 
 
 def element_windows(elements: DataFrame, lengths: DataFrame, width: int, stride: int) -> DataFrame:
     """(chrom, start, end, strand, elements): one row per window, with all elements that it was made for.
 
-    Elements of a window are ordered by strand and start; the first one's strand is the
-    window's.  Lengths are (chrom, length); an element of an unknown chromosome has no windows.
+    Windows are those of ``window_starts``, made by stretches.  Elements of a window are
+    ordered by strand and start; the first one's strand is the window's.  Lengths are (chrom, length); an element of an unknown chromosome has no windows.
     """
-    own = elements.join(lengths, "chrom").select("chrom", "strand", F.col("start").alias("from"), "element", F.explode(window_starts(F.col("start"), F.col("end"), width, stride, F.col("length"))).alias("start"))
-    listed = own.groupBy("chrom", "start").agg(F.array_sort(F.collect_list(F.struct("strand", "from", "element"))).alias("of"))
+    a, b, size = F.col("start"), F.col("end"), intervals.BUCKET
+    one = centred_start(a, b, width, F.col("length"))
+    own = elements.join(lengths.where(F.col("length") >= width), "chrom").withColumns({"first": F.when(b - a >= width, a).otherwise(one), "last": F.when(b - a >= width, b - width).otherwise(one)})
+    own = own.select("chrom", "strand", F.col("start").alias("from"), "element", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))).alias(NEAR))
+    own = own.repartition("chrom", NEAR)  # an element goes to each stretch that its windows begin in
+    first, last, low = F.col("first"), F.col("last"), F.col(NEAR) * size
+    lead = first + F.ceil(F.greatest(low - first, F.lit(0)) / stride) * stride
+    upto, none = F.least(last, low + size - 1), F.array().cast("array<bigint>")
+    tiled = F.when(lead <= upto, F.sequence(lead, upto, F.lit(stride).cast("bigint"))).otherwise(none)
+    flush = F.when((last >= low) & (last < low + size) & ((last - first) % stride != 0), F.array(last)).otherwise(none)
+    own = own.select("chrom", NEAR, "strand", "from", "element", F.explode(F.concat(tiled, flush)).alias("start"))
+    listed = own.groupBy("chrom", NEAR, "start").agg(F.array_sort(F.collect_list(F.struct("strand", "from", "element"))).alias("of"))
     return listed.select("chrom", "start", (F.col("start") + width).alias("end"), F.col("of")[0]["strand"].alias("strand"), F.transform("of", lambda x: F.concat(F.lit("elem:"), x["element"])).alias("elements"))
 
 
@@ -107,17 +135,55 @@ def positives(elements: DataFrame, regions: DataFrame, lengths: DataFrame, chunk
     """Windows over elements, with coverage by the merged regions, sequence, description and ``reason``.
 
     Less than ``least`` covered bases put a window into the grey zone, none at all outside.
-    Windows are written once, and meet letters and regions in joins by the same key.
+    Windows are written once; they, the regions that touch them and their letters are rows
+    of one table, which is dealt once by stretches and grouped there.
     """
     lengths = _written(lengths)
     windows = _written(element_windows(elements, lengths, width, stride))
-    known = windows.join(covered_and_described(windows, regions), ["chrom", "start", "end"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
-    known = with_sequence(known, lengths, chunks, size, windows)
+    known = _gathered(windows, _fresh_hits(windows, regions), readers.parts(chunks, _ranges(windows, lengths), size), width)
     covered = coverage_class(F.col("covered"), least)
     reason = F.when(covered == "none", "l1_uncovered").when(covered == "grey", "l1_grey").otherwise(sequence_reason(F.col("seq"), width, "l1"))
     return known.withColumns({"window_id": genomic_id("l1", F.col("chrom"), F.col("start"), F.col("end")), "gc": gc_count(F.col("seq")), "reason": reason})
 
 
+def _gathered(windows: DataFrame, hits: DataFrame, parts: DataFrame, width: int) -> DataFrame:
+    """The windows of ``width``, each given once, with ``covered`` of their fresh hits, ``detail`` and ``principal`` (see ``described``), and ``seq`` of their parts.
+
+    Rows have few columns, of which most are null: they are sorted where they have come to,
+    in as many tasks as the written windows ask for, so that a sort fits into memory.
+    """
+    tasks = max(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), windows.count() // SORTED + 1)
+    place = [F.col("chrom"), F.col("start")]
+    none = [F.lit(None).cast(windows.schema[c].dataType).alias(c) for c in ("strand", "elements")]
+    hit = F.struct(F.col("subfamily_b").alias("subfamily"), F.col("region_b").alias("region"), "overlap", "fresh")
+    hits = hits.select(*place, *none, hit.alias("hit"))
+    parts = parts.select(F.col("name").alias("chrom"), "start", *none, F.struct("chunk", "part").alias("part"))
+    rows = windows.select(*place, "strand", "elements").unionByName(hits, allowMissingColumns=True).unionByName(parts, allowMissingColumns=True)
+    own = [F.first(c, ignorenulls=True).alias(c) for c in ("strand", "elements")]
+    whole = _dealt_near(rows, tasks).groupBy("chrom", NEAR, "start").agg(*own, F.collect_list("hit").alias("hits"), readers.joined(F.collect_list("part")).alias("seq"))
+
+    def of(name: Column) -> Column:
+        mine = F.filter("hits", lambda x: x["subfamily"].eqNullSafe(name))
+        regions = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(mine, lambda x: x["region"]), lambda r: r.isNotNull()))), ",")
+        bases = F.aggregate(mine, F.lit(0).cast("long"), lambda s, x: s + x["overlap"])
+        return F.struct((-bases).alias("bases"), name.alias("subfamily"), F.concat(name, F.lit(":"), regions).alias("text"))
+
+    listed = F.transform(F.array_distinct(F.transform("hits", lambda x: x["subfamily"])), of)
+    whole = whole.withColumn("listed", F.when(F.size("hits") > 0, listed))
+    texts = F.array_sort(F.filter(F.transform("listed", lambda x: x["text"]), lambda x: x.isNotNull()))
+    return whole.select(
+        "chrom",
+        "start",
+        (F.col("start") + width).alias("end"),
+        "strand",
+        "elements",
+        F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["fresh"]).alias("covered"),
+        F.array_join(texts, ";").alias("detail"),
+        F.array_min("listed")["subfamily"].alias("principal"),
+        "seq",
+    )
+
+
 def transposon_candidates(elements: DataFrame, near: DataFrame, excluded: DataFrame, lengths: DataFrame, chunks: readers.Chunks, size: int, width: int = 1024) -> DataFrame:
     """Windows centred on elements (chrom, start, end, strand, name, class, family), one per place, with gc and ``reason``.
 

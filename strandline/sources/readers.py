@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,7 +82,17 @@ def chunked(records: DataFrame, size: int = 1 << 16) -> DataFrame:
 
 
 def fetch(chunks: Chunks, ranges: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """The ranges (name, start, end; 0-based half-open) with ``seq``; short where the record ends.
+    """The ranges (name, start, end; 0-based half-open) with ``seq``; short where the record ends."""
+    return parts(chunks, ranges, size).groupBy("name", "start", "end").agg(joined(F.collect_list(F.struct("chunk", "part"))).alias("seq"))
+
+
+def joined(found: Column) -> Column:
+    """The letters of a list of (chunk, part)."""
+    return F.array_join(F.transform(F.array_sort(found), lambda x: x["part"]), "")
+
+
+def parts(chunks: Chunks, ranges: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """(name, start, end, chunk, part): a row for each chunk that a range lies on, with the letters of it.
 
     ``chunks`` may be a function that gives the chunks of a table of (name, chunk), each once.
 
@@ -98,8 +108,8 @@ def fetch(chunks: Chunks, ranges: DataFrame, size: int = 1 << 16) -> DataFrame:
         needed = want.select(F.col("name").alias("__name"), F.col("chunk").alias("__chunk")).distinct()
         chunks = chunks.join(needed, (F.col("name") == F.col("__name")) & (F.col("chunk") == F.col("__chunk")), "left_semi")
     lo, hi = F.greatest(F.col("start") - F.col("chunk") * size, F.lit(0)), F.least(F.col("end") - F.col("chunk") * size, F.lit(size))
-    part = want.join(chunks, ["name", "chunk"]).withColumn("part", F.substring("seq", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")))
-    return part.groupBy("name", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("seq"))
+    part = F.substring("seq", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+    return want.join(chunks, ["name", "chunk"]).select("name", "start", "end", "chunk", part.alias("part"))
 
 
 def product_records(records: DataFrame) -> DataFrame:
